@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholarmesh.functions.text import fold
+from scholarmesh.functions.text import fold, let
 
 # Folded Turkish month names, January first.
 MONTHS = ["ocak", "subat", "mart", "nisan", "mayis", "haziran",
@@ -144,12 +144,10 @@ def clean_dates(dates: Column, words: Column, numbers: Column) -> Column:
 
     valid = F.filter(F.transform(dates, tidy),
                      lambda t: t["date"].isNotNull() & grounded(t["date"].cast("string"), words, numbers))
-    n = F.size(valid)
     indexed = F.transform(valid, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
     # the last entry of a (label, date) wins, as later entries overwrite
-    last = F.filter(indexed, lambda a: ~F.exists(
-        F.slice(indexed, a["i"] + 2, F.greatest(n - a["i"] - 1, F.lit(0))),
-        lambda b: (b["t"]["date"] == a["t"]["date"]) & (b["t"]["label"] == a["t"]["label"])))
+    last = let(indexed, lambda rows: F.filter(rows, lambda a: ~F.exists(rows, lambda b: (b["i"] > a["i"]) & (
+        b["t"]["date"] == a["t"]["date"]) & (b["t"]["label"] == a["t"]["label"]))))
     return F.transform(F.array_sort(F.transform(last, lambda a: F.struct(
         a["t"]["date"].alias("date"), a["t"]["label"].alias("label"),
         a["t"]["is_application"].alias("is_application")))),

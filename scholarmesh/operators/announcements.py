@@ -12,6 +12,7 @@ from scholarmesh.functions import extraction as E
 from scholarmesh.functions.hashing import content_hash
 from scholarmesh.functions.ranking import bounded_join, is_small, top_k
 from scholarmesh.operators.calls import latest_per_label_array
+from scholarmesh.session import cut_lineage
 
 BACKFILL_DAYS = 365
 REPEAT_DAYS = 180
@@ -75,7 +76,7 @@ def _title_dates(calls: DataFrame) -> DataFrame:
     second = (rows.join(first.select("tokens", "code", "day", F.col("a.call_id").alias("_f")),
                         ["tokens", "code", "day"]).where(F.col("call_id") != F.col("_f"))
               .groupBy("tokens", "code", "day").agg(F.min(F.struct("call_id", "url")).alias("b")))
-    return first.join(second, ["tokens", "code", "day"], "left")
+    return cut_lineage(first.join(second, ["tokens", "code", "day"], "left"))  # at most a calendar per title; read often
 
 
 def _not_own(url: Column) -> Column:
@@ -102,7 +103,7 @@ def match_update_to_call(announcements: DataFrame, calls: DataFrame) -> DataFram
         "url", E.title_tokens(F.col("title")).alias("a_tokens"),
         F.lower(F.trim(F.coalesce("program_code", F.lit("")))).alias("a_code"), _day(F.col("publish_date")).alias("a_day"))
     call_sigs = days.select("tokens", "code").distinct()
-    pairs = _signature_pairs(ann.select("a_tokens", "a_code").distinct(), call_sigs)
+    pairs = cut_lineage(_signature_pairs(ann.select("a_tokens", "a_code").distinct(), call_sigs))
     small = is_small(pairs)
     matched = bounded_join(ann, pairs, ["a_tokens", "a_code"], ["url"], small_enough=small)
 

@@ -164,8 +164,8 @@ def latest_per_label_array(dates: Column) -> Column:
         return X.fold(t["label"])
 
     indexed = F.transform(dates, lambda t, i: F.struct(t.alias("t"), i.alias("i"), key(t).alias("k")))
-    kept = F.filter(indexed, lambda a: ~F.exists(indexed, lambda b: (b["k"] == a["k"]) & (
-        (b["t"]["date"] > a["t"]["date"]) | ((b["t"]["date"] == a["t"]["date"]) & (b["i"] < a["i"])))))
+    kept = X.let(indexed, lambda rows: F.filter(rows, lambda a: ~F.exists(rows, lambda b: (b["k"] == a["k"]) & (
+        (b["t"]["date"] > a["t"]["date"]) | ((b["t"]["date"] == a["t"]["date"]) & (b["i"] < a["i"]))))))
     ordered = F.array_sort(F.transform(kept, lambda a: F.struct(
         a["t"]["date"].alias("date"), a["i"].alias("i"), a["t"].alias("t"))))
     return F.transform(ordered, lambda a: a["t"])

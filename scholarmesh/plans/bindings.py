@@ -48,16 +48,14 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
 
     Documents and queries are cut into six-word shingles that meet in an equi-join.
     """
-    def shingles(text: Column) -> Column:
-        words = F.split(F.trim(F.lower(text)), r"\s+")
-        n = F.size(words)
-        starts = F.when(n >= 6, F.sequence(F.lit(1), n - 5)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(6)), " "))
-
-    items = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.try_element_at(shingles(F.col("text")), F.lit(1)).alias("g"))
-    docs = chunks(spark, sf).select("person_id", F.explode(shingles(F.col("content"))).alias("g"))
-    return R.bounded_join(docs, items.where(F.col("g").isNotNull()), ["g"], ["person_id"]).select(
+    words = F.split(F.trim(F.lower(F.col("text"))), r"\s+")
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).where(
+        F.size("w") >= 6).select("query_id", F.array_join(F.slice("w", 1, 6), " ").alias("g"))
+    docs = table(spark, sf, "documents").select(F.col("source").alias("person_id"), words.alias("w")).where(
+        F.size("w") >= 6).select("person_id", F.explode(F.zip_with(
+            F.col("w"), F.sequence(F.lit(1), F.size("w")), lambda _, i: F.array_join(
+                F.slice("w", i, F.lit(6)), " "))).alias("g"))
+    return R.bounded_join(docs, items, ["g"], ["person_id"]).select(
         "query_id", "person_id").distinct()
 
 

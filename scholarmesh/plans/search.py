@@ -314,7 +314,7 @@ gold AS MATERIALIZED (SELECT * FROM gold_all WHERE query_id IN (SELECT query_id
 
 METRICS = """SELECT mode, count(*) AS n_queries, round(avg(CASE WHEN n_top > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_5,
   round(avg(coalesce(n_top::DOUBLE / n_expected, 0)), 6) AS recall_at_5, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr
-FROM (SELECT query_id, count(*) AS n_expected FROM gold GROUP BY query_id), modes LEFT JOIN (
+FROM (SELECT * FROM (SELECT query_id, count(*) AS n_expected FROM gold GROUP BY query_id) CROSS JOIN modes) LEFT JOIN (
   SELECT mode, query_id, count(*) FILTER (rank <= 5) AS n_top, min(rank)::DOUBLE AS first FROM ranks JOIN gold USING (query_id, person_id) GROUP BY ALL)
   USING (mode, query_id) GROUP BY mode"""
 
