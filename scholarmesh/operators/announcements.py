@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scholarmesh.functions import extraction as E
 from scholarmesh.functions.hashing import content_hash
-from scholarmesh.functions.ranking import bounded_join, is_small, top_k
+from scholarmesh.functions.ranking import bounded_join
 from scholarmesh.operators.calls import latest_per_label_array
 from scholarmesh.session import cut_lineage
 
@@ -61,22 +61,29 @@ def processing_order(items: DataFrame) -> DataFrame:
 
 # --- calls grouped by title -------------------------------------------------------------------
 
+def _signature(title: Column) -> Column:
+    """Title stems as one text: join and group keys are text, not arrays."""
+    return F.array_join(E.title_tokens(title), " ")
+
+
+def _code(code: str) -> Column:
+    return F.lower(F.trim(F.coalesce(code, F.lit(""))))
+
+
 def _title_dates(calls: DataFrame) -> DataFrame:
-    """(tokens, code, day, ids): the two smallest (id, url) of each title signature and day; -1 for undated.
+    """(sig, code, day, a, n, b): the two smallest (id, url) of each title signature and day; -1 for undated.
 
     Everything after this works on signatures and days, so a title that holds a third of all calls has no more rows
     than the calendar has days.
     """
-    rows = calls.select("call_id", "url", E.title_tokens(F.col("title")).alias("tokens"),
-                        F.lower(F.trim(F.coalesce("program_code", F.lit("")))).alias("code"),
-                        F.coalesce(F.datediff("publish_date", F.lit("1900-01-01").cast("date")), F.lit(-1)).alias("day"))
-    first = rows.groupBy("tokens", "code", "day").agg(
-        F.min(F.struct("call_id", "url")).alias("a"), F.count("*").alias("n"))
+    keys = ["sig", "code", "day"]
+    rows = calls.select("call_id", "url", _signature(F.col("title")).alias("sig"), _code("program_code").alias("code"),
+                        F.coalesce(_day(F.col("publish_date")), F.lit(-1)).alias("day")).where(F.col("sig") != "")
+    first = rows.groupBy(*keys).agg(F.min(F.struct("call_id", "url")).alias("a"), F.count("*").alias("n"))
     # second smallest: the minimum of what is left
-    second = (rows.join(first.select("tokens", "code", "day", F.col("a.call_id").alias("_f")),
-                        ["tokens", "code", "day"]).where(F.col("call_id") != F.col("_f"))
-              .groupBy("tokens", "code", "day").agg(F.min(F.struct("call_id", "url")).alias("b")))
-    return cut_lineage(first.join(second, ["tokens", "code", "day"], "left"))  # at most a calendar per title; read often
+    second = (rows.join(first.select(*keys, F.col("a.call_id").alias("_f")), keys).where(F.col("call_id") != F.col("_f"))
+              .groupBy(*keys).agg(F.min(F.struct("call_id", "url")).alias("b")))
+    return cut_lineage(first.join(second, keys, "left"))  # at most a calendar per title; read often
 
 
 def _not_own(url: Column) -> Column:
@@ -100,42 +107,44 @@ def match_update_to_call(announcements: DataFrame, calls: DataFrame) -> DataFram
     """
     days = _title_dates(calls)
     ann = announcements.select(
-        "url", E.title_tokens(F.col("title")).alias("a_tokens"),
-        F.lower(F.trim(F.coalesce("program_code", F.lit("")))).alias("a_code"), _day(F.col("publish_date")).alias("a_day"))
-    call_sigs = days.select("tokens", "code").distinct()
-    pairs = cut_lineage(_signature_pairs(ann.select("a_tokens", "a_code").distinct(), call_sigs))
-    small = is_small(pairs)
-    matched = bounded_join(ann, pairs, ["a_tokens", "a_code"], ["url"], small_enough=small)
-
+        "url", _signature(F.col("title")).alias("a_sig"), _code("program_code").alias("a_code"),
+        _day(F.col("publish_date")).alias("a_day"))
+    call_sigs = days.select("sig", "code").distinct()
+    pairs = cut_lineage(_signature_pairs(ann.select("a_sig", "a_code").distinct(), call_sigs))
     # newest admissible day per (announcement, call signature): days are at most the calendar's
-    calendar = days.groupBy("tokens", "code").agg(F.collect_set(F.struct(
+    calendar = days.groupBy("sig", "code").agg(F.collect_set(F.struct(
         "day", F.when(F.col("n") == 1, F.col("a.url")).alias("only_url"))).alias("days"))
+    targets = pairs.join(calendar, ["sig", "code"])
     best_day = F.array_max(F.transform(F.filter("days", lambda d: (
         F.col("a_day").isNull() | (d["day"] <= F.col("a_day"))) & ~F.coalesce(
         d["only_url"] == F.col("url"), F.lit(False))), lambda d: d["day"]))
-    candidates = bounded_join(matched, calendar, ["tokens", "code"], ["url"]).withColumn("day", best_day).where(
-        F.col("day").isNotNull())
-    with_ids = bounded_join(candidates, days, ["tokens", "code", "day"], ["url"]).select(
-        "url", _not_own(F.col("url")).alias("call_id"), "overlap", "score", "day")
-    return top_k(with_ids, ["url"], [F.desc("score"), F.desc("day"), F.asc("call_id")], 1).select(
-        "url", "call_id", "overlap", "score")
+    found = bounded_join(ann, targets, ["a_sig", "a_code"], ["url"]).select(
+        "url", "sig", "code", "overlap", "score", best_day.alias("day")).where(F.col("day").isNotNull())
+    # only the best (score, day) of an announcement is looked up; ties are few and decided by the smallest id
+    best = found.groupBy("url").agg(F.max(F.struct("score", "day")).alias("_m"))
+    tied = found.join(best, "url").where((F.col("score") == F.col("_m.score")) & (F.col("day") == F.col("_m.day")))
+    with_ids = bounded_join(tied, days, ["sig", "code", "day"], ["url"])
+    return with_ids.groupBy("url").agg(F.min(_not_own(F.col("url"))).alias("call_id"),
+                                       F.max("overlap").alias("overlap"), F.max("score").alias("score"))
 
 
 def _signature_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a_tokens, a_code, tokens, code, overlap, score) of title signatures that match."""
-    n = right.select("tokens", "code", F.explode("tokens").alias("t"))
-    freq = right.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
-    rare_first = (bounded_join(n, freq, ["t"], ["tokens"]).groupBy("tokens", "code")
-                  .agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("r")))
-    index = rare_first.select("tokens", "code", F.explode(F.slice(
-        F.col("r.t"), F.lit(1), F.floor(F.size("tokens") / 2).cast("int") + 1)).alias("t"))
-    probes = left.select("a_tokens", "a_code", F.explode("a_tokens").alias("t"))
-    met = bounded_join(probes, index, ["t"], ["a_tokens", "a_code"]).drop("t").distinct()
-    shared = F.size(F.array_intersect("a_tokens", "tokens")) / F.greatest(F.size("tokens"), F.lit(1))
+    """(a_sig, a_code, sig, code, overlap, score) of title signatures that match."""
+    stems = right.select("sig").distinct().select("sig", F.explode(F.split("sig", " ")).alias("t"))
+    freq = stems.groupBy("t").agg(F.count("*").alias("f"))
+    rare_first = bounded_join(stems, freq, ["t"], ["sig"]).groupBy("sig").agg(
+        F.array_sort(F.collect_list(F.struct("f", "t"))).alias("r"))
+    index = rare_first.select("sig", F.explode(F.slice(
+        F.col("r.t"), F.lit(1), F.floor(F.size("r") / 2).cast("int") + 1)).alias("t"))
+    probes = left.select("a_sig").distinct().select("a_sig", F.explode(F.split("a_sig", " ")).alias("t"))
+    met = bounded_join(probes, index, ["t"], ["a_sig"]).select("a_sig", "sig").distinct()
+    b = F.split("sig", " ")
+    overlap = F.size(F.array_intersect(F.split("a_sig", " "), b)) / F.size(b)
+    close = met.withColumn("overlap", overlap).where(F.col("overlap") >= MIN_OVERLAP_SAME_CODE)
+    coded = close.join(left, "a_sig").join(right, "sig")
     same = (F.col("a_code") != "") & (F.col("a_code") == F.col("code"))
-    out = met.withColumn("overlap", shared).where(
-        (F.col("overlap") >= MIN_OVERLAP) | (same & (F.col("overlap") >= MIN_OVERLAP_SAME_CODE)))
-    return out.withColumn("score", F.col("overlap") + F.when(same, SAME_CODE_BONUS).otherwise(0.0))
+    return coded.where((F.col("overlap") >= MIN_OVERLAP) | same).withColumn(
+        "score", F.col("overlap") + F.when(same, SAME_CODE_BONUS).otherwise(0.0))
 
 
 def find_repeat_call(announcements: DataFrame, calls: DataFrame) -> DataFrame:
@@ -144,14 +153,13 @@ def find_repeat_call(announcements: DataFrame, calls: DataFrame) -> DataFrame:
     Same set of at least three title stems, another address, call date within 180 days of the announcement's date
     (dated announcements only); the newest call wins, then the smallest id.
     """
-    key = F.array_join("tokens", " ")
-    days = _title_dates(calls.withColumn("program_code", F.lit(None).cast("string"))).where(
-        F.size("tokens") >= MIN_TITLE_TOKENS).withColumn("key", key)
+    long_enough = F.size(F.split("key", " ")) >= MIN_TITLE_TOKENS
+    days = _title_dates(calls.withColumn("program_code", F.lit(None).cast("string"))).withColumnRenamed(
+        "sig", "key").where(long_enough)
     calendar = days.groupBy("key").agg(F.collect_set(F.struct(
         "day", F.when(F.col("n") == 1, F.col("a.url")).alias("only_url"))).alias("days"))
-    ann = announcements.select("url", E.title_tokens(F.col("title")).alias("tokens"),
-                               _day(F.col("publish_date")).alias("a_day")).where(
-        F.size("tokens") >= MIN_TITLE_TOKENS).withColumn("key", key).drop("tokens")
+    ann = announcements.select("url", _signature(F.col("title")).alias("key"),
+                               _day(F.col("publish_date")).alias("a_day")).where(long_enough)
     near = F.array_max(F.transform(F.filter("days", lambda d: (F.col("a_day").isNull() | d["day"].between(
         F.greatest(F.col("a_day") - REPEAT_DAYS, F.lit(0)), F.col("a_day") + REPEAT_DAYS)) & ~F.coalesce(
         d["only_url"] == F.col("url"), F.lit(False))), lambda d: d["day"]))

@@ -93,6 +93,12 @@ def call_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("call_id"), "embedding")
 
 
+def news_url() -> Column:
+    """Address of an order line; the line number alone does not tell lines of an order apart."""
+    return F.concat_ws("-", F.lit("https://news.example/"), *[
+        F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+
+
 def announcements(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as listed announcements of the order's call family: same part name and priority."""
     lines = table(spark, sf, "lineitem")
@@ -100,8 +106,7 @@ def announcements(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority",
                                                "o_orderstatus")
     return lines.join(parts, "l_partkey").join(orders, "l_orderkey").select(
-        F.concat_ws("-", F.lit("https://news.example/"), F.col("l_orderkey").cast("string"),
-                    F.col("l_linenumber").cast("string")).alias("url"),
+        news_url().alias("url"),
         F.concat_ws(" ", "p_name", "o_orderpriority").alias("title"),
         F.col("o_orderpriority").alias("source"),
         F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("program_code"),

@@ -120,7 +120,7 @@ def order_calls_page(s: SparkSession, f: str) -> DataFrame:
 
 def _ledger(s: SparkSession, f: str) -> DataFrame:
     """Announcements seen in earlier runs: lines with a return; those of linestatus 'F' and flag 'A' failed."""
-    url = F.concat_ws("-", F.lit("https://news.example/"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    url = B.news_url()
     orders = B.table(s, f, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("source"))
     lines = B.table(s, f, "lineitem").where(F.col("l_returnflag") != "N").join(orders, "l_orderkey")
     failed = (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")
@@ -133,7 +133,7 @@ def _listed(s: SparkSession, f: str) -> DataFrame:
     """Listing positions: newest first, as days and line keys."""
     url_parts = F.split("url", "-")
     pos = (40000 - F.datediff("publish_date", F.lit("1990-01-01").cast("date"))).cast("bigint") * 100_000_000 + (
-        F.element_at(url_parts, -2).cast("bigint") * 100) + F.element_at(url_parts, -1).cast("bigint")
+        F.element_at(url_parts, 2).cast("bigint") * 100) + F.element_at(url_parts, 3).cast("bigint")
     return B.announcements(s, f).withColumn("pos", pos).drop("program_code")
 
 
@@ -252,7 +252,7 @@ def forget_deleted(s: SparkSession, f: str) -> DataFrame:
 LISTED = f"""{Q.ANNOUNCEMENTS},
 listed AS MATERIALIZED (SELECT *, (40000 - date_diff('day', DATE '1990-01-01', publish_date))::BIGINT * 100000000
     + split_part(url, '-', 2)::BIGINT * 100 + split_part(url, '-', 3)::BIGINT AS pos FROM ann),
-ledger AS MATERIALIZED (SELECT 'https://news.example/-' || l_orderkey || '-' || l_linenumber AS url, l_shipdate::DATE AS publish_date,
+ledger AS MATERIALIZED (SELECT {Q.NEWS_URL} AS url, l_shipdate::DATE AS publish_date,
     CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'hata' ELSE 'cagri' END AS decision FROM lineitem WHERE l_returnflag <> 'N'),
 known AS (SELECT DISTINCT url FROM ledger WHERE decision <> 'hata'),
 marked AS MATERIALIZED (SELECT l.*, k.url IS NOT NULL AS known, publish_date < DATE '2001-10-01' - 365 AS old FROM listed l LEFT JOIN known k USING (url)),

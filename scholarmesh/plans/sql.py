@@ -138,6 +138,8 @@ lines AS MATERIALIZED (SELECT query_id, person_id, evidence_rank, section, simil
             generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM evidence)
     WHERE pos > 1 AND trim(line) <> '')"""
 
+NEWS_URL = "concat_ws('-', 'https://news.example/', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
 CALLS = """calls AS MATERIALIZED (SELECT *, CASE WHEN o_orderstatus = 'P' THEN NULL
       WHEN o_orderstatus = 'O' THEN greatest(d1, d2) ELSE d1 END AS deadline FROM (
     SELECT o_orderkey AS call_id, 'https://calls.example/' || o_orderkey AS url,
@@ -151,7 +153,7 @@ CALLS = """calls AS MATERIALIZED (SELECT *, CASE WHEN o_orderstatus = 'P' THEN N
 cs AS MATERIALIZED (SELECT *, CASE WHEN deadline IS NULL THEN 'belirsiz' WHEN deadline >= DATE '1998-01-01' THEN 'acik'
     ELSE 'gecmis' END AS status FROM calls)"""
 
-ANNOUNCEMENTS = """ann AS MATERIALIZED (SELECT 'https://news.example/-' || l_orderkey || '-' || l_linenumber AS url,
+ANNOUNCEMENTS = f"""ann AS MATERIALIZED (SELECT {NEWS_URL} AS url,
       concat_ws(' ', p_name, o_orderpriority) AS title, o_orderpriority AS source,
       nullif(o_orderstatus, 'P') AS program_code, l_shipdate::DATE AS publish_date
     FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey)"""
