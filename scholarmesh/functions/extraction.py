@@ -82,10 +82,10 @@ def source_words(text: Column) -> Column:
 
 def source_numbers(text: Column) -> Column:
     """Distinct numbers (no thousands separators or leading zeros), and the numbers of months named."""
-    folded = fold(text)
-    months = F.filter(F.array(*[F.when(folded.rlike(rf"\b{m}"), F.lit(str(i))) for i, m in enumerate(MONTHS, 1)]),
-                      lambda m: m.isNotNull())
-    joined = F.regexp_replace(text, r"(?<=\d)[.,\s](?=\d{3}\b)", "")
+    names = F.array(*map(F.lit, MONTHS))
+    named = F.regexp_extract_all(fold(text), F.lit(rf"\b({'|'.join(MONTHS)})"), F.lit(1))
+    months = F.transform(named, lambda m: F.array_position(names, m).cast("string"))
+    joined = F.regexp_replace(text, r"(?<=\d)[.,\s](?=\d{3}(?![\p{L}\p{N}_]))", "")
     digits = F.transform(F.regexp_extract_all(joined, F.lit(r"\d+"), F.lit(0)),
                          lambda n: F.regexp_replace(n, r"^0+(?=\d)", ""))
     return F.array_distinct(F.concat(digits, months))
@@ -96,11 +96,13 @@ def grounded(value: Column, words: Column, numbers: Column) -> Column:
 
     `words` and `numbers` are the source's arrays, computed once per row; a value without words needs a number.
     """
-    vw, vn = source_words(value), source_numbers(value)
-    numbers_ok = F.size(F.array_except(vn, numbers)) == 0
-    words_ok = F.size(F.array_intersect(vw, words)) >= MIN_WORD_OVERLAP * F.size(vw)
-    return (F.coalesce(value, F.lit("")) != "") & numbers_ok & F.when(
-        F.size(vw) == 0, F.size(vn) > 0).otherwise(words_ok)
+    def verdict(v: Column) -> Column:
+        numbers_ok = F.size(F.array_except(v["n"], numbers)) == 0
+        words_ok = F.size(F.array_intersect(v["w"], words)) >= MIN_WORD_OVERLAP * F.size(v["w"])
+        return numbers_ok & F.when(F.size(v["w"]) == 0, F.size(v["n"]) > 0).otherwise(words_ok)
+
+    parts = F.struct(source_words(value).alias("w"), source_numbers(value).alias("n"))
+    return (F.coalesce(value, F.lit("")) != "") & let(parts, verdict)
 
 
 # --- codes, audience, decisions ----------------------------------------------------------
@@ -115,7 +117,7 @@ def program_code(model_code: Column, title: Column, numeric_source: Column) -> C
 
 def universities_eligible(conditions: Column) -> Column:
     """True iff a condition names universities without a negating word."""
-    return F.exists(conditions, lambda k: fold(k).rlike(UNIVERSITY) & ~fold(k).rlike(NEGATION))
+    return F.exists(F.transform(conditions, fold), lambda k: k.rlike(UNIVERSITY) & ~k.rlike(NEGATION))
 
 
 def audience(model_audience: Column, code: Column, title: Column, conditions: Column, numeric_source: Column,
@@ -129,10 +131,9 @@ def audience(model_audience: Column, code: Column, title: Column, conditions: Co
 
 def is_application_date(label: Column, model_flag: Column) -> Column:
     """False for publication and later steps, true for application labels, else the model's flag."""
-    f = fold(label)
-    return (F.when(f.rlike(PUBLICATION_LABEL) | f.rlike(AFTERWARDS_LABEL), F.lit(False))
-            .when(f.rlike(APPLICATION_LABEL), F.lit(True))
-            .otherwise(model_flag))
+    return let(fold(label), lambda f: (
+        F.when(f.rlike(PUBLICATION_LABEL) | f.rlike(AFTERWARDS_LABEL), F.lit(False))
+        .when(f.rlike(APPLICATION_LABEL), F.lit(True)).otherwise(model_flag)))
 
 
 def clean_dates(dates: Column, words: Column, numbers: Column) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholarmesh.functions import text as X
 from scholarmesh.functions.ranking import running_total, top_k
@@ -141,7 +142,8 @@ def apply_model(rows: DataFrame, prompt: str, strict: Callable[[list[str]], list
     repeated row by row, so one bad row never fails its batch or the job.
     """
     check = valid or (lambda v: True)
-    schema = rows.schema.add("value", "string").add("error", "string").add("attempts", "int")
+    extra = [("value", T.StringType()), ("error", T.StringType()), ("attempts", T.IntegerType())]
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, t) for n, t in extra]])
     names = schema.names
 
     def ask(model: Callable[[list[str]], list[str | None]], texts: list[str]) -> list[tuple[str | None, str | None]]:

@@ -123,10 +123,12 @@ def chunk_sections(records: DataFrame, sections: list[str], key: str = "person_i
     `sections` are array<string> columns in order; empty sections give nothing; seq runs over the record's chunks.
     Everything happens inside the record's row.
     """
-    per_section = [F.transform(
-        split_text(F.array_join(F.coalesce(s, F.array().cast("array<string>")), "\n"), size, overlap, length_of),
-        lambda t, s=s: F.struct(F.lit(s).alias("section"), F.concat(
-            F.lit(f"[Bölüm: {labels.get(s, s)}]\n"), t).alias("content"))) for s in sections]
+    def headed(section: str) -> Callable[[Column], Column]:
+        return lambda t: F.struct(F.lit(section).alias("section"), F.concat(
+            F.lit(f"[Bölüm: {labels.get(section, section)}]\n"), t).alias("content"))
+
+    per_section = [F.transform(split_text(F.array_join(F.coalesce(s, F.array().cast("array<string>")), "\n"),
+                                          size, overlap, length_of), headed(s)) for s in sections]
     return records.select(key, F.posexplode(F.concat(*per_section)).alias("seq", "_c")).select(
         key, "_c.section", "seq", "_c.content")
 

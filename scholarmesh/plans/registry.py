@@ -309,7 +309,7 @@ LINES = "string_split(text, chr(10))"
 PAPER = "x || CASE WHEN length(x) > 99 THEN ' (01.02.2019 / 2021)' ELSE '' END || CASE WHEN length(x) > 49 THEN ' — ' || source ELSE '' END"
 FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 TOPIC = rf"(CASE WHEN length({FLAT}) <= 800 THEN {FLAT} ELSE regexp_extract(left({FLAT}, 800), '^(.*) ', 1) || '…' END)"
-TITLED = "'Gemi ve ' || upper(left(lang, 1)) || substr(lang, 2)"
+TITLED = "'Gemi ve ' || CASE WHEN lang = 'de' THEN 'de' ELSE upper(left(lang, 1)) || substr(lang, 2) END"
 
 ENTRIES = {
     "list_quality_gate": (list_quality_gate, f"""{O_} SELECT n AS n_rows, p AS n_previous, n = 0 OR n < 1500 * 0.9 OR (p > 0 AND n < p * 0.45) AS refused

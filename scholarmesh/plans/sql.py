@@ -35,14 +35,11 @@ MONTHS = ["ocak", "subat", "mart", "nisan", "mayis", "haziran",
 
 
 def numbers(x: str) -> str:
-    """Distinct numbers without thousands separators (two passes, as RE2 has no lookaround) and named months."""
+    """Distinct numbers without thousands separators, and named months."""
     months = ", ".join(rf"CASE WHEN regexp_matches({fold(x)}, '\b{m}') THEN '{i}' END" for i, m in enumerate(MONTHS, 1))
-    # separators between a digit and exactly three digits
-    joined = x
-    for _ in range(2):
-        joined = rf"regexp_replace({joined}, '(\d)[.,\s](\d\d\d)\b', '\1\2', 'g')"
-    return (rf"list_distinct(list_concat(list_transform(regexp_extract_all({joined}, '\d+'), "
-            rf"lambda n: CASE WHEN ltrim(n, '0') = '' THEN '0' ELSE ltrim(n, '0') END), "
+    digits = rf"list_transform(regexp_extract_all({x}, '\d+(?:[.,\s]\d\d\d\b)*'), lambda n: regexp_replace(n, '[.,\s]', '', 'g'))"
+    return (f"list_distinct(list_concat(list_transform({digits}, "
+            f"lambda n: CASE WHEN ltrim(n, '0') = '' THEN '0' ELSE ltrim(n, '0') END), "
             f"list_filter([{months}], lambda m: m IS NOT NULL)))")
 
 
