@@ -5,12 +5,12 @@ Relations: announcement(url, title, source, program_code, publish_date), ledger(
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarmesh.functions import extraction as E
 from scholarmesh.functions.hashing import content_hash
-from scholarmesh.functions.ranking import bounded_join
+from scholarmesh.functions.ranking import bounded_join, top_k
 from scholarmesh.operators.calls import latest_per_label_array
 from scholarmesh.session import cut_lineage
 
@@ -20,6 +20,7 @@ MIN_OVERLAP = 0.7
 MIN_OVERLAP_SAME_CODE = 0.5
 SAME_CODE_BONUS = 0.5
 MIN_TITLE_TOKENS = 3
+FOREVER = 2**30  # day number behind all dates
 
 
 # --- which announcements are new -----------------------------------------------------------
@@ -86,9 +87,28 @@ def _title_dates(calls: DataFrame) -> DataFrame:
     return cut_lineage(first.join(second, keys, "left"))  # at most a calendar per title; read often
 
 
-def _not_own(url: Column) -> Column:
-    """The first of a day's two calls whose address is not the announcement's own."""
-    return F.when(F.col("a.url") != url, F.col("a.call_id")).otherwise(F.col("b.call_id"))
+def _with_previous(days: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds `prev`, the call (id) of the title's day before; at most a calendar of rows per title."""
+    w = Window.partitionBy(*keys).orderBy("day")
+    return days.withColumn("prev", F.lag(F.struct("day", F.col("a.call_id").alias("call_id"))).over(w))
+
+
+def _newest_until(points: DataFrame, days: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bound, day): the newest call day of a title not after each bound. One running maximum per title over
+    distinct bounds and days, so at most two calendars of rows."""
+    union = points.select(*keys, F.col("bound").alias("_at"), F.lit(1).alias("_p"), F.lit(None).cast("int").alias("_d")).unionByName(
+        days.select(*keys, F.col("day").alias("_at"), F.lit(0).alias("_p"), F.col("day").alias("_d")))
+    w = Window.partitionBy(*keys).orderBy("_at", "_p").rowsBetween(Window.unboundedPreceding, 0)
+    return union.withColumn("day", F.max("_d").over(w)).where((F.col("_p") == 1) & F.col("day").isNotNull()).select(
+        *keys, F.col("_at").alias("bound"), "day")
+
+
+def _chosen(url: Column, lowest: Column) -> Column:
+    """Struct (day, call_id) of the day's first call that is not the announcement's own, else of the day before."""
+    own = F.col("a.url") == url
+    here = F.struct(F.col("day").alias("day"), F.when(own, F.col("b.call_id")).otherwise(F.col("a.call_id")).alias("call_id"))
+    return (F.when(~own | (F.col("n") > 1), F.when(F.col("day") >= lowest, here))
+            .otherwise(F.when(F.col("prev.day") >= lowest, F.col("prev"))))
 
 
 def _day(date: Column) -> Column:
@@ -111,21 +131,33 @@ def match_update_to_call(announcements: DataFrame, calls: DataFrame) -> DataFram
         _day(F.col("publish_date")).alias("a_day"))
     call_sigs = days.select("sig", "code").distinct()
     pairs = cut_lineage(_signature_pairs(ann.select("a_sig", "a_code").distinct(), call_sigs))
-    # newest admissible day per (announcement, call signature): days are at most the calendar's
-    calendar = days.groupBy("sig", "code").agg(F.collect_set(F.struct(
-        "day", F.when(F.col("n") == 1, F.col("a.url")).alias("only_url"))).alias("days"))
-    targets = pairs.join(calendar, ["sig", "code"])
-    best_day = F.array_max(F.transform(F.filter("days", lambda d: (
-        F.col("a_day").isNull() | (d["day"] <= F.col("a_day"))) & ~F.coalesce(
-        d["only_url"] == F.col("url"), F.lit(False))), lambda d: d["day"]))
-    found = bounded_join(ann, targets, ["a_sig", "a_code"], ["url"]).select(
-        "url", "sig", "code", "overlap", "score", best_day.alias("day")).where(F.col("day").isNotNull())
-    # only the best (score, day) of an announcement is looked up; ties are few and decided by the smallest id
-    best = found.groupBy("url").agg(F.max(F.struct("score", "day")).alias("_m"))
-    tied = found.join(best, "url").where((F.col("score") == F.col("_m.score")) & (F.col("day") == F.col("_m.day")))
-    with_ids = bounded_join(tied, days, ["sig", "code", "day"], ["url"])
-    return with_ids.groupBy("url").agg(F.min(_not_own(F.col("url"))).alias("call_id"),
-                                       F.max("overlap").alias("overlap"), F.max("score").alias("score"))
+    pairs = _undominated(pairs, days)
+    candidates = bounded_join(ann, pairs, ["a_sig", "a_code"], ["url"]).withColumn(
+        "bound", F.coalesce("a_day", F.lit(FOREVER)))
+    keys = ["sig", "code"]
+    newest = _newest_until(candidates.select(*keys, "bound").distinct(), days, keys)
+    found = (candidates.join(newest, [*keys, "bound"])
+             .join(_with_previous(days, keys), [*keys, "day"])
+             .withColumn("c", _chosen(F.col("url"), F.lit(-1))).where(F.col("c").isNotNull()))
+    return top_k(found.select("url", "overlap", "score", "c.day", "c.call_id"), ["url"],
+                 [F.desc("score"), F.desc("day"), F.asc("call_id")], 1).select("url", "call_id", "overlap", "score")
+
+
+def _undominated(pairs: DataFrame, days: DataFrame) -> DataFrame:
+    """Pairs that can be the best one for some announcement date.
+
+    A pair is dropped when a pair of the same announcement title with a higher score has two calls no later than this
+    pair's first: whenever this one is possible, that one is too, even if one of its calls is the announcement's own.
+    """
+    w = Window.partitionBy("sig", "code").orderBy("day")
+    second = F.when(F.col("n") > 1, F.col("day")).otherwise(F.lead("day").over(w))
+    spans = days.select("sig", "code", "day", second.alias("_s")).groupBy("sig", "code").agg(
+        F.min("day").alias("_first"), F.min_by("_s", "day").alias("_second"))
+    higher = Window.partitionBy("a_sig", "a_code").orderBy(F.col("_order")).rangeBetween(Window.unboundedPreceding, -1)
+    scored = pairs.join(spans, ["sig", "code"]).withColumn("_order", (-F.round(F.col("score") * 1_000_000)).cast("bigint"))
+    bound = F.min("_second").over(higher)
+    return scored.withColumn("_b", bound).where(F.col("_b").isNull() | (F.col("_b") > F.col("_first"))).drop(
+        "_first", "_second", "_order", "_b")
 
 
 def _signature_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -156,18 +188,15 @@ def find_repeat_call(announcements: DataFrame, calls: DataFrame) -> DataFrame:
     long_enough = F.size(F.split("key", " ")) >= MIN_TITLE_TOKENS
     days = _title_dates(calls.withColumn("program_code", F.lit(None).cast("string"))).withColumnRenamed(
         "sig", "key").where(long_enough)
-    calendar = days.groupBy("key").agg(F.collect_set(F.struct(
-        "day", F.when(F.col("n") == 1, F.col("a.url")).alias("only_url"))).alias("days"))
     ann = announcements.select("url", _signature(F.col("title")).alias("key"),
-                               _day(F.col("publish_date")).alias("a_day")).where(long_enough)
-    near = F.array_max(F.transform(F.filter("days", lambda d: (F.col("a_day").isNull() | d["day"].between(
-        F.greatest(F.col("a_day") - REPEAT_DAYS, F.lit(0)), F.col("a_day") + REPEAT_DAYS)) & ~F.coalesce(
-        d["only_url"] == F.col("url"), F.lit(False))), lambda d: d["day"]))
-    found = bounded_join(ann, calendar, ["key"], ["url"]).select("url", "key", near.alias("day")).where(
-        F.col("day").isNotNull())
-    return bounded_join(found, days, ["key", "day"], ["url"]).select(
-        "url", _not_own(F.col("url")).alias("call_id"), F.when(F.col("day") >= 0, F.date_add(
-            F.lit("1900-01-01").cast("date"), F.col("day"))).alias("call_date"))
+                               _day(F.col("publish_date")).alias("a_day")).where(long_enough).withColumns({
+        "bound": F.coalesce(F.col("a_day") + REPEAT_DAYS, F.lit(FOREVER)),
+        "lowest": F.coalesce(F.greatest(F.col("a_day") - REPEAT_DAYS, F.lit(0)), F.lit(-1))})
+    newest = _newest_until(ann.select("key", "bound").distinct(), days, ["key"])
+    found = (ann.join(newest, ["key", "bound"]).join(_with_previous(days, ["key"]), ["key", "day"])
+             .withColumn("c", _chosen(F.col("url"), F.col("lowest"))).where(F.col("c").isNotNull()))
+    return found.select("url", F.col("c.call_id").alias("call_id"), F.when(F.col("c.day") >= 0, F.date_add(
+        F.lit("1900-01-01").cast("date"), F.col("c.day"))).alias("call_date"))
 
 
 # --- links ---------------------------------------------------------------------------------------
