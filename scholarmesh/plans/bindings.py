@@ -11,8 +11,18 @@ TODAY = "1998-01-01"  # "today" is always a parameter, so that results do not de
 SPLIT_DAY = "1998-07-01"  # the old and the new snapshot are the orders before and from this day
 
 
+TEXT_TABLES = {"documents", "pages"}  # heavy work per row
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files give fewer input splits than that; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def today() -> Column:
