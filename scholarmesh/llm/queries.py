@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholarmesh.llm import byte_encoding, chat_format, near_dedup, packing, quality_rules, secret_scans, token_files
+from scholarmesh.llm import byte_encoding, chat_format, fingerprints, near_dedup, packing, quality_rules, secret_scans, token_files
 
 ENTRIES = {
     "op1_secret_scans": (secret_scans.op1_secret_scans, None),
@@ -11,5 +11,6 @@ ENTRIES = {
     "op6_token_files": (token_files.op6_token_files, None),
     "op7_near_dedup": (near_dedup.op7_near_dedup, None),
     "op8_byte_encoding": (byte_encoding.op8_byte_encoding, None),
+    "op9_fingerprints": (fingerprints.op9_fingerprints, None),
     "op10_packing": (packing.op10_packing, None),
 }
