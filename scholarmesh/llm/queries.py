@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from scholarmesh.llm import byte_encoding, chat_format, fingerprints, near_dedup, packing, quality_rules, secret_scans, token_files
+from scholarmesh.llm import byte_encoding, chat_format, fingerprints, near_dedup, packing, quality_rules, secret_scans, token_files, toxicity
 
 ENTRIES = {
     "op1_secret_scans": (secret_scans.op1_secret_scans, None),
     "op3_chat_format": (chat_format.op3_chat_format, chat_format.OP3_SQL),
     "op4_quality_rules": (quality_rules.op4_quality_rules, None),
+    "op5_toxicity": (toxicity.op5_toxicity, None),
     "op6_token_files": (token_files.op6_token_files, None),
     "op7_near_dedup": (near_dedup.op7_near_dedup, None),
     "op8_byte_encoding": (byte_encoding.op8_byte_encoding, None),
