@@ -3,14 +3,15 @@
 Counts are Kneser-Ney's: of types, not tokens, here the distinct training texts that hold an expression, so that copies
 and repetition do not count. Every class count loses a discount, and the discounted mass goes to a backoff distribution
 that both classes share, n(w) + K. As the classes differ in size, the discount depends on the shared count: what an
-expression of n texts would get by its shared rate plus Z standard deviations. Rare and neutral expressions therefore
+expression of n texts would get by its shared rate plus Z standard deviations (Z and K differ for words and pairs). Rare and neutral expressions therefore
 have the shared backoff in both classes and do not speak for either; pairs back off to words, words to the shared counts:
 
     r_c(w)    = (n(w) + K + excess_c(w)) / (n(w) + K)
     r_c(w|v)  = excess_c(v, w) / (n(v, w) + K) + r_c(w)
 
 The score of a text is the mean over its words of log r_toxic - log r_ordinary (the difference of its length-normalised
-log-likelihoods), made a probability by a logistic curve fitted to the training rows' histogram of that mean.
+log-likelihoods), made a probability by a logistic curve fitted to the training rows' histogram of its inverse
+hyperbolic sine.
 
 Words are hashed into 2^WORD_BITS and pairs into 2^PAIR_BITS slots, which bounds counts, model and broadcast whatever the
 input. All labelled rows outside the held-out fold are used. Defined cases: null texts are empty and score at mean 0;
@@ -31,9 +32,10 @@ from scholarmesh.llm import shingles as S
 from scholarmesh.llm.common import cut_lineage, documents, table, whole_text
 
 WORD_BITS, PAIR_BITS = 20, 18
-Z, K = 4.0, 3.0
+DISCOUNT = ((4.0, 0.25), (8.0, 3.0))  # Z and K of words and of pairs: a pair must stand out more
+SCALE = 0.01  # the curve is fitted on asinh(mean / SCALE), as toxic texts differ in how dense they are
 FOLDS = 5
-BINS, LOW, HIGH = 4000, -1.0, 3.0
+BINS, LOW, HIGH = 4000, -6.0, 6.0  # of the scaled mean
 GAPS = np.ones(256, dtype=bool)  # words are runs of letters and digits; other alphabets count as letters
 GAPS[np.r_[48:58, 65:91, 97:123, 128:256]] = False
 LOWER = np.arange(256, dtype=np.uint8)
@@ -87,7 +89,7 @@ def counted(texts: DataFrame) -> DataFrame:
         "level", "slot").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def fit(counts: DataFrame, z: float = Z, k: float = K) -> list[tuple[int, int, float, float]]:
+def fit(counts: DataFrame, discount: tuple = DISCOUNT) -> list[tuple[int, int, float, float]]:
     """(level, slot, excess over the shared backoff of ordinary, of toxic); only slots where one is positive.
 
     Counts are brought to the size of the toxic class. At most one row per slot reaches the driver.
@@ -99,9 +101,9 @@ def fit(counts: DataFrame, z: float = Z, k: float = K) -> list[tuple[int, int, f
     to_toxic = F.when(F.col("level") == 0, sums[0]["t"] / sums[0]["o"]).otherwise(sums[1]["t"] / sums[1]["o"])
     share = F.when(F.col("level") == 0, sums[0]["t"] / (sums[0]["o"] + sums[0]["t"])).otherwise(
         sums[1]["t"] / (sums[1]["o"] + sums[1]["t"]))
+    z, k = (F.when(F.col("level") == 0, discount[0][i]).otherwise(discount[1][i]) for i in (0, 1))
     n = (F.col("ordinary") + F.col("toxic")) * share
-    discount = n + z * F.sqrt(n + k)
-    excess = [F.greatest(c - discount, F.lit(0.0)) / (n + k) for c in (F.col("ordinary") * to_toxic, F.col("toxic"))]
+    excess = [F.greatest(c - n - z * F.sqrt(n + k), F.lit(0.0)) / (n + k) for c in (F.col("ordinary") * to_toxic, F.col("toxic"))]
     return [tuple(r) for r in counts.select("level", "slot", excess[0].alias("o"), excess[1].alias("t")).where(
         "o > 0 or t > 0").collect()]
 
@@ -152,10 +154,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     scored = cut_lineage(means(docs, fit(counted(training_texts(docs, labels)))))
     marked = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    place = F.floor((F.least(F.greatest("mean", F.lit(LOW)), F.lit(HIGH)) - LOW) / ((HIGH - LOW) / BINS))
+    scaled = F.least(F.greatest(F.asinh(F.col("mean") / SCALE), F.lit(LOW)), F.lit(HIGH))
+    place = F.floor((scaled - LOW) / ((HIGH - LOW) / BINS))
     bins = scored.join(marked, "doc_id").groupBy(place.alias("bin")).agg(F.count(F.lit(1)), F.sum("toxic")).collect()
     slope, intercept = logistic([tuple(r) for r in bins])  # at most BINS + 1 rows
-    score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("mean") + F.lit(intercept))))
+    score = 1 / (1 + F.exp(-(F.lit(slope) * scaled + F.lit(intercept))))
     return scored.select("doc_id", held_out().alias("held_out"), "mean", score.alias("score"))
 
 
