@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from scholarmesh.llm import byte_encoding, chat_format, fingerprints, near_dedup, packing, quality_rules, secret_scans, token_files, toxicity
+from scholarmesh.llm import byte_encoding, chat_format, fingerprints, near_dedup, packing, quality_rules, secret_scans, suffix_dedup, token_files, toxicity
 
 ENTRIES = {
     "op1_secret_scans": (secret_scans.op1_secret_scans, None),
+    "op2_suffix_dedup": (suffix_dedup.op2_suffix_dedup, None),
     "op3_chat_format": (chat_format.op3_chat_format, chat_format.OP3_SQL),
     "op4_quality_rules": (quality_rules.op4_quality_rules, None),
     "op5_toxicity": (toxicity.op5_toxicity, None),

@@ -29,7 +29,8 @@ def powers(n: int, base: np.uint64 = PRIME) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column; nulls are empty."""
-    column = column.fill_null("").cast(pa.large_string())
+    column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"").cast(
+        pa.large_binary())
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], dtype=np.int64, count=len(column) + 1, offset=8 * column.offset)
     data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
