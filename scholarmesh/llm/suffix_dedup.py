@@ -256,8 +256,11 @@ def compared(strings: DataFrame, length: int = LENGTH) -> DataFrame:
         run, "key long, doc_id long, lo long, hi long")
 
 
-def cut(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, doc_id, kept (binary), n_removed, n_spans of rows (key, doc_id, text, lo, hi)."""
+def cut(texts: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
+    """key, doc_id, kept (binary), n_removed, n_spans of rows (key, doc_id, text, lo, hi).
+
+    With whole_characters the bytes that are left of cut characters go too.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed, spans = [], [], []
@@ -267,7 +270,8 @@ def cut(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 np.add.at(edge, np.array(lo, dtype=np.int64), 1)
                 np.add.at(edge, np.array(hi, dtype=np.int64) + length, -1)
                 out = np.cumsum(edge[:-1]) > 0
-                kept.append(data[~out].tobytes())
+                rest = data[~out].tobytes()
+                kept.append(rest.decode("utf-8", "ignore").encode() if whole_characters else rest)
                 removed.append(int(out.sum()))
                 spans.append(int((out[1:] & ~out[:-1]).sum() + out[:1].sum()))
             yield pa.RecordBatch.from_arrays(
@@ -283,7 +287,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", whole_text().alias("text")).select("doc_id", _key(F.col("text")).alias("key"), "text")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whole_characters: bool = False) -> DataFrame:
     """key, doc_id, kept, n_removed, n_spans of the texts that lose bytes, one row per (doc_id, text); docs: as `keyed`."""
     folder = shared_folder(docs.sparkSession, "repeats")
     parts(docs, sorted_out(runs(docs, length, gram)), length).write.option("compression", "zstd").parquet(folder)
@@ -296,10 +300,23 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     empty = F.array().cast("array<bigint>")
     rest = rest.select("key", "doc_id", "text", F.concat("lo", F.coalesce("lo2", empty)).alias("lo"),
                        F.concat("hi", F.coalesce("hi2", empty)).alias("hi"))
-    return cut(whole.where("not open").drop("open").unionByName(rest), length).where("n_removed > 0").dropDuplicates(
+    return cut(whole.where("not open").drop("open").unionByName(rest), length, whole_characters).where("n_removed > 0").dropDuplicates(
         ["key", "doc_id"])
 
 
+def cut_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents without their repeated strings; bytes of cut characters go with them. All columns stay.
+
+    Documents of which a cut leaves nothing but white space are dropped. Nulls stay null.
+    """
+    own = docs.withColumn("_key", _key(whole_text()))
+    lost = without_repeats(keyed(docs), length, whole_characters=True).select(
+        F.col("key").alias("_other"), F.col("doc_id").alias("_id"), F.col("kept").cast("string").alias("_kept"))
+    joined = own.join(lost, (F.col("_key") == F.col("_other")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return joined.where(F.col("_kept").isNull() | F.col("_kept").rlike(r"\S")).withColumn(
+        "text", F.coalesce("_kept", "text")).drop("_key", "_other", "_id", "_kept")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed(documents(spark, sf_dir))
     lost = without_repeats(docs).select(

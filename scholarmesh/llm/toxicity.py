@@ -109,7 +109,7 @@ def fit(counts: DataFrame, discount: tuple = DISCOUNT) -> list[tuple[int, int, f
 
 
 def means(docs: DataFrame, model: list[tuple[int, int, float, float]]) -> DataFrame:
-    """doc_id, mean (of the log ratio over the words of the whole text) for (doc_id, text)."""
+    """doc_id, digest, mean (of the log ratio over the words of the whole text) for (doc_id, digest, text)."""
     rows = np.array(model or np.zeros((0, 4)), dtype=np.float64).reshape(-1, 4)
     sparse = [(rows[rows[:, 0] == level, 1].astype(np.int64), rows[rows[:, 0] == level, 2:]) for level in (0, 1)]
 
@@ -120,15 +120,17 @@ def means(docs: DataFrame, model: list[tuple[int, int, float, float]]) -> DataFr
             dense[:, slot] = values.T
             excess.append(dense)
         for batch in batches:
-            for lo, hi, data, offsets in S.blocks(batch.column(1)):
+            for lo, hi, data, offsets in S.blocks(batch.column(2)):
                 word, pair, row = slots(data, offsets)
                 toxic = 1 + excess[0][1, word] + excess[1][1, pair]
                 ordinary = 1 + excess[0][0, word] + excess[1][0, pair]
                 total = np.bincount(row, np.log(toxic / ordinary), hi - lo)
                 mean = total / np.maximum(np.bincount(row, minlength=hi - lo), 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(mean)], names=["doc_id", "mean"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
+                                                  pa.array(mean)], names=["doc_id", "digest", "mean"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, mean double")
+    return docs.select("doc_id", "digest", whole_text().alias("text")).mapInArrow(
+        run, "doc_id long, digest string, mean double")
 
 
 def logistic(bins: list[tuple[int, int, int]], ridge: float = 1e-3) -> tuple[float, float]:
@@ -149,9 +151,9 @@ def logistic(bins: list[tuple[int, int, int]], ridge: float = 1e-3) -> tuple[flo
     return float(beta[0]), float(beta[1])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, mean, score for every row of (doc_id, text); labels: doc_id, toxic."""
-    docs = docs.select("doc_id", "text")
+def toxicity(docs: DataFrame, labels: DataFrame, digest: Column | None = None) -> DataFrame:
+    """doc_id, digest (if one is given), held_out, mean, score for every row of (doc_id, text); labels: doc_id, toxic."""
+    docs = docs.select("doc_id", "text", (F.lit(None).cast("string") if digest is None else digest).alias("digest"))
     scored = cut_lineage(means(docs, fit(counted(training_texts(docs, labels)))))
     marked = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     scaled = F.least(F.greatest(F.asinh(F.col("mean") / SCALE), F.lit(LOW)), F.lit(HIGH))
@@ -159,7 +161,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bins = scored.join(marked, "doc_id").groupBy(place.alias("bin")).agg(F.count(F.lit(1)), F.sum("toxic")).collect()
     slope, intercept = logistic([tuple(r) for r in bins])  # at most BINS + 1 rows
     score = 1 / (1 + F.exp(-(F.lit(slope) * scaled + F.lit(intercept))))
-    return scored.select("doc_id", held_out().alias("held_out"), "mean", score.alias("score"))
+    return scored.select("doc_id", "digest", held_out().alias("held_out"), "mean", score.alias("score"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that score below the threshold; all columns stay, repeated rows are judged alike.
+
+    Rows are joined to the rejected (doc_id, digest of the text).
+    """
+    digest = F.md5(whole_text().cast("binary"))
+    scored = toxicity(docs, labels, digest)
+    out = scored.where(F.col("score") >= threshold).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    return docs.withColumn("_own", digest).join(
+        out, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_anti").drop("_own")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
