@@ -139,7 +139,8 @@ def _role_in(role: Column) -> Column:
 
 
 def _role_out(role: Column) -> Column:
-    return F.regexp_replace(F.replace(F.regexp_replace(role, r"\\([\\|])", "\x00$1"), F.lit("\\n"), F.lit("\n")), "\x00", "")
+    """Line ends are a backslash of their own and an n, so an even number of backslashes stands before that."""
+    return unescape(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
 
 
 def loss_runs(turns: Column) -> Column:

@@ -26,7 +26,7 @@ BASE = [
 ]
 WEAK = [
     ("identifier", r"""(?i:client_?id|access_?key_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]+)""", 1, 3),
-    ("blob", r"[A-Za-z0-9+/]{40,}={0,2}", 0, 40),
+    ("blob", r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{40,}={0,2}", 0, 40),
     ("endpoint", r"""(?:https?|jdbc:[a-z]+|amqp|redis|mongodb)://[^\s"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+""", 0, 8),
 ]
 KINDS = [k for k, *_ in BASE + WEAK]
