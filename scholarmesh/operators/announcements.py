@@ -233,7 +233,7 @@ def merge_extension_dates(calls: DataFrame, updates: DataFrame) -> DataFrame:
     both = F.concat("dates", F.coalesce("announced", F.array().cast(calls.schema["dates"].dataType)))
     changed = F.col("new_urls").isNotNull()
     return out.withColumn("dates", F.when(changed, latest_per_label_array(both)).otherwise(F.col("dates"))).withColumn(
-        "update_urls", F.concat("update_urls", F.coalesce("new_urls", F.array().cast("array<string>")))).drop(
+        "update_urls", F.array_union("update_urls", F.coalesce("new_urls", F.array().cast("array<string>")))).drop(
         "announced", "new_urls")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from scholarmesh.functions import text as X
 from scholarmesh.functions.ranking import running_total, top_k
 from scholarmesh.operators.scoring import to_percent
+from scholarmesh.operators.sections import split_lines
 
 SHOWN_TOPICS = 4
 FALLBACK_CHUNKS = 2
@@ -26,9 +27,9 @@ LINE_KEYS = ["query_id", "person_id"]
 
 def content_lines(content: Column) -> Column:
     """Non-blank lines after the header line, as structs (pos, line)."""
-    lines = F.split(content, r"\r\n|\r|\n")
+    lines = split_lines(content)
     indexed = F.transform(lines, lambda line, i: F.struct(i.alias("pos"), line.alias("line")))
-    return F.filter(indexed, lambda x: (x["pos"] > 0) & (F.trim(x["line"]) != ""))
+    return F.filter(indexed, lambda x: (x["pos"] > 0) & x["line"].rlike(r"(?U)\S"))
 
 
 def number_lines(chunks: DataFrame, keys: list[str] = LINE_KEYS, order: str = "evidence_rank",

@@ -28,6 +28,8 @@ SECTION_LABELS = {
 }
 # Thesis levels.
 THESIS_LEVELS = {"yuksek_lisans": "Yüksek Lisans", "doktora": "Doktora"}
+# Fixed value: what a level of a doctorate or its equal in the arts contains.
+DOCTORAL_LEVEL = r"(?i)dokt|ph\.?d|sanatta yeterlik"
 
 
 def split_lines(text: Column) -> Column:
@@ -247,7 +249,7 @@ def to_common_cv() -> dict[str, Column]:
         none(p["rol"]).alias("role"),
         none(F.concat_ws(" – ", none(p["baslangic"]), none(p["bitis"]))).alias("period")))
     theses = F.transform("yonetilen_tezler", lambda t: F.struct(
-        t["tez_adi"].alias("title"), F.when(F.lower(t["duzey"]).contains("doktora"), F.lit("doktora"))
+        t["tez_adi"].alias("title"), F.when(t["duzey"].rlike(DOCTORAL_LEVEL), F.lit("doktora"))
         .otherwise(F.lit("yuksek_lisans")).alias("level"), none(t["yil"]).alias("year")))
     return {
         "title": X.registry_title(c("unvan"), has_doctorate(c("ogrenim"))),

@@ -126,12 +126,16 @@ def diff_summary(field_changes: DataFrame, report: DataFrame) -> DataFrame:
     return counts.withColumn("n_changed", report.agg(F.count("*")).scalar())
 
 
-def load_snapshot(raw: DataFrame, sections: list[str] = DETAIL_SECTIONS, key: str = "author_id") -> DataFrame:
-    """Snapshot rows with `has_details` (all section columns present), one per key, last occurrence."""
-    present = F.lit(True)
-    for s in sections:
-        present = present & F.col(s).isNotNull()
-    return raw.withColumn("has_details", present)
+def upsert_by_key(stored: DataFrame, loaded: DataFrame, key: str = "author_id", order: str | None = None) -> DataFrame:
+    """Stored rows with the loaded ones in their place, one row per key.
+
+    Of several loaded rows of a key the one with the greatest `order` counts (ties: the greatest row); without an order
+    the greatest row. Both tables have the same columns.
+    """
+    rest = [c for c in loaded.columns if c != key]
+    rank = F.struct(*([order] if order else []), *rest)
+    newest = loaded.groupBy(key).agg(F.max_by(F.struct(*rest), rank).alias("_r")).select(key, "_r.*")
+    return stored.join(newest, key, "left_anti").unionByName(newest)
 
 
 def apply_snapshot(stored: DataFrame, listed: DataFrame, fields: list[str], today: Column,

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlparse
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholarmesh.functions.text import collapse_spaces
+from scholarmesh.functions.text import collapse_spaces, let
 
 MIN_MAIN_TEXT = 100
 
@@ -20,94 +20,104 @@ SCAFFOLD = {"nav", "header", "footer", "aside", "script", "style", "noscript", "
 BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "br", "table", "ul", "ol"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
-LINK = T.StructType([T.StructField("label", T.StringType()), T.StructField("url", T.StringType())])
-PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("heading", T.StringType()),
-                     T.StructField("links", T.ArrayType(LINK))])
+RAW = T.StructType([T.StructField("text", T.StringType()), T.StructField("heading", T.StringType()),
+                    T.StructField("links", T.ArrayType(T.StructType([
+                        T.StructField("label", T.StringType()), T.StructField("url", T.StringType())])))])
+# Elements whose end tag may be left out: a start tag of these ends an open one.
+ENDED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
 
-class _Page(HTMLParser):
-    """Collects visible text with line breaks at blocks, the first heading and the links with their labels."""
+class _Segments(HTMLParser):
+    """Raw visible text (a line feed per block), heading and links; tidying is left to column expressions.
+
+    `open` holds the open elements, `hidden` the number of them that are outside of the hidden one, if there is one. An
+    end tag closes everything inside its element, so a hidden element that is never closed ends with its parent.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.text: list[str] = []
-        self.heading: list[str] | None = None
+        self.parts: dict[str, list[str]] = {"text": [], "heading": []}
         self.links: list[tuple[str, list[str]]] = []
-        self._hidden: list[str] = []  # open tag name of the hidden subtree, once per nested element of that name
-        self._in_heading = self._in_link = self._in_title = False
+        self.open: list[str] = []
+        self.hidden: int | None = None
+
+    def _close(self, keep: int) -> None:
+        del self.open[keep:]
+        if self.hidden is not None and keep <= self.hidden:
+            self.hidden = None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self._hidden:
-            if tag == self._hidden[0]:
-                self._hidden.append(tag)
-            return
-        a = dict(attrs)
-        menu = "menu" in (a.get("class") or "") or "menu" in (a.get("id") or "")
-        if tag not in VOID and (tag in SCAFFOLD or menu or a.get("role") == "navigation"):
-            self._hidden.append(tag)
-            return
-        if tag in BLOCKS:
-            self.text.append("\n")
-        if tag == "title":
-            self._in_title = True
-        elif tag == "h1" and self.heading is None:
-            self.heading, self._in_heading = [], True
-        elif tag == "a" and a.get("href"):
-            self.links.append((a["href"], []))
-            self._in_link = True
+        if self.open and tag in ENDED_BY.get(self.open[-1], ()):
+            self._close(len(self.open) - 1)
+        given = {k: v or "" for k, v in attrs}
+        if tag not in VOID:
+            scaffold = tag in SCAFFOLD or given.get("role") == "navigation" or any(
+                "menu" in given.get(k, "") for k in ("class", "id"))
+            if scaffold and self.hidden is None:
+                self.hidden = len(self.open)
+            self.open.append(tag)
+        if self.hidden is None:
+            if tag in BLOCKS:
+                self.parts["text"].append("\n")
+            if tag == "a" and given.get("href"):
+                self.links.append((given["href"], []))
 
     def handle_endtag(self, tag: str) -> None:
-        if self._hidden:
-            if tag == self._hidden[-1]:
-                self._hidden.pop()
-            return
-        if tag in BLOCKS:
-            self.text.append("\n")
-        if tag == "title":
-            self._in_title = False
-        elif tag == "h1":
-            self._in_heading = False
-        elif tag == "a":
-            self._in_link = False
+        if self.hidden is None and tag in BLOCKS:
+            self.parts["text"].append("\n")
+        if tag in self.open:
+            self._close(len(self.open) - 1 - self.open[::-1].index(tag))
+        if tag == "h1" and self.hidden is None and self.parts["heading"]:
+            self.parts["heading"].append("\0")  # the first heading ends here
 
     def handle_data(self, data: str) -> None:
-        if self._hidden or self._in_title:
-            return
-        self.text.append(data)
-        if self._in_heading:
-            self.heading.append(data)
-        if self._in_link:
-            self.links[-1][1].append(data)
-
-
-def _parse(html: str | None, url: str | None) -> dict:
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    lines = (" ".join(line.split()) for line in "".join(page.text).splitlines())
-    links: dict[str, str] = {}
-    for href, label in page.links:
-        try:
-            target = urljoin(url or "", href.strip())
-            if urlparse(target).scheme not in ("http", "https"):
-                continue
-        except ValueError:  # malformed address
-            continue
-        links.setdefault(target, " ".join("".join(label).split()).strip("[]() ") or target)
-    return {"text": "\n".join(line for line in lines if line),
-            "heading": " ".join("".join(page.heading or []).split()) or None,
-            "links": [{"label": label, "url": target} for target, label in links.items()]}
-
-
-@F.pandas_udf(PAGE)
-def parse_page(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        if self.hidden is None and "title" not in self.open:
+            self.parts["text"].append(data)
+            if "h1" in self.open:
+                self.parts["heading"].append(data)
+            if "a" in self.open and self.links:
+                self.links[-1][1].append(data)
+
+
+def _absolute(page: str | None, href: str) -> str | None:
+    try:
+        return urljoin(page or "", href.strip())
+    except ValueError:  # malformed address
+        return None
+
+
+@F.pandas_udf(RAW)
+def _segments(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for htmls, urls in batches:
-        yield pd.DataFrame([_parse(h, u) for h, u in zip(htmls, urls)], columns=["text", "heading", "links"])
+        rows = []
+        for html, url in zip(htmls, urls):
+            page = _Segments()
+            page.feed(html or "")
+            page.close()
+            rows.append({"text": "".join(page.parts["text"]), "heading": "".join(page.parts["heading"]),
+                         "links": [{"label": "".join(label), "url": _absolute(url, href)} for href, label in page.links]})
+        yield pd.DataFrame(rows, columns=["text", "heading", "links"])
+
+
+def _tidy(raw: Column) -> Column:
+    """Struct (text, heading, links): lines without outer and repeated spaces, web links by first occurrence of an address."""
+    def link(x: Column) -> Column:
+        label = F.btrim(collapse_spaces(x["label"]), F.lit("[]() "))
+        return F.struct(F.coalesce(F.nullif(label, F.lit("")), x["url"]).alias("label"), x["url"].alias("url"))
+
+    lines = F.filter(F.transform(F.split(raw["text"], r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), collapse_spaces),
+                     lambda x: x != "")
+    web = F.transform(F.filter(raw["links"], lambda x: x["url"].rlike("(?i)^https?:")), link)
+    first = let(web, lambda w: let(F.transform(w, lambda x: x["url"]), lambda urls: F.filter(
+        w, lambda x, i: F.array_position(urls, x["url"]) == i + 1)))
+    return F.struct(F.array_join(lines, "\n").alias("text"), F.nullif(collapse_spaces(
+        F.substring_index(raw["heading"], "\0", 1)), F.lit("")).alias("heading"), first.alias("links"))
 
 
 def parse_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Pages without their HTML, with the parsed struct `page`."""
-    return pages.withColumn("page", parse_page(F.col(html), F.col(url))).drop(html)
+    raw = pages.withColumn("_raw", _segments(F.col(html), F.col(url))).drop(html)
+    return raw.withColumn("page", _tidy(F.col("_raw"))).drop("_raw")
 
 
 def extract_main_text(pages: DataFrame, min_chars: int = MIN_MAIN_TEXT, with_heading: bool = False) -> DataFrame:
@@ -133,6 +143,3 @@ def extract_links(pages: DataFrame, key: str = "page_id", in_main_text: bool = F
         rows = rows.where(F.contains(flat, F.lower(F.col("l.label"))) & ~F.startswith(F.col("l.url"), own))
     return rows.select(key, "pos", "l.label", "l.url")
 
-
-def with_heading(heading: Column, text: Column) -> Column:
-    return F.concat_ws("\n\n", F.concat(F.lit("# "), heading), text)

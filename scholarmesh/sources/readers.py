@@ -17,9 +17,11 @@ DOCUMENT_EXTENSIONS = ("pdf", "docx")
 def announcements_from_pages(pages: DataFrame) -> DataFrame:
     """(url, title, publish_date) of listing pages; a page with a false state fails the job when it is read.
 
+    `state` counts wherever the page has it, else `status`; pages read from text say so in `has_state`.
     The date is the first non-empty of `date_to_show` and `publish_start_date`; text that is no ISO date gives null.
     """
-    ok = F.coalesce("state", "status", F.lit(False))
+    has_state = F.col("has_state") if "has_state" in pages.columns else F.col("state").isNotNull()
+    ok = F.coalesce(F.when(has_state, F.col("state")).otherwise(F.col("status")), F.lit(False))
     data = F.when(ok, F.col("data")).otherwise(F.raise_error(F.lit("announcement page reports an error state")))
     d = F.col("d")
     date = F.coalesce(F.nullif(d["date_to_show"], F.lit("")), F.nullif(d["publish_start_date"], F.lit("")))
@@ -30,7 +32,10 @@ def announcements_from_pages(pages: DataFrame) -> DataFrame:
 
 def read_announcements_json(spark: SparkSession, path: str) -> DataFrame:
     """Announcements of a folder of paged JSON answers, one JSON object per file."""
-    return announcements_from_pages(spark.read.schema(ANNOUNCEMENT_PAGE).option("multiLine", True).json(path))
+    text = spark.read.text(path, wholetext=True)
+    return announcements_from_pages(text.select(
+        F.from_json("value", ANNOUNCEMENT_PAGE).alias("p"),
+        F.coalesce(F.array_contains(F.json_object_keys("value"), "state"), F.lit(False)).alias("has_state")).select("p.*", "has_state"))
 
 
 def snapshot_from_json(rows: DataFrame, json: str, schema: str, sections: list[str] = DETAIL_SECTIONS,
