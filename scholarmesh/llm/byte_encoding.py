@@ -14,7 +14,6 @@ before it is used) each get their result; null document ids stay null.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 from scholarmesh.llm.common import cut_lineage, documents
 from scholarmesh.llm.tokens import public_path, rank_encoder
 
-CHUNK, OVERLAP = 16_384, 256
+CHUNK, OVERLAP = 65_536, 256
+ROWS = 500  # rows that a task turns into Python objects at once
 
 
 def boundaries(text: str) -> np.ndarray:
@@ -88,54 +88,43 @@ def pieces(parts: DataFrame, joints: DataFrame, chunk: int) -> DataFrame:
 
 
 def encoded(parts: DataFrame, path: str) -> DataFrame:
-    """row, doc_id, n_chunks, no, ids (binary, little-endian unsigned 32-bit) of every piece."""
+    """row, doc_id, n_chunks, no, ids (binary, little-endian unsigned 32-bit) and the bytes decoded from them, by piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rank_encoder(path)
-        last: tuple = (None, None)
+        last: tuple = (None, None, None)
         for batch in batches:
-            out = []
-            for text in batch.column(4).to_pylist():
-                if text != last[0]:
-                    ids = encoder.encode_to_numpy(text, disallowed_special=())
-                    last = (text, np.asarray(ids, dtype="<u4").tobytes())
-                out.append(last[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())],
-                                             names=["row", "doc_id", "n_chunks", "no", "ids"])
+            for lo in range(0, len(batch), ROWS):
+                some, out = batch.slice(lo, ROWS), []
+                for text in some.column(4).to_pylist():
+                    if text != last[0]:
+                        ids = np.asarray(encoder.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+                        last = (text, ids.tobytes(), encoder.decode_bytes(ids.tolist()))
+                    out.append(last[1:])
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns[:4], *[pa.array([x[n] for x in out], pa.binary()) for n in (0, 1)]],
+                    names=["row", "doc_id", "n_chunks", "no", "ids", "decoded"])
 
     return parts.select("row", "doc_id", "n_chunks", "no", "piece").mapInArrow(
-        run, "row long, doc_id long, n_chunks int, no int, ids binary")
+        run, "row long, doc_id long, n_chunks int, no int, ids binary, decoded binary")
 
 
-def digests(ids: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 from rows (doc_id, parts: the binary ids in order)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = rank_encoder(path)
-        for batch in batches:
-            n, of_ids, of_text = [], [], []
-            for parts in batch.column(1).to_pylist():
-                raw = b"".join(parts)
-                n.append(len(raw) // 4)
-                of_ids.append(hashlib.sha256(raw).hexdigest())
-                of_text.append(hashlib.sha256(encoder.decode_bytes(np.frombuffer(raw, dtype="<u4").tolist())).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return ids.select("doc_id", "parts").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def _hex_of(name: str):
+    return lambda x: F.hex(x[name])
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, parts (array of binary ids, in text order) for every row of (doc_id, text)."""
+    """doc_id, ids (binary) and the bytes decoded from them, for every row of (doc_id, text)."""
     all_parts = chunks(docs, chunk, overlap)
     long_parts = cut_lineage(all_parts.where("n_chunks > 1"))  # read for the seams and for the pieces
     joints = seams(zones(long_parts, chunk, overlap))
-    short = encoded(all_parts.where("n_chunks = 1"), path).select("doc_id", F.array("ids").alias("parts"))
+    short = encoded(all_parts.where("n_chunks = 1"), path).select("doc_id", "ids", "decoded")
     long = encoded(pieces(long_parts, joints, chunk), path).groupBy("row", "doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("x")).select(
-        "doc_id", F.transform("x", lambda x: x["ids"]).alias("parts"))
+        F.sort_array(F.collect_list(F.struct("no", "ids", "decoded"))).alias("x")).select("doc_id", *[
+        F.unhex(F.array_join(F.transform("x", _hex_of(c)), "")).alias(c) for c in ("ids", "decoded")])
     return short.unionByName(long)
 
 
 def op8_byte_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_path("byte_bpe_50k.tiktoken")
-    return digests(encode(documents(spark, sf_dir), path), path)
+    coded = encode(documents(spark, sf_dir), public_path("byte_bpe_50k.tiktoken"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
