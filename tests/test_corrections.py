@@ -82,9 +82,9 @@ def test_replayed_updates_add_no_address(spark):
 
 def test_updates_of_nothing_found_one_call(spark):
     items = spark.createDataFrame([
-        ("a", "Liman destek süresi uzatıldı", "s", date(2024, 1, 1), "proje başvuru"),
-        ("b", "Liman destek süresi uzatıldı", "s", date(2024, 1, 5), "proje başvuru"),
-        ("b", "Liman destek süresi uzatıldı", "s", date(2024, 1, 5), "proje başvuru")], I.ITEM)
+        ("a", "Ege Liman Gemi Kuru Yük destek süresi uzatıldı", "s", date(2024, 1, 1), "proje başvuru"),
+        ("b", "Ege Liman Gemi Kuru Yük destek süresi uzatıldı", "s", date(2024, 1, 5), "proje başvuru"),
+        ("b", "Ege Liman Gemi Kuru Yük destek süresi uzatıldı", "s", date(2024, 1, 5), "proje başvuru")], I.ITEM)
     out = I.ingest_batch(items, spark.createDataFrame([], I.LEDGER), spark.createDataFrame([], I.CALL))
     assert out.new_calls.select("url").collect() == [("a",)]
     assert sorted((r.url, r.decision) for r in out.ledger.collect()) == [("a", "cagri"), ("b", "guncelleme")]
