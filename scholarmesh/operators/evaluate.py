@@ -43,7 +43,7 @@ def mode_rankings(chunks: DataFrame, vectors: DataFrame, profiles: DataFrame, qu
     """
     semantic = R._zero_based(R.knn_exact(vectors, queries), "chunk_id")
     lexical = R._zero_based(R.bm25_topk(chunks, queries), "chunk_id")
-    ranking = R.profile_ranking(profiles, queries)
+    ranking = R.profile_ranking(profiles, queries, None)
     owners = chunks.select("chunk_id", "person_id")
     out = None
     for mode, (use_semantic, use_bm25, use_profile) in MODES.items():

@@ -18,8 +18,9 @@ from scholarmesh.session import cut_lineage
 def rank_persons(chunks: DataFrame, vectors: DataFrame, profiles: DataFrame, queries: DataFrame,
                  limit: int = S.RESULT_COUNT) -> DataFrame:
     """(query_id, person_id, score, rank): hybrid hits and profile ranks combined, at most `limit` per query."""
-    hits = R.hybrid_chunk_search(chunks, vectors, queries, with_content=False)
-    return cut_lineage(S.score_persons(hits, R.profile_ranking(profiles, queries), limit=limit))
+    hits = cut_lineage(R.hybrid_chunk_search(chunks, vectors, queries, with_content=False))
+    # a person without hits needs one of the best `limit` profile ranks; persons with hits keep their rank among all
+    return cut_lineage(S.score_persons(hits, R.profile_ranking(profiles, queries, limit, hits), limit=limit))
 
 
 def evidence_of(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, ranked: DataFrame,

@@ -20,7 +20,6 @@ from scholarmesh.session import cut_lineage
 BM25_TOP_K = 50
 SEMANTIC_TOP_K = 50
 RRF_K = 60
-PROFILE_LIMIT = 1000
 EVIDENCE_BUDGET = 24_000
 SCORE_DIGITS = 6  # scores equal to this many digits count as ties, broken by id
 K1, B = 1.5, 0.75
@@ -234,10 +233,55 @@ def profile_vectors(vectors: DataFrame, key: str = "person_id", embedding: str =
     return ordered.select(key, F.col("_m._mean").alias("embedding"))
 
 
-def profile_ranking(profiles: DataFrame, queries: DataFrame, limit: int = PROFILE_LIMIT) -> DataFrame:
-    """Profiles per query by cosine similarity, at most `limit`: (query_id, person_id, profile_rank from 0)."""
-    return knn_exact(profiles, queries, limit, id_col="person_id").select(
+def profile_ranking(profiles: DataFrame, queries: DataFrame, limit: int | None, also: DataFrame | None = None) -> DataFrame:
+    """(query_id, person_id, similarity, profile_rank from 0) by cosine similarity.
+
+    The best `limit` profiles of each query, and with `also` (query_id, person_id) those persons too, with their rank
+    among all profiles. Without a limit all profiles are ranked.
+    """
+    k = profiles.count() if limit is None else limit
+    best = knn_exact(profiles, queries, max(k, 1), id_col="person_id").select(
         "query_id", "person_id", "similarity", (F.col("rank") - 1).alias("profile_rank"))
+    if also is None or limit is None:
+        return best
+    rest = cut_lineage(also.select("query_id", "person_id").distinct().join(best, ["query_id", "person_id"], "left_anti"))
+    return best.unionByName(exact_ranks(profiles, queries, rest))
+
+
+def exact_ranks(profiles: DataFrame, queries: DataFrame, pairs: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """Ranks of chosen (query_id, person_id) pairs among all profiles: (query_id, person_id, similarity, profile_rank).
+
+    Profiles stay where they are: each task multiplies its Arrow batches by the vectors of a block of pairs' queries and
+    counts the profiles before each pair, so that one count per task and pair is shuffled. One pass per block of pairs.
+    """
+    vector = profiles.select("person_id", F.col("embedding").alias("_v"))
+    asked = cut_lineage(pairs.join(queries.select("query_id", F.col("vector").alias("_q")), "query_id").join(
+        vector, "person_id").select("query_id", "person_id", "_q", F.round(cosine(F.col("_v"), F.col("_q")), 12).alias("similarity")))
+    blocks = max(1, -(-asked.count() // block))
+    numbered = asked.withColumn("_b", F.pmod(F.xxhash64("query_id", "person_id"), F.lit(blocks)))
+    counted = None
+    for n in range(blocks):
+        rows = numbered.where(F.col("_b") == n).toPandas()  # about one block of pairs
+        if rows.empty:
+            continue
+        matrix, own, ids = _matrix(rows["_q"]), rows["similarity"].to_numpy(), rows["person_id"].to_numpy()
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            before = np.zeros(len(own), dtype=np.int64)
+            for batch in batches:
+                if not batch.empty:
+                    sims = np.round(_matrix(batch["_v"]) @ matrix.T, 12)
+                    tie = (sims == own) & (batch["person_id"].to_numpy()[:, None] < ids)
+                    before += ((sims > own) | tie).sum(axis=0)
+            yield pd.DataFrame({"_n": np.arange(len(own)), "_before": before})
+
+        keys = asked.sparkSession.createDataFrame(rows[["query_id", "person_id", "similarity"]].assign(_n=range(len(rows))))
+        part = vector.mapInPandas(count, "_n long, _before long").groupBy("_n").agg(F.sum("_before").alias("_before")).join(
+            F.broadcast(keys), "_n")
+        counted = part if counted is None else counted.unionByName(part)
+    if counted is None:
+        counted = asked.withColumn("_before", F.lit(0).cast("long"))
+    return counted.select("query_id", "person_id", "similarity", F.col("_before").cast("int").alias("profile_rank"))
 
 
 # --- fusion -----------------------------------------------------------------------------------
@@ -318,9 +362,12 @@ def person_evidence(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, c
     both = running_total(both, keys, [F.desc("bm25"), F.asc("chunk_id")], lexical_bucket, name="_l", totals_from=scored)
     fused = both.withColumn("rrf", 1.0 / (rrf_k - 1 + F.col("_s")) + 1.0 / (rrf_k - 1 + F.col("_l")))
 
-    # every listed chunk has at least one character, so only the first `budget` + 1 can be listed
-    candidates = cut_lineage(top_k(fused.where(F.col("_chars") > 0), keys, [F.desc("rrf"), F.asc("chunk_id")],
-                                   budget + 1, "_r"))
+    # chunks of no characters are listed too; of the others, only the first `budget` + 1 can fit
+    blank = F.col("_chars") == 0
+    filled = top_k(fused.where(~blank), keys, [F.desc("rrf"), F.asc("chunk_id")], budget + 1, "_r").drop("_r")
+    candidates = running_total(filled.unionByName(fused.where(blank)), keys, [F.desc("rrf"), F.asc("chunk_id")],
+                               -F.floor(F.col("rrf") * (1 << 16)), name="_r")
+    candidates = cut_lineage(candidates)
     listed = running_total(candidates, keys, [F.asc("_r")], F.floor(F.col("_r") / 1024), F.col("_chars"), "_used")
     hits = cut_lineage(listed.where(F.col("_used") <= budget).select(
         *keys, "chunk_id", F.col("_r").alias("evidence_rank"), "rrf", "similarity"))

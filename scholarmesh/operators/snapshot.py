@@ -39,13 +39,13 @@ def display_text(section: str) -> "callable":
     }.get(section, lambda i: i["baslik"])
 
 
-def list_quality_gate(listed: DataFrame, previous: DataFrame, expected: int) -> DataFrame:
-    """One row (n_rows, n_previous, refused): refused when empty, below 0.9 of the expected number or below 0.45 of
-    the previous one. Nothing is to be applied when refused."""
+def list_quality_gate(listed: DataFrame, previous: DataFrame, expected: Column) -> DataFrame:
+    """One row (n_rows, n_previous, refused): refused when empty, below 0.9 of the expected number (a constant, or one
+    row's count as a scalar) or below 0.45 of the previous one. Nothing is to be applied when refused."""
     counts = listed.agg(F.count("*").alias("n_rows")).withColumn(
         "n_previous", previous.agg(F.count("*")).scalar())
     n, prev = F.col("n_rows"), F.col("n_previous")
-    refused = ((n == 0) | ((F.lit(expected) > 0) & (n < expected * MIN_LIST_RATIO))
+    refused = ((n == 0) | ((expected > 0) & (n < expected * MIN_LIST_RATIO))
                | ((prev > 0) & (n < prev * MIN_LIST_RATIO / 2)))
     return counts.withColumn("refused", refused)
 

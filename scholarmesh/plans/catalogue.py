@@ -145,11 +145,10 @@ def _new(mode: str):
 
 
 def processing_order(s: SparkSession, f: str) -> DataFrame:
-    """The order of processing as a position, for items of the last year."""
+    """All items of the last year and all failed ones, in the order of processing."""
     today = F.lit("2001-10-01").cast("date")
     items = A.new_announcements(_listed(s, f), _ledger(s, f), today, "unsorted")
-    ordered = A.processing_order(items.where(F.col("retry") | (F.col("publish_date") >= F.lit("2001-09-01").cast("date"))))
-    return ordered.select("url", "retry", "publish_date")
+    return A.processing_order(items).select("url", "retry", "publish_date")
 
 
 def _updates(s: SparkSession, f: str) -> DataFrame:
@@ -332,7 +331,7 @@ ENTRIES = {
     "new_announcements_backfill": (_new("backfill"), _new_sql("marked JOIN stops USING (source) WHERE NOT known AND pos < coalesce(fo, 9223372036854775807)", STOPS)),
     "new_announcements_unsorted": (_new("unsorted"), UNSORTED),
     "backfill_window": (backfill_window, UNSORTED),
-    "processing_order": (processing_order, f"SELECT * FROM ({UNSORTED}) WHERE retry OR publish_date >= '2001-09-01' ORDER BY retry, publish_date NULLS LAST, url"),
+    "processing_order": (processing_order, f"SELECT * FROM ({UNSORTED}) ORDER BY retry, publish_date NULLS LAST, url"),
     "match_update_to_call": (match_update_to_call, UPDATE_SQL),
     "find_repeat_call": (find_repeat_call, REPEAT_SQL),
     "keep_known_links": (keep_known_links, r"SELECT page_id, url, 1::BIGINT AS pos, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') AS label FROM pages"),

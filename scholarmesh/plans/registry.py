@@ -45,7 +45,8 @@ def _items(s: SparkSession, f: str, new: bool) -> DataFrame:
 
 
 def list_quality_gate(s: SparkSession, f: str) -> DataFrame:
-    return N.list_quality_gate(_snapshot(s, f, True), _snapshot(s, f, False), 1500)
+    known = B.table(s, f, "customer").agg(F.count("*")).scalar()
+    return N.list_quality_gate(_snapshot(s, f, True), _snapshot(s, f, False), known)
 
 
 def snapshot_diff(s: SparkSession, f: str) -> DataFrame:
@@ -312,7 +313,7 @@ TOPIC = rf"(CASE WHEN length({FLAT}) <= 800 THEN {FLAT} ELSE regexp_extract(left
 TITLED = "'Gemi ve ' || CASE WHEN lang = 'de' THEN 'de' ELSE upper(left(lang, 1)) || substr(lang, 2) END"
 
 ENTRIES = {
-    "list_quality_gate": (list_quality_gate, f"""{O_} SELECT n AS n_rows, p AS n_previous, n = 0 OR n < 1500 * 0.9 OR (p > 0 AND n < p * 0.45) AS refused
+    "list_quality_gate": (list_quality_gate, f"""{O_} SELECT n AS n_rows, p AS n_previous, n = 0 OR n < (SELECT count(*) FROM customer) * 0.9 OR (p > 0 AND n < p * 0.45) AS refused
         FROM (SELECT count(*) AS n FROM snap_new), (SELECT count(*) AS p FROM snap_old)"""),
     "snapshot_diff": (snapshot_diff, f"{O_} SELECT * FROM changes"),
     "multiset_diff": (multiset_diff, f"{O_} SELECT author_id, section, CASE WHEN n > 0 THEN 'added' ELSE 'removed' END AS change, 'Öncelik: ' || p || CASE WHEN n > 0 THEN '!' ELSE '' END AS text, abs(n) AS n FROM net"),

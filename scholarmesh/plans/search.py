@@ -119,7 +119,7 @@ def hybrid_chunk_search(s: SparkSession, f: str) -> DataFrame:
 
 
 def profile_ranking(s: SparkSession, f: str) -> DataFrame:
-    return R.profile_ranking(B.profiles(s, f), B.queries(s, f))
+    return R.profile_ranking(B.profiles(s, f), B.queries(s, f), None)
 
 
 def score_persons(s: SparkSession, f: str) -> DataFrame:
@@ -129,7 +129,7 @@ def score_persons(s: SparkSession, f: str) -> DataFrame:
 def scores_without_profile(s: SparkSession, f: str) -> DataFrame:
     c, v, q = _parts(s, f)
     hits = R.hybrid_chunk_search(c, v, q, with_content=False)
-    return S.score_persons(hits, R.profile_ranking(B.profiles(s, f), q), use_profile=False)
+    return S.score_persons(hits, R.profile_ranking(B.profiles(s, f), q, None), use_profile=False)
 
 
 def to_percent(s: SparkSession, f: str) -> DataFrame:
@@ -413,10 +413,11 @@ ENTRIES = {
           SELECT DISTINCT source AS person_id FROM documents) USING (person_id) JOIN (
           SELECT 'src' || string_split(p_brand, '#')[2] AS person_id, string_agg(DISTINCT p_name || ' ' || p_type, ' ' ORDER BY p_name || ' ' || p_type) AS keywords FROM part GROUP BY ALL) USING (person_id)),
         {Q.QUERY_TERMS}, {Q.bm25('cand', 'call_id', 'text')},
-        csim AS (SELECT query_id, vec_id AS call_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 12) AS s FROM embeddings, q),
+        csim AS (SELECT query_id, vec_id AS call_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 12) AS s FROM embeddings SEMI JOIN cand ON call_id = vec_id, q),
         top1000 AS {Q.top('csim', 'query_id', 's DESC, call_id', 1000)},
-        a AS (SELECT query_id, call_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS r FROM top1000 SEMI JOIN cand USING (call_id)),
-        b AS (SELECT query_id, call_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, call_id) - 1 AS r FROM bm),
+        a AS (SELECT query_id, call_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS r FROM top1000),
+        b AS (SELECT query_id, call_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(bm25, 0) DESC, call_id) - 1 AS r
+          FROM (SELECT query_id, call_id FROM q CROSS JOIN cand) LEFT JOIN bm USING (query_id, call_id)),
         fu AS (SELECT query_id, call_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
         SELECT query_id AS person_id, call_id, round(score, 6) AS score, rank, {PERCENT} AS percent FROM {Q.top('fu', 'query_id', 'score DESC, call_id', 5)}"""),
     "retrieval_metrics": (retrieval_metrics, f"""{W}{BASE}, {GOLD}, modes AS (SELECT 'hybrid+profile' AS mode),

@@ -87,8 +87,8 @@ PROFILES = f"""pv AS (SELECT person_id, list(m ORDER BY i) AS embedding FROM (
     SELECT source AS person_id, i, avg(embedding[i]::DOUBLE) AS m
     FROM embeddings JOIN documents ON vec_id = doc_id, range(1, 65) r(i) GROUP BY ALL) GROUP BY person_id),
 psim AS (SELECT query_id, person_id, round(list_cosine_similarity(embedding, vector), 12) AS similarity FROM pv, q),
-prank AS MATERIALIZED (SELECT query_id, person_id, similarity, rank - 1 AS profile_rank
-    FROM {top('psim', 'query_id', 'similarity DESC, person_id', 1000)})"""
+prank AS MATERIALIZED (SELECT query_id, person_id, similarity,
+    row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, person_id) - 1 AS profile_rank FROM psim)"""
 
 SCORED = f"""chunk_score AS (SELECT query_id, person_id, sum(rrf) / 3 AS chunk_score
     FROM {top('hits', 'query_id, person_id', 'rrf DESC, chunk_id', 3)} GROUP BY ALL),

@@ -171,7 +171,7 @@ def stable_id(s: SparkSession, f: str) -> DataFrame:
 
 def slugs(s: SparkSession, f: str) -> DataFrame:
     stem = F.concat(F.col("doc_id").cast("string"), F.lit("_Prof_Dr_"), F.initcap("lang"), F.lit("_"), F.initcap("source"), F.lit("_Klasik"))
-    return _docs(s, f).select("doc_id", X.slug(F.left("text", F.lit(100))).alias("slug"),
+    return _docs(s, f).select("doc_id", X.slug(F.col("text")).alias("slug"),
                               X.title_fragment(F.col("text")).alias("fragment"), X.id_from_filename(stem).alias("person_id"))
 
 
@@ -184,7 +184,7 @@ def years(s: SparkSession, f: str) -> DataFrame:
 
 def title_tails(s: SparkSession, f: str) -> DataFrame:
     """Document lines as titles with a venue, a citation or an advisor behind them."""
-    head = F.regexp_replace(F.left("text", F.lit(40)), r"[.\n]", " ")
+    head = F.regexp_replace("text", r"[.\n]", " ")
     title = F.when(F.col("lang") == "en", F.concat(head, F.lit(". Journal of X, 12(3), 45-67"))).when(
         F.col("lang") == "fr", F.concat(head, F.lit(" "), F.col("source"), F.lit(", 2020"))).otherwise(head)
     advisor = F.concat(head, F.lit(" — Doç. Dr. X"))
@@ -309,7 +309,7 @@ def attach_documents(s: SparkSession, f: str) -> DataFrame:
 
 def json_dump(s: SparkSession, f: str) -> DataFrame:
     """Rows of the JSON dump: every document with its lines, as JSON text."""
-    return _docs(s, f).select("doc_id", F.md5(F.to_json(F.struct("doc_id", "lang", "source"))).alias("json_md5"))
+    return _docs(s, f).select("doc_id", F.md5(F.to_json(F.struct("doc_id", "lang", "source", F.split("text", "\n").alias("lines")))).alias("json_md5"))
 
 
 NK = Q.norm_key("text")
@@ -317,7 +317,7 @@ ISO = "o_orderdate::DATE::VARCHAR"
 TITLE_SQL = ", ".join(f"'{t}'" for t in TITLE_WORDS)
 LABEL_SQL = ", ".join(f"'{x}'" for x in LABELS)
 CLEAN_STEPS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
-HEAD = r"regexp_replace(left(text, 40), '[.\n]', ' ', 'g')"
+HEAD = r"regexp_replace(text, '[.\n]', ' ', 'g')"
 ALIGNED = f"translate(lower(text), '{Q.ACCENTED}', '{Q.PLAIN}')"
 VALUE = f"translate(lower(substr(text, 11, 40)), '{Q.ACCENTED}', '{Q.PLAIN}')"
 NORM = "translate(lower(translate(X, 'İI', 'iı')), 'çğıöşüâîû', 'cgiosuaiu')"
@@ -364,7 +364,7 @@ ENTRIES = {
     "stable_id": (stable_id, """SELECT doc_id, sha256(text) AS content_hash, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
         substr('89ab', ('0x' || substr(h, 17, 1))::INTEGER % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS stable_id
         FROM (SELECT doc_id, text, sha1(unhex('5b0c1d9e7a434c559d3eacade1a00001') || encode(source || '/' || doc_id)) AS h FROM documents)"""),
-    "slug": (slugs, rf"""SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace({NORM.replace('X', 'left(text, 100)')}, '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g'), 60), ''), 'sonuc') AS slug,
+    "slug": (slugs, rf"""SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace({NORM.replace('X', 'text')}, '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g'), 60), ''), 'sonuc') AS slug,
         regexp_replace(left(regexp_replace({Q.fold('text')}, '[^a-z0-9]+', '-', 'g'), 120), '^-+|-+$', '', 'g') AS fragment,
         'C' || doc_id || '_' || upper(left(lang, 1)) || substr(lang, 2) || '_' || 'S' || substr(source, 2) AS person_id FROM documents"""),
     "last_year": (years, "SELECT o_orderkey, year(d) AS last_year, CASE WHEN year(d) = year(d + 200) THEN year(d)::VARCHAR ELSE year(d) || '–' || year(d + 200) END AS period FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)"),
@@ -398,5 +398,5 @@ ENTRIES = {
         FROM (SELECT page_id, unnest(x) AS r, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li>.*?</li>') AS x FROM pages)) WHERE regexp_extract(r, 'href="([^"]*)"', 1) <> '' AND trim(regexp_extract(r, '(?s)<a [^>]*>(.*?)</a>', 1)) <> ''"""),
     "attach_documents": (attach_documents, """SELECT page_id, length(v) AS n_chars, md5(v) AS text_md5 FROM (SELECT page_id, md5(html) || coalesce(chr(10) || chr(10) || '## Ek: Ulusal_Kurallar.PDF' || chr(10) || left(text, 20000) || chr(10) || chr(10) || '## Ek: duyuru.pdf' || chr(10) || left(text, 20000), '') AS v
         FROM pages LEFT JOIN documents ON doc_id = page_id)"""),
-    "write_json_dump": (json_dump, """SELECT doc_id, md5('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS json_md5 FROM documents"""),
+    "write_json_dump": (json_dump, """SELECT doc_id, md5('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","lines":' || to_json(string_split(text, chr(10))) || '}') AS json_md5 FROM documents"""),
 }
