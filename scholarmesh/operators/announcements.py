@@ -67,6 +67,12 @@ def _signature(title: Column) -> Column:
     return F.array_join(E.title_tokens(title), " ")
 
 
+def _signed(rows: DataFrame, name: str, spread: str) -> DataFrame:
+    """Adds the signature of `title`; every distinct title is folded once."""
+    titles = rows.select("title").distinct().withColumn(name, _signature(F.col("title")))
+    return bounded_join(rows, cut_lineage(titles), ["title"], [spread])
+
+
 def _code(code: str) -> Column:
     return F.lower(F.trim(F.coalesce(code, F.lit(""))))
 
@@ -78,8 +84,9 @@ def _title_dates(calls: DataFrame) -> DataFrame:
     than the calendar has days.
     """
     keys = ["sig", "code", "day"]
-    rows = calls.select("call_id", "url", _signature(F.col("title")).alias("sig"), _code("program_code").alias("code"),
-                        F.coalesce(_day(F.col("publish_date")), F.lit(-1)).alias("day")).where(F.col("sig") != "")
+    rows = cut_lineage(_signed(calls, "sig", "call_id").select(
+        "call_id", "url", "sig", _code("program_code").alias("code"),
+        F.coalesce(_day(F.col("publish_date")), F.lit(-1)).alias("day")).where(F.col("sig") != ""))
     first = rows.groupBy(*keys).agg(F.min(F.struct("call_id", "url")).alias("a"), F.count("*").alias("n"))
     # second smallest: the minimum of what is left
     second = (rows.join(first.select(*keys, F.col("a.call_id").alias("_f")), keys).where(F.col("call_id") != F.col("_f"))
@@ -123,18 +130,44 @@ def match_update_to_call(announcements: DataFrame, calls: DataFrame) -> DataFram
 
     Titles are first reduced to distinct signatures. A call signature with t stems that reaches an overlap of 0.5
     shares at least one of its floor(t / 2) + 1 rarest stems, so only those are indexed: frequent stems do not
-    bring unrelated titles together, and nothing is lost.
+    bring unrelated titles together, and nothing is lost. For each announcement signature the best call is then a step
+    function of the date, with one row per day that has a call; announcements look their day up in it, so the work on
+    pairs of titles does not grow with the announcements. Only announcements with the address of a call, which must not
+    match itself, look at their pairs one by one.
     """
     days = _title_dates(calls)
-    ann = announcements.select(
-        "url", _signature(F.col("title")).alias("a_sig"), _code("program_code").alias("a_code"),
-        _day(F.col("publish_date")).alias("a_day"))
+    ann = cut_lineage(_signed(announcements, "a_sig", "url").select(
+        "url", "a_sig", _code("program_code").alias("a_code"),
+        F.coalesce(_day(F.col("publish_date")), F.lit(FOREVER)).alias("bound")))
     call_sigs = days.select("sig", "code").distinct()
     pairs = cut_lineage(_signature_pairs(ann.select("a_sig", "a_code").distinct(), call_sigs))
     pairs = _undominated(pairs, days)
-    candidates = bounded_join(ann, pairs, ["a_sig", "a_code"], ["url"]).withColumn(
-        "bound", F.coalesce("a_day", F.lit(FOREVER)))
+    own = calls.select("url").distinct()
+    alone = _one_by_one(ann.join(own, "url", "left_semi"), pairs, days)
+    others = ann.join(own, "url", "left_anti")
+    steps = _steps(pairs, days, others.select("a_sig", "a_code", "bound").distinct())
+    return bounded_join(others, steps, ["a_sig", "a_code", "bound"], ["url"]).select(
+        "url", "call_id", "overlap", "score").unionByName(alone)
+
+
+def _steps(pairs: DataFrame, days: DataFrame, points: DataFrame) -> DataFrame:
+    """(a_sig, a_code, bound, call_id, overlap, score): the best call not after each bound."""
+    keys = ["a_sig", "a_code"]
+    each = pairs.join(days.select("sig", "code", "day", "a.call_id"), ["sig", "code"])
+    best = each.groupBy(*keys, "day").agg(F.min(F.struct((-F.col("score")).alias("s"), "call_id", "overlap")).alias("x"))
+    steps = best.select(*keys, F.col("day").alias("_at"), F.lit(0).alias("_p"), F.struct(
+        "x.s", (-F.col("day")).alias("d"), "x.call_id", "x.overlap").alias("_x"))
+    union = steps.unionByName(points.select(*keys, F.col("bound").alias("_at"), F.lit(1).alias("_p"), F.lit(None).cast(
+        steps.schema["_x"].dataType).alias("_x")))
+    w = Window.partitionBy(*keys).orderBy("_at", "_p").rowsBetween(Window.unboundedPreceding, 0)
+    return union.withColumn("_b", F.min("_x").over(w)).where((F.col("_p") == 1) & F.col("_b").isNotNull()).select(
+        *keys, F.col("_at").alias("bound"), "_b.call_id", "_b.overlap", (-F.col("_b.s")).alias("score"))
+
+
+def _one_by_one(ann: DataFrame, pairs: DataFrame, days: DataFrame) -> DataFrame:
+    """The same for announcements with the address of a call: each pair of titles, two calls deep per day."""
     keys = ["sig", "code"]
+    candidates = bounded_join(ann, pairs, ["a_sig", "a_code"], ["url"])
     newest = _newest_until(candidates.select(*keys, "bound").distinct(), days, keys)
     found = (candidates.join(newest, [*keys, "bound"])
              .join(_with_previous(days, keys), [*keys, "day"])
@@ -188,8 +221,7 @@ def find_repeat_call(announcements: DataFrame, calls: DataFrame) -> DataFrame:
     long_enough = F.size(F.split("key", " ")) >= MIN_TITLE_TOKENS
     days = _title_dates(calls.withColumn("program_code", F.lit(None).cast("string"))).withColumnRenamed(
         "sig", "key").where(long_enough)
-    ann = announcements.select("url", _signature(F.col("title")).alias("key"),
-                               _day(F.col("publish_date")).alias("a_day")).where(long_enough).withColumns({
+    ann = _signed(announcements, "key", "url").select("url", "key", _day(F.col("publish_date")).alias("a_day")).where(long_enough).withColumns({
         "bound": F.coalesce(F.col("a_day") + REPEAT_DAYS, F.lit(FOREVER)),
         "lowest": F.coalesce(F.greatest(F.col("a_day") - REPEAT_DAYS, F.lit(0)), F.lit(-1))})
     newest = _newest_until(ann.select("key", "bound").distinct(), days, ["key"])
