@@ -25,6 +25,7 @@ SCORE_DIGITS = 6  # scores equal to this many digits count as ties, broken by id
 K1, B = 1.5, 0.75
 QUERY_BLOCK = 2048
 VECTOR_BLOCK = 8192
+NO_VECTOR = -2.0  # below any cosine
 CORPUS = ""  # pseudo term: one posting per chunk, so that chunk counts and lengths need no second pass
 
 
@@ -336,30 +337,32 @@ def person_evidence(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, c
     """Own chunks of the chosen persons per query, best first, while their total length fits the budget.
 
     `chosen` is (query_id, person_id). Both rankings (cosine; BM25 with the person's own statistics) cover all
-    chunks of the person. Ranks come from bucketed running counts, so a person with very many chunks is not one task.
+    chunks of the person; those without a vector follow the others in the order of their ids and have similarity 0. Ranks come from bucketed running counts, so a person with very many chunks is not one task.
     The list stops at the first chunk that does not fit.
     """
     chosen = chosen.select("query_id", "person_id").distinct()
     small = is_small(chosen)
     q = queries.select("query_id", F.col("vector").alias("_q"))
     owned = chunks.select("chunk_id", "person_id", F.length("content").alias("_chars")).join(
-        vectors.select("chunk_id", "embedding"), "chunk_id")
+        vectors.select("chunk_id", "embedding"), "chunk_id", "left")
     pairs = bounded_join(owned, chosen.join(q, "query_id"), ["person_id"], ["chunk_id"], small_enough=small).select(
         "query_id", "person_id", "chunk_id", "_chars",
-        F.round(cosine(F.col("embedding"), F.col("_q")), 12).alias("similarity"))
+        F.coalesce(F.round(cosine(F.col("embedding"), F.col("_q")), 12), F.lit(NO_VECTOR)).alias("_order"))
     own_terms = query_terms(queries, tokenizer=tokenizer).join(chosen, "query_id")
-    with_vector = chunks.join(vectors.select("chunk_id"), "chunk_id", "left_semi")
-    lexical = bm25_scores(with_vector, own_terms, ("person_id",), tokenizer=tokenizer)
+    lexical = bm25_scores(chunks, own_terms, ("person_id",), tokenizer=tokenizer)
     keys = ["query_id", "person_id"]
     scored = pairs.join(lexical, [*keys, "chunk_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     scored = cut_lineage(scored)  # narrow rows, read once for the ranks and once for each ranking's bucket totals
 
-    semantic_bucket = -F.floor(F.col("similarity") * 256)
+    # chunks without a vector tie behind the others; their buckets are leading parts of the id, as in the lexical list
+    unknown = id_bucket(F.col("chunk_id"), scored.schema["chunk_id"].dataType.typeName(), F.col("_order") == NO_VECTOR)
+    semantic_bucket = F.struct((-F.floor(F.col("_order") * 256)).alias("a"), unknown.alias("b"))
     # chunks without a match tie at 0 and follow in id order; their buckets are leading parts of the id
     tie = id_bucket(F.col("chunk_id"), scored.schema["chunk_id"].dataType.typeName(), F.col("bm25") == 0)
     lexical_bucket = F.struct((-F.ceil(F.col("bm25") * 4)).alias("a"), tie.alias("b"))
-    both = running_total(scored, keys, [F.desc("similarity"), F.asc("chunk_id")], semantic_bucket, name="_s")
+    both = running_total(scored, keys, [F.desc("_order"), F.asc("chunk_id")], semantic_bucket, name="_s")
     both = running_total(both, keys, [F.desc("bm25"), F.asc("chunk_id")], lexical_bucket, name="_l", totals_from=scored)
+    both = both.withColumn("similarity", F.when(F.col("_order") == NO_VECTOR, 0.0).otherwise(F.col("_order"))).drop("_order")
     fused = both.withColumn("rrf", 1.0 / (rrf_k - 1 + F.col("_s")) + 1.0 / (rrf_k - 1 + F.col("_l")))
 
     # chunks of no characters are listed too; of the others, only the first `budget` + 1 can fit

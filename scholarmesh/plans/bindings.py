@@ -54,19 +54,25 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """Expected persons per query: the owners of documents that share the query's first six words in a row.
+    """Expected persons per query: the owners of documents that hold the query's whole passage, word by word.
 
-    Documents and queries are cut into six-word shingles that meet in an equi-join.
+    Documents and passages first meet in an equi-join on six words in a row (passages of fewer words: on their first
+    word); what meets is compared as a whole.
     """
     words = F.split(F.trim(F.lower(F.col("text"))), r"\s+")
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).where(
-        F.size("w") >= 6).select("query_id", F.array_join(F.slice("w", 1, 6), " ").alias("g"))
-    docs = table(spark, sf, "documents").select(F.col("source").alias("person_id"), words.alias("w")).where(
-        F.size("w") >= 6).select("person_id", F.explode(F.zip_with(
-            F.col("w"), F.sequence(F.lit(1), F.size("w")), lambda _, i: F.array_join(
-                F.slice("w", i, F.lit(6)), " "))).alias("g"))
-    return R.bounded_join(docs, items, ["g"], ["person_id"]).select(
-        "query_id", "person_id").distinct()
+    flat = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+
+    def keys(step: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - step + 1, F.lit(1))),
+                           lambda i: F.xxhash64(F.lit(step), F.array_join(F.slice("w", i, F.lit(step)), " ")))
+
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).select(
+        "query_id", flat.alias("passage"), F.get(F.when(F.size("w") >= 6, keys(6)).otherwise(keys(1)), F.lit(0)).alias("g"))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("person_id"), words.alias("w"))
+    found = R.bounded_join(docs.select("doc_id", F.explode(F.array_distinct(F.concat(keys(6), keys(1)))).alias("g")),
+                           items.select("query_id", "g"), ["g"], ["doc_id"]).select("query_id", "doc_id").distinct()
+    return found.join(docs.select("doc_id", "person_id", flat.alias("held")), "doc_id").join(
+        items.drop("g"), "query_id").where(F.contains(F.col("held"), F.col("passage"))).select("query_id", "person_id").distinct()
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:

@@ -305,11 +305,9 @@ raws AS (SELECT query_id, person_id, coalesce(n_exact, 0) AS n_exact, coalesce(n
     FROM cnt FULL JOIN best USING (query_id, person_id)),
 ranked AS MATERIALIZED {Q.top('raws', 'query_id', 'raw DESC, person_id', 5)}"""
 
-GOLD = r"""items AS (SELECT item_id AS query_id, string_split_regex(trim(lower(text)), '\s+') AS w FROM benchmark),
-g AS (SELECT query_id, array_to_string(w[1:6], ' ') AS g FROM items WHERE len(w) >= 6),
-dw AS (SELECT source AS person_id, string_split_regex(trim(lower(text)), '\s+') AS w FROM documents),
-gold_all AS MATERIALIZED (SELECT DISTINCT query_id, person_id FROM (
-    SELECT person_id, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT person_id, w, unnest(range(1, len(w) - 4)) AS i FROM dw)) d JOIN g USING (g)),
+GOLD = r"""items AS MATERIALIZED (SELECT item_id AS query_id, ' ' || array_to_string(string_split_regex(trim(lower(text)), '\s+'), ' ') || ' ' AS p FROM benchmark),
+dw AS MATERIALIZED (SELECT source AS person_id, ' ' || array_to_string(string_split_regex(trim(lower(text)), '\s+'), ' ') || ' ' AS t FROM documents),
+gold_all AS MATERIALIZED (SELECT DISTINCT query_id, person_id FROM dw JOIN items ON contains(t, p)),
 gold AS MATERIALIZED (SELECT * FROM gold_all WHERE query_id IN (SELECT query_id FROM q))"""
 
 METRICS = """SELECT mode, count(*) AS n_queries, round(avg(CASE WHEN n_top > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_5,

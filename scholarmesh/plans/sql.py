@@ -100,9 +100,9 @@ scored AS MATERIALIZED (SELECT query_id, person_id, score, rank
 
 BASE = ",\n".join([QUERIES, QUERY_TERMS, SEMANTIC, LEXICAL, FUSED, PROFILES, SCORED])
 
-# evidence: own chunks (with a vector) of the listed persons, own statistics, both ranks over all of them
+# evidence: own chunks of the listed persons, those without a vector last in the semantic list, own statistics, both ranks over all of them
 EVIDENCE = f"""own AS MATERIALIZED (SELECT doc_id AS chunk_id, source AS person_id, lang AS section, text AS content,
-      {tokens('text')} AS t FROM documents JOIN embeddings ON doc_id = vec_id),
+      {tokens('text')} AS t FROM documents),
 own_tf AS MATERIALIZED (SELECT chunk_id, person_id, term, count(*) AS tf
     FROM (SELECT chunk_id, person_id, unnest(t) AS term FROM own) GROUP BY ALL),
 own_df AS (SELECT person_id, term, count(*) AS df FROM own_tf GROUP BY ALL),
@@ -112,11 +112,11 @@ own_bm AS (SELECT s.query_id, own_tf.chunk_id,
     FROM scored s JOIN qt ON qt.query_id = s.query_id JOIN own_tf ON own_tf.term = qt.term AND own_tf.person_id = s.person_id
       JOIN own_df ON own_df.term = qt.term AND own_df.person_id = s.person_id
       JOIN own_n ON own_n.person_id = s.person_id JOIN own ON own.chunk_id = own_tf.chunk_id GROUP BY ALL),
-own_ranked AS (SELECT s.query_id, s.person_id, own.chunk_id, section, content, similarity,
-      row_number() OVER (PARTITION BY s.query_id, s.person_id ORDER BY similarity DESC, own.chunk_id) AS a,
+own_ranked AS (SELECT s.query_id, s.person_id, own.chunk_id, section, content, coalesce(similarity, 0) AS similarity,
+      row_number() OVER (PARTITION BY s.query_id, s.person_id ORDER BY coalesce(similarity, -2) DESC, own.chunk_id) AS a,
       row_number() OVER (PARTITION BY s.query_id, s.person_id ORDER BY coalesce(bm25, 0) DESC, own.chunk_id) AS b
     FROM scored s JOIN own ON own.person_id = s.person_id
-      JOIN sim ON sim.query_id = s.query_id AND sim.chunk_id = own.chunk_id
+      LEFT JOIN sim ON sim.query_id = s.query_id AND sim.chunk_id = own.chunk_id
       LEFT JOIN own_bm ON own_bm.query_id = s.query_id AND own_bm.chunk_id = own.chunk_id),
 own_fused AS (SELECT *, 1.0::DOUBLE / (59 + a) + 1.0::DOUBLE / (59 + b) AS rrf FROM own_ranked),
 own_listed AS (SELECT *, row_number() OVER w AS evidence_rank, sum(length(content)) OVER w AS used FROM own_fused

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from scholarmesh.operators import announcements as A
 from scholarmesh.operators import evidence as D
+from scholarmesh.operators import matching as M
 from scholarmesh.operators import people as P
+from scholarmesh.operators import retrieval as R
 from scholarmesh.operators import sections as C
 from scholarmesh.operators import snapshot as N
 from scholarmesh.sources import html as W
@@ -107,3 +109,43 @@ def test_name_scores_are_means_of_best_ratios(spark):
             if (i, pid) in got:
                 assert got[(i, pid)] == pytest.approx(want, abs=1e-6)
     assert got
+
+
+def test_a_person_with_hits_keeps_the_rank_among_all_profiles(spark):
+    n = 1500
+    profiles = spark.createDataFrame([(f"p{k:04d}", [float(n - k), float(k + 1)]) for k in range(n)], "person_id string, embedding array<double>")
+    queries = spark.createDataFrame([(1, "bor kompozit", [1.0, 0.0])], "query_id int, keywords string, vector array<double>")
+    chunks = spark.createDataFrame([(1, f"p{n - 1:04d}", "x", "bor kompozit"), (2, "p0000", "x", "deniz")],
+                                   "chunk_id int, person_id string, section string, content string")
+    vectors = spark.createDataFrame([(2, [1.0, 0.0])], "chunk_id int, embedding array<double>")
+    ranked = {r.person_id: (r["rank"], r.score) for r in M.rank_persons(chunks, vectors, profiles, queries).collect()}
+    last = f"p{n - 1:04d}"
+    assert len(ranked) == 20 and ranked[last][1] == pytest.approx(1 / 60 / 3 + 1 / (60 + n - 1))
+    assert ranked["p0000"][1] == pytest.approx(1 / 60 / 3 + 1 / 60)
+    whole = {r.person_id: r.profile_rank for r in R.profile_ranking(profiles, queries, None).collect()}
+    assert whole == {f"p{k:04d}": k for k in range(n)}
+
+
+def test_evidence_lists_blank_chunks_and_chunks_without_a_vector(spark):
+    chunks = spark.createDataFrame([(1, "p", "a", "bor kompozit"), (2, "p", "a", ""), (3, "p", "a", "deniz"), (4, "p", "a", "bor bor")],
+                                   "chunk_id int, person_id string, section string, content string")
+    vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "chunk_id int, embedding array<double>")
+    queries = spark.createDataFrame([(1, "bor", [1.0, 0.0])], "query_id int, keywords string, vector array<double>")
+    chosen = spark.createDataFrame([(1, "p")], "query_id int, person_id string")
+    out = {r.chunk_id: r for r in R.person_evidence(chunks, vectors, queries, chosen).collect()}
+    assert set(out) == {1, 2, 3, 4} and out[2].similarity == 1.0 and out[3].similarity == out[4].similarity == 0.0
+    assert out[3].evidence_rank == 4
+
+
+def test_updates_meet_calls_without_pairs_of_rows(spark):
+    calls = spark.createDataFrame([("c1", "u1", "ege liman gemi", None, date(2024, 1, 1)), ("c2", "u2", "ege liman gemi", None, date(2024, 2, 1)),
+                                   ("c3", "u3", "ege liman vinç", "x", date(2024, 1, 5))],
+                                  "call_id string, url string, title string, program_code string, publish_date date")
+    ann = spark.createDataFrame([("a", "ege liman gemi", None, date(2024, 1, 20)), ("u2", "ege liman gemi", None, date(2024, 3, 1)),
+                                 ("b", "ege liman gemi", None, None), ("c", "ege liman gemi", None, date(2023, 1, 1)),
+                                 ("d", "ege liman gemi", "X", date(2024, 3, 1))],
+                                "url string, title string, program_code string, publish_date date")
+    out = A.match_update_to_call(ann, calls)
+    assert {r.url: r.call_id for r in out.collect()} == {"a": "c1", "u2": "c1", "b": "c2", "d": "c3"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
