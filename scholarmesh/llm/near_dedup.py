@@ -6,10 +6,13 @@ falls with both missing and moved shingles. Texts that share a band value are ca
 verifies them: the longest chain of shared labelled shingles that runs forward in both texts, within the band of shifts
 that the least similarity allows; similarity is chain / (shingles of both - chain), at least 0.8.
 
-Equal texts are one node from the start. Per band value all members are first aligned with two leaders (the least and
-greatest node); what this links is contracted by connected components. Then every pair in a band value whose members lie
-in different components, and only those, is aligned too, so no link between different texts is lost while a group of
-copies costs a few alignments per member. Band groups are joined and aggregated, never collected.
+Equal texts are one node from the start. Per band value all members are first aligned with two leaders (the member that
+shares most band values, and one by hash); what this links is contracted by connected components. Left are band values
+with several components. A shingle that only one of their members has can meet no other, and a shingle of the band
+value's hub that one of two texts lacks is none of their shared ones; pairs that these bounds keep below the least
+similarity are out, and all remaining pairs of different components are aligned too. Thus no link
+between different texts is lost, while a group of copies costs a few alignments per member. Band groups are joined and
+aggregated, never collected.
 
 Defined cases: null texts are empty; texts without words are equal only to the same text; texts of one to four words
 have one shingle; repeated rows are copies. The class id is the least doc_id of the class (null if all are null).
@@ -128,6 +131,46 @@ def verified(pairs: DataFrame, keys: DataFrame, least: float = LEAST) -> DataFra
     return pairs.join(left, "u").join(right, "v").select("u", "v", "ku", "kv").mapInArrow(run, "u binary, v binary")
 
 
+def alone(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """node, alone: how many of its labelled shingles no other of the nodes has (nodes with none left out)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shingle = np.frombuffer(key, np.int64)
+                half = np.frombuffer(node, ">i8").astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(shingle), half[0])), pa.array(np.full(len(shingle), half[1])), pa.array(shingle)],
+                    names=["a", "b", "shingle"])
+
+    rows = keys.join(nodes, "node").select("node", "keys").mapInArrow(run, "a long, b long, shingle long")
+    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("a").alias("a"), F.min("b").alias("b")).where(
+        "c = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("alone"))
+    halves = [F.conv(F.hex(F.substring("node", n, 8)), 16, -10).cast("long") for n in (1, 9)]
+    return nodes.select("node", halves[0].alias("a"), halves[1].alias("b")).join(single, ["a", "b"]).select("node", "alone")
+
+
+def lacking(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """For (node, hub): hub_size, lacks (bits of the hub's shingles that the node lacks), inside (how many it has)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, size, inside = [], [], []
+            for own, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                hub = np.frombuffer(other, np.uint64)
+                lacks = ~np.isin(hub, np.frombuffer(own, np.uint64))
+                padded = np.zeros(-(-len(hub) // 64) * 64, dtype=bool)
+                padded[:len(hub)] = lacks
+                bits.append(np.packbits(padded).view(np.int64).tolist())
+                size.append(len(hub))
+                inside.append(int((~lacks).sum()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(bits, pa.list_(pa.int64())),
+                 pa.array(inside, pa.int64())], names=["node", "hub", "hub_size", "lacks", "inside"])
+
+    return pairs.join(keys, "node").join(keys.select(F.col("node").alias("hub"), F.col("keys").alias("other")), "hub").select(
+        "node", "hub", "keys", "other").mapInArrow(
+        run, "node binary, hub binary, hub_size long, lacks array<bigint>, inside long")
+
+
 def _ratio(a: Column, b: Column, least: float) -> Column:
     """Texts whose numbers of shingles differ more than this cannot be similar enough."""
     return F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
@@ -140,9 +183,13 @@ def classes(docs: DataFrame, bands: int = BANDS, sample: int = SAMPLE, least: fl
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
                                       F.first("sketch").alias("sketch"))
     entries = nodes.select("node", "doc_id", "n", F.posexplode("sketch").alias("band", "value"))
-    groups = entries.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low"),
-                                                  F.max("node").alias("high")).where("c > 1").drop("c")
+    groups = entries.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = cut_lineage(entries.join(groups, ["band", "value"]))
+    central = members.groupBy("node").agg(F.sum("c").alias("weight"))
+    weighed = members.join(central, "node")
+    leaders = weighed.groupBy("band", "value").agg(
+        F.max(F.struct("weight", "node"))["node"].alias("hub"),
+        F.max(F.struct(F.xxhash64("band", "value", "node"), "node"))["node"].alias("other"))
 
     needed = members.select("node", F.col("doc_id").alias("d")).distinct()
     texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["d"])).where(
@@ -150,7 +197,8 @@ def classes(docs: DataFrame, bands: int = BANDS, sample: int = SAMPLE, least: fl
     keys = cut_lineage(labelled(texts).dropDuplicates(["node"]))
 
     size = members.select("node", "n").distinct()
-    stars = members.select(F.col("node").alias("u"), "n", F.explode(F.array("low", "high")).alias("v")).where(
+    stars = members.join(leaders, ["band", "value"]).select(
+        F.col("node").alias("u"), F.explode(F.array("hub", "other")).alias("v")).where(
         "u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     stars = cut_lineage(stars.join(size.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(
         size.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v").where(
@@ -163,11 +211,22 @@ def classes(docs: DataFrame, bands: int = BANDS, sample: int = SAMPLE, least: fl
     parts = placed.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("c"))
     split = parts.groupBy("band", "value").agg(F.max(F.struct("c", "root"))["root"].alias("main"),
                                                F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    apart = cut_lineage(placed.join(split, ["band", "value"]).select("band", "value", "node", "n", "root", "main"))
-    minor = apart.where("root != main").select("band", "value", F.col("node").alias("a"), F.col("n").alias("na"),
-                                               F.col("root").alias("ra"))
+    apart = cut_lineage(placed.join(split, ["band", "value"]).join(leaders.drop("other"), ["band", "value"]).select(
+        "band", "value", "node", "n", "root", "main", "hub"))
+    known_apart = apart.select("node").union(apart.select("hub")).distinct()
+    own = F.coalesce("alone", F.lit(0))
+    apart = apart.join(alone(known_apart, keys), "node", "left").where(own <= F.col("n") * (1 - least) + 1e-9).withColumn(
+        "shared", F.col("n") - own).drop("alone")
+    apart = cut_lineage(apart.join(lacking(apart.select("node", "hub").distinct(), keys), ["node", "hub"]).withColumn(
+        "beside", F.col("shared") - F.col("inside")))
+    minor = apart.where("root != main").select("band", "value", *[
+        F.col(c).alias(f"{c}_a") for c in ("node", "n", "root", "shared", "lacks", "beside")])
+    both = F.col("n_a") + F.col("n")
+    common = F.col("hub_size") - F.aggregate(F.zip_with("lacks_a", "lacks", lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(
+        0), lambda x, y: x + y) + F.least("beside_a", "beside")
     crossing = minor.join(apart, ["band", "value"]).where(
-        (F.col("ra") != F.col("root")) & _ratio(F.col("na"), F.col("n"), least)).select(
+        (F.col("root_a") != F.col("root")) & (F.least("shared_a", "shared") >= both * (least / (1 + least)) - 1e-9)
+        & (common >= both * (least / (1 + least)) - 1e-9)).withColumnRenamed("node_a", "a").select(
         F.greatest("a", "node").alias("u"), F.least("a", "node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     second = components(first.unionByName(verified(crossing, keys, least)))
 
