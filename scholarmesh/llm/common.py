@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarmesh.session import cut_lineage
+from scholarmesh import session
+from scholarmesh.functions.text import let
 
 GAP = r"[\x20\x09-\x0D]+"  # what separates words
 
@@ -24,9 +27,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once per row, also where lambdas refer to it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint; before it, shuffle files of steps that nothing refers to any more are given back.
+
+    Spark's cleaner removes them when the driver collects its garbage, which may be long after an iterative job has
+    filled the executors' disks.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return session.cut_lineage(df)
 
 
 __all__ = ["GAP", "cut_lineage", "documents", "let", "table", "whole_text"]
