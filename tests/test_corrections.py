@@ -115,12 +115,12 @@ def test_a_person_with_hits_keeps_the_rank_among_all_profiles(spark):
     n = 1500
     profiles = spark.createDataFrame([(f"p{k:04d}", [float(n - k), float(k + 1)]) for k in range(n)], "person_id string, embedding array<double>")
     queries = spark.createDataFrame([(1, "bor kompozit", [1.0, 0.0])], "query_id int, keywords string, vector array<double>")
-    chunks = spark.createDataFrame([(1, f"p{n - 1:04d}", "x", "bor kompozit"), (2, "p0000", "x", "deniz")],
+    chunks = spark.createDataFrame([*[(c, f"p{n - 1:04d}", "x", "bor kompozit") for c in (1, 3, 4)], (2, "p0000", "x", "deniz")],
                                    "chunk_id int, person_id string, section string, content string")
     vectors = spark.createDataFrame([(2, [1.0, 0.0])], "chunk_id int, embedding array<double>")
     ranked = {r.person_id: (r["rank"], r.score) for r in M.rank_persons(chunks, vectors, profiles, queries).collect()}
     last = f"p{n - 1:04d}"
-    assert len(ranked) == 20 and ranked[last][1] == pytest.approx(1 / 60 / 3 + 1 / (60 + n - 1))
+    assert len(ranked) == 20 and ranked[last][1] == pytest.approx((1 / 60 + 1 / 61 + 1 / 62) / 3 + 1 / (60 + n - 1))
     assert ranked["p0000"][1] == pytest.approx(1 / 60 / 3 + 1 / 60)
     whole = {r.person_id: r.profile_rank for r in R.profile_ranking(profiles, queries, None).collect()}
     assert whole == {f"p{k:04d}": k for k in range(n)}
