@@ -90,6 +90,15 @@ def _runs(start: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first, np.append(first[1:], len(start)) - 1
 
 
+def run_names(names: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """Names of the whole runs: of the windows at every `length`-th start, which cover all bytes, the last one and the extent."""
+    count = (hi - lo) // length + 1
+    first = np.cumsum(count) - count
+    nth = np.arange(int(count.sum())) - np.repeat(first, count)
+    steps = S.mix(names[np.repeat(lo, count) + nth * length] * ODD[60] + nth.astype(np.uint64) * S.STEP)
+    return S.mix(np.add.reduceat(steps, first) + names[hi] * ODD[61] + (hi - lo).astype(np.uint64))
+
+
 def block_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
     """Runs of a block: row, lo, hi (window starts in the row), value, name, places (of the value in the block, on its first
     run), copies (equal runs in the block, on the first of them; 0 on the others)."""
@@ -108,7 +117,7 @@ def block_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     np.equal(for_end, grams, out=place)
     values, places = np.unique(grams[place], return_counts=True)
     v, lo, hi = value[first], start[first], start[last]
-    name = S.mix(names[lo] * ODD[60] + names[hi] * ODD[61] + (hi - lo).astype(np.uint64))
+    name = run_names(names, lo, hi, length)
     _, at, copies = np.unique(S.mix(v) + name * S.STEP, return_index=True, return_counts=True)
     n = np.zeros(len(v), dtype=np.int64)
     n[at] = copies

@@ -177,6 +177,21 @@ def test_cut_bytes_equal_brute_force(spark, docs_of, tmp_path, monkeypatch, leng
     assert sorted(got) == brute_cut(rows, length)
 
 
+def test_periodic_texts_that_differ_by_one_byte_keep_it(docs_of):
+    rng = random.Random(12)
+    rows = []
+    for n in range(24):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(3, 70)))
+        half = line * (rng.randint(260, 900) // len(line) + 1)
+        rows += [(10 * n + 1, half + "X" + half), (10 * n + 2, half + "Y" + half)]
+    docs = D.keyed(docs_of(rows))
+    lost = {r.key: r for r in D.without_repeats(docs).collect()}
+    kept = {r.doc_id: bytes(lost[r.key].kept) if r.key in lost else r.text.encode() for r in docs.collect()}
+    got = sorted((d, hashlib.sha256(k).hexdigest()) for d, k in kept.items())
+    assert got == [(r[0], r[4]) for r in brute_cut(rows, D.LENGTH)]
+    assert all((b"X" if d % 10 == 1 else b"Y") in k for d, k in kept.items())
+
+
 def test_cut_text_keeps_whole_characters_and_columns(docs_of):
     twice = "é中" * 100
     df = docs_of([(1, "head中" + twice + "中tail"), (2, "x" + twice + "y"), (3, twice), (4, None), (5, ""), (6, "clean")])
