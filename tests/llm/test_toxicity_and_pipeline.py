@@ -59,6 +59,33 @@ def test_counts_are_texts_with_the_expression(spark):
     assert tuple(got) == (1, 2)
 
 
+def test_expressions_are_told_apart_however_many_there_are(spark):
+    texts = [(n % 2, " ".join(f"v{n}x{k}" for k in range(5000))) for n in range(300)]  # 1.5 million words and pairs
+    got = T.counted(spark.createDataFrame(texts, "toxic int, text string").repartition(4)).groupBy("level").agg(
+        F.count(F.lit(1)), F.max(F.col("ordinary") + F.col("toxic"))).collect()
+    assert sorted(map(tuple, got)) == [(0, 1_500_000, 1), (1, 1_500_000, 1)]
+
+
+def test_means_equal_sums_over_words(spark, docs_of, monkeypatch):
+    rows = corpus(300)
+    texts = [(x, t) for _, t, x in rows]
+    model = T.fit(T.counted(spark.createDataFrame(texts, "toxic int, text string")), ((1.0, 0.25), (1.0, 0.25)))
+    excess = {(r.level, r.hash): (r.o, r.t) for r in model.collect()}
+    docs = docs_of([(d, t) for d, t, _ in rows] + [(1, rows[1][1]), (900, None)]).withColumn("digest", F.lit("x"))
+    want = []
+    for d, t, _ in rows + [(1, rows[1][1], 0), (900, "", 0)]:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        word, pair, _ = T.expressions(raw, np.array([0, len(raw)]))
+        one = [np.array(excess.get((0, int(w)), (0, 0))) + excess.get((1, int(p)), (0, 0)) for w, p in zip(word.view(np.int64), pair.view(np.int64))]
+        want.append((d, sum(np.log((1 + b) / (1 + a)) for a, b in one) / max(1, len(word))))
+    for most in (T.SIEVE_BITS, 10):
+        monkeypatch.setattr(T.sieve, "__defaults__", (most,))
+        got = sorted((r.doc_id, r.mean) for r in T.means(docs, model).collect())
+        assert [d for d, _ in got] == sorted(d for d, _ in want)
+        assert np.allclose([m for _, m in got], [m for _, m in sorted(want)], atol=1e-7)
+    assert len({k[0] for k in excess}) == 2
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(1, 1), (2, None)]])
 def test_too_few_labels_give_the_smoothed_share(spark, docs_of, labels):
     df = spark.createDataFrame(labels, "doc_id long, toxic int")
