@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from scholarmesh.llm import shingles as S
 from scholarmesh.llm.common import cut_lineage, documents, whole_text
+from scholarmesh.llm.components import components
 
 PERMUTATIONS, BITS = 64, 16
 BANDS, ROWS = 16, 4
@@ -160,29 +161,54 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, fingerprint binary")
 
 
-def near_pairs(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, leader, jaccard: per band value every document against the least document in it, Jaccard verified.
+def banded(prints: DataFrame) -> DataFrame:
+    """doc_id, band (hash of a band's number and places) of (doc_id, fingerprint); texts without words have none."""
+    width = ROWS * BITS // 4
+    digits = F.hex("fingerprint")
+    return prints.where(~digits.rlike("^0*$")).select("doc_id", F.explode(F.array(*[
+        F.xxhash64(F.lit(n), F.substring(digits, n * width + 1, width)) for n in range(BANDS)])).alias("band"))
 
-    Documents without words are left out. docs: doc_id (unique), text.
-    """
+
+def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """u, v, jaccard of the pairs (u, v) whose shingle sets are similar enough. docs: doc_id (unique), text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [[set(S.shingles(*S.words(*S.text_bytes(pa.array([t]))))[0].tolist()) for t in batch.column(n).to_pylist()]
                     for n in (2, 3)]
             value = [len(a & b) / max(1, len(a | b)) for a, b in zip(*sets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value, pa.float64())],
-                                             names=["doc_id", "leader", "jaccard"])
+                                             names=["u", "v", "jaccard"])
 
-    width = ROWS * BITS // 4
-    digits = F.hex("fingerprint")
-    bands = fingerprints(docs).where(~digits.rlike("^0*$")).select("doc_id", F.explode(F.array(*[
-        F.xxhash64(F.lit(n), F.substring(digits, n * width + 1, width)) for n in range(BANDS)])).alias("band"))
+    text = docs.select(F.col("doc_id").alias("u"), whole_text().alias("text"))
+    found = pairs.join(text, "u").join(text.select(F.col("u").alias("v"), F.col("text").alias("other")), "v")
+    return found.select("u", "v", "text", "other").mapInArrow(run, "u long, v long, jaccard double").where(
+        F.col("jaccard") >= least)
+
+
+def near_pairs(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, leader, jaccard: verified pairs (leader < doc_id) that link all that shares a band and is similar enough.
+
+    Per band value every document meets the least one in it. What that links is contracted; documents of a band value
+    outside its largest component then meet the documents of the other components. Every pair that shares a band and is
+    similar enough is thus in one component of the result; pairs inside a component need not all be listed.
+    Documents without words are left out. docs: doc_id (unique), text.
+    """
+    bands = cut_lineage(banded(fingerprints(docs)))
     leaders = bands.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    pairs = bands.join(leaders, "band").where("doc_id != leader").select("doc_id", "leader").distinct()
-    text = docs.select("doc_id", whole_text().alias("text"))
-    found = pairs.join(text, "doc_id").join(text.select(F.col("doc_id").alias("leader"), F.col("text").alias("other")), "leader")
-    return found.select("doc_id", "leader", "text", "other").mapInArrow(
-        run, "doc_id long, leader long, jaccard double").where(F.col("jaccard") >= least)
+    members = bands.join(leaders.drop("c"), "band")
+    stars = members.where("doc_id != leader").select(F.col("doc_id").alias("u"), F.col("leader").alias("v")).distinct()
+    first = cut_lineage(verified(stars, docs, least))
+    placed = members.join(components(first).select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left").select(
+        "band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
+    split = parts.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where(
+        "parts > 1")
+    apart = cut_lineage(placed.join(split, "band"))
+    minor = apart.where("root != main").select("band", F.col("doc_id").alias("a"), F.col("root").alias("root_a"))
+    crossing = minor.join(apart, "band").where("root_a != root").select(
+        F.greatest("a", "doc_id").alias("u"), F.least("a", "doc_id").alias("v")).distinct()
+    second = verified(crossing.join(stars, ["u", "v"], "left_anti"), docs, least)
+    return first.unionByName(second).select(F.col("u").alias("doc_id"), F.col("v").alias("leader"), "jaccard")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

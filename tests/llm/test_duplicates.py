@@ -233,3 +233,37 @@ def test_near_pairs_by_bands(docs_of):
         x, y = set(shingle_counts(text[a])), set(shingle_counts(text[b]))
         assert value == pytest.approx(len(x & y) / len(x | y)) and value >= 0.8
     assert got
+
+
+def test_near_pairs_link_all_that_share_a_band(docs_of):
+    rng = random.Random(21)
+    base = [rng.choice(VOCABULARY) for _ in range(150)]
+    rows = []
+    for n in range(120):  # the first 90 are leaders of the bands of the others, but too far from them
+        w = list(base)
+        for at in rng.sample(range(150), 8 if n < 90 else 1):
+            w[at] = f"z{n}x{at}"
+        rows.append((n, " ".join(w)))
+    rows += [(1000 + d, t) for d, t in near_rows(5, 6)]
+    bands = {}
+    for (d, _), s in zip(rows, M.text_signatures([t for _, t in rows])):
+        for n in range(M.BANDS):
+            bands.setdefault((n, s[n * M.ROWS:(n + 1) * M.ROWS].tobytes()), []).append(d)
+    sets = {d: set(shingle_counts(t)) for d, t in rows}
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for ids in bands.values() for a in ids for b in ids if b < a}
+    got = M.near_pairs(docs_of(rows).select("doc_id", "text")).collect()
+    assert all(r.jaccard == pytest.approx(near[r.doc_id, r.leader]) for r in got) and len({r[:2] for r in got}) == len(got)
+
+    def classes(links):
+        parent = {d: d for d, _ in rows}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return {d: root(d) for d in parent}
+
+    assert classes(r[:2] for r in got) == classes(k for k, v in near.items() if v >= M.LEAST)
