@@ -3,7 +3,8 @@
 A signature is the least value of each of PERMUTATIONS universal hash functions (multiply and add, high bits) over the
 distinct shingles of a text, kept to 16 bits each. The likeness of two fingerprints is the share of equal places, set
 right for chance agreement: (equal - 2^-16) / (1 - 2^-16), at least 0. `near_pairs` joins signatures by bands and
-verifies the Jaccard similarity of the shingle sets.
+verifies the Jaccard similarity of the shingle sets; op9 carries the least doc_id of the class that such links make.
+Equal texts (first 64 bits of the MD5) meet once.
 
 Defined cases: null texts are empty; a text without words has the fingerprint of zeros, is fully like another such text
 and not like any other; texts of one to four words have one shingle; repeated rows are ordered by text and each get their
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from scholarmesh.llm import shingles as S
 from scholarmesh.llm.common import cut_lineage, documents, whole_text
 from scholarmesh.llm.components import components
+from scholarmesh.llm.toxicity import maybe, sieve
 
 PERMUTATIONS, BITS = 64, 16
 BANDS, ROWS = 16, 4
@@ -76,7 +78,7 @@ def edited(text: str, after: str) -> str:
 
 
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
-          "near_edited double, near_next double")
+          "near_edited double, near_next double, key long")
 
 
 def compare(rows: list[tuple], permutations: int) -> pa.RecordBatch:
@@ -92,7 +94,8 @@ def compare(rows: list[tuple], permutations: int) -> pa.RecordBatch:
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
         pa.array([s.astype(">u2").tobytes() for s in own], pa.binary()),
         pa.array([s.astype(">u2").tobytes() for s in new], pa.binary()),
-        pa.array(likeness(own, new)), pa.array(likeness(own, following))],
+        pa.array(likeness(own, new)), pa.array(likeness(own, following)),
+        pa.array([int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big", signed=True) for t in texts], pa.int64())],
         names=[c.split()[0] for c in RESULT.split(", ")])
 
 
@@ -173,9 +176,11 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """u, v, jaccard of the pairs (u, v) whose shingle sets are similar enough. docs: doc_id (unique), text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [[set(S.shingles(*S.words(*S.text_bytes(pa.array([t]))))[0].tolist()) for t in batch.column(n).to_pylist()]
-                    for n in (2, 3)]
-            value = [len(a & b) / max(1, len(a | b)) for a, b in zip(*sets)]
+            value = []
+            for n in range(len(batch)):  # the sets of one pair at a time are held
+                a, b = (np.unique(S.shingles(*S.words(*S.text_bytes(batch.column(c).slice(n, 1))))[0]) for c in (2, 3))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                value.append(both / max(1, len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value, pa.float64())],
                                              names=["u", "v", "jaccard"])
 
@@ -193,7 +198,12 @@ def near_pairs(docs: DataFrame, least: float = LEAST) -> DataFrame:
     similar enough is thus in one component of the result; pairs inside a component need not all be listed.
     Documents without words are left out. docs: doc_id (unique), text.
     """
-    bands = cut_lineage(banded(fingerprints(docs)))
+    return links(fingerprints(docs), docs, least).select(F.col("u").alias("doc_id"), F.col("v").alias("leader"), "jaccard")
+
+
+def links(prints: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """u, v, jaccard of near_pairs, for given (doc_id, fingerprint)."""
+    bands = cut_lineage(banded(prints))
     leaders = bands.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1")
     members = bands.join(leaders.drop("c"), "band")
     stars = members.where("doc_id != leader").select(F.col("doc_id").alias("u"), F.col("leader").alias("v")).distinct()
@@ -208,10 +218,31 @@ def near_pairs(docs: DataFrame, least: float = LEAST) -> DataFrame:
     crossing = minor.join(apart, "band").where("root_a != root").select(
         F.greatest("a", "doc_id").alias("u"), F.least("a", "doc_id").alias("v")).distinct()
     second = verified(crossing.join(stars, ["u", "v"], "left_anti"), docs, least)
-    return first.unionByName(second).select(F.col("u").alias("doc_id"), F.col("v").alias("leader"), "jaccard")
+    return first.unionByName(second)
+
+
+def with_class(done: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """Results of with_next with near_class: the least doc_id of the texts that links of near_pairs join; docs: doc_id, text."""
+    key = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 16), 16, -10).cast("long")
+    prints = cut_lineage(done.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("fingerprint").alias("fingerprint")))
+    bands = banded(prints.select(F.col("key").alias("doc_id"), "fingerprint"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    bits = sieve(bands.join(shared, "band").select(F.col("doc_id").alias("key")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe(bits, batch.column(0).to_numpy().view(np.uint64))))
+
+    texts = docs.select(key.alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string").dropDuplicates(["doc_id"])
+    roots = components(links(prints.select(F.col("key").alias("doc_id"), "fingerprint"), texts, least).select("u", "v"))
+    placed = prints.select("key", "least_id").join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")
+    placed = placed.select("key", "least_id", F.coalesce("root", "key").alias("root"))
+    ids = placed.groupBy("root").agg(F.min("least_id").alias("near_class"))
+    return done.join(placed.join(ids, "root").select("key", "near_class"), "key").drop("key")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_next(documents(spark, sf_dir)).select(
+    docs = documents(spark, sf_dir)
+    return with_class(with_next(docs), docs).select(
         "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"),
-        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next", "near_class")

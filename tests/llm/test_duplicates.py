@@ -267,3 +267,20 @@ def test_near_pairs_link_all_that_share_a_band(docs_of):
         return {d: root(d) for d in parent}
 
     assert classes(r[:2] for r in got) == classes(k for k, v in near.items() if v >= M.LEAST)
+
+
+def test_fingerprints_carry_the_class_of_the_links(docs_of, odd_rows):
+    rows = near_rows(3, 5) + odd_rows
+    docs = docs_of(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = M.with_class(M.with_next(docs), docs).collect()
+    assert len(got) == len(rows) and {r.near_class for r in got if r.doc_id in (8, 9)} == {8}
+    distinct = {t: d for d, t in reversed(near_rows(3, 5))}
+    texts = docs_of([(d, t) for t, d in distinct.items()]).select("doc_id", "text")
+    links = M.near_pairs(texts).collect()
+    own = {r.doc_id: r.near_class for r in got}
+    assert links and all(own[r.doc_id] == own[r.leader] for r in links)
+    linked = {d: d for d in distinct.values()}
+    for _ in linked:
+        for r in links:
+            linked[r.doc_id] = linked[r.leader] = min(linked[r.doc_id], linked[r.leader])
+    assert {d: own[d] for d in linked} == linked
