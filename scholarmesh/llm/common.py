@@ -38,4 +38,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return session.cut_lineage(df)
 
 
-__all__ = ["GAP", "cut_lineage", "documents", "let", "table", "whole_text"]
+def hot_join(big: DataFrame, small: DataFrame, key: str, size: str, most: int = 1000) -> DataFrame:
+    """Inner join with unique keys of which `size` tells the rows in `big`; both are read twice.
+
+    Keys with at least 1 in `most` of all rows, so at most `most` keys, are broadcast; no task gets all rows of one of them.
+    """
+    total = small.agg(F.sum(size)).first()[0] or 0
+    hot, rest = small.where(F.col(size) * most >= total), small.where(F.col(size) * most < total)
+    others = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return big.join(F.broadcast(hot), key).unionByName(others)
+
+
+__all__ = ["GAP", "cut_lineage", "documents", "hot_join", "let", "table", "whole_text"]

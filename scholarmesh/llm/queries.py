@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from scholarmesh.llm import byte_encoding, chat_format, collocations, fill_middle, fingerprints, near_dedup, packing, quality_rules
-from scholarmesh.llm import secret_scans, suffix_dedup, token_files, toxicity
+from scholarmesh.llm import byte_encoding, chat_format, collocations, fill_middle, fingerprints, jaccard_join, near_dedup, packing
+from scholarmesh.llm import quality_rules, secret_scans, suffix_dedup, token_files, toxicity
 
 ENTRIES = {
     "op1_secret_scans": (secret_scans.op1_secret_scans, None),
@@ -17,5 +17,6 @@ ENTRIES = {
     "op9_fingerprints": (fingerprints.op9_fingerprints, None),
     "op10_packing": (packing.op10_packing, None),
     "op11_collocations": (collocations.op11_collocations, None),
+    "op12_jaccard_join": (jaccard_join.op12_jaccard_join, None),
     "op13_fill_middle": (fill_middle.op13_fill_middle, fill_middle.OP13_SQL),
 }
