@@ -10,12 +10,13 @@ that are similar enough differ in at most D shingles, so in at most D buckets, a
 the cells (bucket, its content) of D + 1 + e buckets, e of which may be empty: every pair of linked sets meets in at least one.
 A set with too many empty buckets enters the cells of another dealing besides. Cells with the same members are one cell.
 
-Only components are wanted, so in a cell all members first meet one leader, for ROUNDS rounds; what is verified is contracted.
-Cells that still hold several components are joined by the R-tree, in parts of bounded size, pairs within a component left out;
-before that go sets too few of whose shingles occur in any other set that is left. No link between different sets is lost, and
-groups are never collected.
+Only components are wanted, so in a cell all members first meet one leader; what is verified is contracted. Cells that still
+hold several components are joined by the R-tree, in parts of bounded size, pairs within a component left out; before that go
+sets too few of whose shingles occur in any other set that is left. A first pass of the tree gives only a forest over a cell's
+components, by the best bounds; when that is verified and contracted, a second pass gives all pairs that are left. No link
+between different sets is lost, and groups are never collected.
 
-Sets are named by 128 bits, cells and their entries by 64 (an entry leads to all sets with that half). Defined cases: null texts
+Sets are named by 128 bits and numbered; cells and their entries have 64 (an entry leads to all sets with that half). Defined cases: null texts
 are empty; documents without words have no shingles and are linked with nothing; repeated rows and equal sets are linked;
 component ids ignore null document ids (null if all are null).
 """
@@ -36,7 +37,6 @@ from scholarmesh.llm.token_files import shared_folder
 
 WIDTH, PERCENT = 4, 85
 BLOCK_BYTES = 512 << 10
-ROUNDS = 3
 LEAF, FAN = 32, 8  # points of a leaf, children of an inner node
 PART = 512  # members of a cell that one part of the tree holds on average
 SEEN = 1_000_000  # sets a task remembers to enter equal ones once
@@ -119,20 +119,25 @@ def entries(shingle: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> t
 
 
 def groups_for(n: int) -> int:
-    """Coordinates of a set's point: about a quarter of its size, 32 to 1024, a power of two."""
-    return 1 << min(10, max(5, (max(n, 1) // 4).bit_length()))
+    """Coordinates of a set's point: about its size, 32 to 4096, a power of two."""
+    return 1 << min(12, max(5, max(n, 1).bit_length()))
+
+
+def _width(n: int) -> type:
+    """Counts of a set of n shingles are at most n."""
+    return np.uint16 if n < 65536 else np.uint32
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
     groups = groups_for(len(shingles))
     shift = np.uint64(65 - groups.bit_length())
-    return np.bincount((S.mix(shingles + S.STEP) >> shift).astype(np.int64), minlength=groups).astype(np.uint32)
+    return np.bincount((S.mix(shingles + S.STEP) >> shift).astype(np.int64), minlength=groups).astype(_width(len(shingles)))
 
 
 def folded(points: list[np.ndarray]) -> np.ndarray:
     """Points with the coordinates of the coarsest of them."""
     groups = min(len(p) for p in points)
-    return np.stack([p.reshape(groups, -1).sum(axis=1) for p in points]).astype(np.int64)
+    return np.stack([p.reshape(groups, -1).sum(axis=1) for p in points]).astype(np.int32)
 
 
 def _needed(a: np.ndarray, b: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
@@ -182,7 +187,7 @@ def _open(a: tuple, b: tuple, pairs: list[tuple[int, int]], percent: int) -> lis
 
 
 def tree_join(a: Tree, b: Tree, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs (point of a, point of b) of different roots whose bound reaches the least similarity; b may be a."""
+    """(point of a, point of b, bound of what they share) of different roots that may be similar enough; b may be a."""
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     pairs = [(i, j) for i in range(len(a.levels[la][1])) for j in range(len(b.levels[lb][1])) if a is not b or i <= j]
     while True:
@@ -201,25 +206,45 @@ def tree_join(a: Tree, b: Tree, percent: int = PERCENT) -> list[tuple[int, int]]
         x, y = np.nonzero(keep)
         if a is b and i == j:
             x, y = x[x < y], y[x < y]
-        out += zip(a.order[a0 + x].tolist(), b.order[b0 + y].tolist())
+        out += zip(a.order[a0 + x].tolist(), b.order[b0 + y].tolist(), shared[x, y].tolist())
+    return out
+
+
+def forest(found: list[tuple[int, int, int]], sizes: tuple[np.ndarray, np.ndarray], roots: tuple[np.ndarray, np.ndarray]) -> list[tuple]:
+    """The best of the found pairs that connect all roots which they connect."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    a, b, shared = np.array(found).T
+    best = np.argsort(-shared / (sizes[0][a] + sizes[1][b]), kind="stable")
+    out = []
+    for n in best.tolist():
+        u, v = top(int(roots[0][a[n]])), top(int(roots[1][b[n]]))
+        if u != v:
+            parent[u] = v
+            out.append(found[n])
     return out
 
 
-def _node(high: np.ndarray, low: np.ndarray) -> pa.Array:
+def _name(high: np.ndarray, low: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in np.stack([high, low], axis=1).astype(">u8")], pa.binary())
 
 
 def named_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, node (name of the set), half (its first 64 bits), n (set size) of (doc_id, text)."""
+    """doc_id, name (of the set), half (its first 64 bits), n (set size) of (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in S.blocks(batch.column(1), BLOCK_BYTES):
                 shingle, sizes = distinct_sets(data, offsets, width)
                 high, low = set_names(shingle, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _node(high, low), pa.array(
-                    high.view(np.int64)), pa.array(sizes.astype(np.int64))], names=["doc_id", "node", "half", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _name(high, low), pa.array(
+                    high.view(np.int64)), pa.array(sizes.astype(np.int64))], names=["doc_id", "name", "half", "n"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, node binary, half long, n long")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, name binary, half long, n long")
 
 
 def cell_entries(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -242,22 +267,22 @@ def cell_entries(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, width: int = WIDTH) -> DataFrame:
-    """node, n, point (binary), shingles (binary) of the needed (doc_id, node); one row per node."""
+    """node, n, point (binary), shingles (binary) of the needed (doc_id, name, node); one row per node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in S.blocks(batch.column(1), BLOCK_BYTES):
+            for lo, hi, data, offsets in S.blocks(batch.column(2), BLOCK_BYTES):
                 shingle, sizes = distinct_sets(data, offsets, width)
-                node, ends = _node(*set_names(shingle, sizes)), np.cumsum(sizes)
+                name, ends = _name(*set_names(shingle, sizes)), np.cumsum(sizes)
                 rows = [shingle[e - n:e] for e, n in zip(ends, sizes)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), node, pa.array(sizes.astype(np.int64)), pa.array(
+                    [batch.column(0).slice(lo, hi - lo), name, batch.column(1).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(
                         [point(r).tobytes() for r in rows], pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())],
-                    names=["wanted", "node", "n", "point", "shingles"])
+                    names=["wanted", "name", "node", "n", "point", "shingles"])
 
     text = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("text"))
-    found = text.join(needed, text["_id"].eqNullSafe(needed["doc_id"])).select("node", "text").mapInArrow(
-        run, "wanted binary, node binary, n long, point binary, shingles binary")
-    return found.where("wanted = node").drop("wanted").dropDuplicates(["node"])
+    found = text.join(needed, text["_id"].eqNullSafe(needed["doc_id"])).select("name", "node", "text").mapInArrow(
+        run, "wanted binary, name binary, node long, n long, point binary, shingles binary")
+    return found.where("wanted = name").drop("wanted", "name").dropDuplicates(["node"])
 
 
 def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -265,7 +290,7 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, _, nu, nv, pu, pv = (c.to_pylist() for c in batch.columns)
-            keep = [bool(_needed(a, b, np.minimum(*folded([np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)])).sum(), percent))
+            keep = [bool(_needed(a, b, np.minimum(*folded([np.frombuffer(p, _width(a)), np.frombuffer(q, _width(b))])).sum(), percent))
                     for a, b, p, q in zip(nu, nv, pu, pv)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
@@ -273,7 +298,7 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -
     right = points.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("point").alias("pv"))
     a, b = F.col("nu"), F.col("nv")
     return pairs.join(left, "u").join(right, "v").where(100 * F.least(a, b) >= percent * F.greatest(a, b)).select(
-        "u", "v", "nu", "nv", "pu", "pv").mapInArrow(run, "u binary, v binary")
+        "u", "v", "nu", "nv", "pu", "pv").mapInArrow(run, "u long, v long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -289,7 +314,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u binary, v binary")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
 def placed(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -304,26 +329,24 @@ def with_company(apart: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     """Rows of `apart` whose node shares enough of its shingles with any other node there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, data in zip(batch.column(0), batch.column(1)):
+            for node, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shingle = np.frombuffer(data.as_buffer(), np.int64)
-                half = np.frombuffer(node.as_buffer(), ">i8").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(shingle), *[pa.array(np.full(len(shingle), h)) for h in half]],
-                                                 names=["shingle", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(np.full(len(shingle), node))], names=["shingle", "node"])
 
     nodes = apart.select("node").distinct()
-    rows = sets.select("node", "shingles").join(nodes, "node").select("node", "shingles").mapInArrow(run, "shingle long, a long, b long")
-    lone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("a").alias("a"), F.min("b").alias("b")).where("c = 1").groupBy(
-        "a", "b").agg(F.count(F.lit(1)).alias("alone"))
-    halves = [F.conv(F.hex(F.substring("node", k, 8)), 16, -10).cast("long").alias(c) for k, c in ((1, "a"), (9, "b"))]
-    known = sets.select("node", "n").join(nodes, "node").select("node", "n", *halves).join(lone, ["a", "b"], "left").where(
+    rows = sets.select("node", "shingles").join(nodes, "node").mapInArrow(run, "shingle long, node long")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy(
+        "node").agg(F.count(F.lit(1)).alias("alone"))
+    known = sets.select("node", "n").join(nodes, "node").join(alone, "node", "left").where(
         100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("node")
     return apart.join(known, "node")
 
 
-def tree_pairs(apart: DataFrame, sets: DataFrame, percent: int = PERCENT, part: int = PART) -> DataFrame:
+def tree_pairs(apart: DataFrame, sets: DataFrame, percent: int = PERCENT, part: int = PART, spanning: bool = False) -> DataFrame:
     """u, v: pairs of different components that meet in a cell and whose points leave room for the least similarity.
 
-    apart: cell, node, root. A cell's members are cut into parts of about `part`; parts of one root are not joined.
+    apart: cell, node, root. A cell's members are cut into parts of about `part`; parts of one root are not joined. With
+    `spanning` only as many pairs as connect the components of two parts.
     """
     by_root = apart.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("c"))
     small = F.when(F.col("c") < part, F.col("c")).otherwise(0)
@@ -346,18 +369,21 @@ def tree_pairs(apart: DataFrame, sets: DataFrame, percent: int = PERCENT, part:
 
     def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         nodes, roots = [r[4] for r in held], {r: n for n, r in enumerate(dict.fromkeys(r[5] for r in held))}
-        points, size = folded([np.frombuffer(r[7], np.uint32) for r in held]), np.array([r[6] for r in held])
+        points, size = folded([np.frombuffer(r[7], _width(r[6])) for r in held]), np.array([r[6] for r in held])
         root = np.array([roots[r[5]] for r in held])
         sides = [np.nonzero(np.array([r[3] for r in held]) == s)[0] for s in (0, 1)]
         trees = [Tree(points[s], size[s], root[s]) if len(s) else None for s in sides]
         same = held[0][1] == held[0][2]
         if trees[0] is None or (trees[1] is None and not same):
             return
+        sides = [sides[0], sides[0] if same else sides[1]]
         found = tree_join(trees[0], trees[0] if same else trees[1], percent)
+        if found and spanning:
+            found = forest(found, tuple(size[s] for s in sides), tuple(root[s] for s in sides))
         if found:
-            a, b = zip(*found)
-            u, v = ([nodes[s[n]] for n in x] for s, x in ((sides[0], a), (sides[0] if same else sides[1], b)))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+            a, b, _ = zip(*found)
+            u, v = ([nodes[s[n]] for n in x] for s, x in zip(sides, (a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -373,7 +399,14 @@ def tree_pairs(apart: DataFrame, sets: DataFrame, percent: int = PERCENT, part:
     points = sets.select("node", "n", "point")
     near = left.unionByName(right).join(points, "node").select("cell", "part", "part2", "side", "node", "root", "n", "point")
     return near.repartition("cell", "part", "part2").sortWithinPartitions("cell", "part", "part2").mapInArrow(
-        run, "u binary, v binary").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        run, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def of_different_members(rows: DataFrame, member: str) -> DataFrame:
+    """Of the cells with the same members (distinct per cell) the rows of one."""
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), member)).alias(f"mark{k}") for k in (1, 2)]
+    kept = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), *marks).groupBy("c", "mark1", "mark2").agg(F.min("cell").alias("cell"))
+    return rows.join(kept.select("cell"), "cell")
 
 
 def members_of_cells(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -381,47 +414,46 @@ def members_of_cells(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, perc
     shared = cut_lineage(cell_entries(docs, width, percent).groupBy("cell").agg(
         F.min("half").alias("low"), F.max("half").alias("high")).where("low != high").select("cell"))
     inside = cut_lineage(cell_entries(docs, width, percent).join(shared, "cell").distinct())
-    marks = [F.bit_xor(F.xxhash64(F.lit(k), "half")).alias(f"mark{k}") for k in (1, 2)]
-    kept = inside.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), *marks).groupBy("c", "mark1", "mark2").agg(F.min("cell").alias("cell"))
-    return cut_lineage(inside.join(kept.select("cell"), "cell").join(nodes, "half").select("cell", "node"))
+    return cut_lineage(of_different_members(inside, "half").join(nodes, "half").select("cell", "node"))
+
 
+def linked(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """u, v: every linked set with the least set of its component (itself left out).
 
-def linked(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """u, v: every linked set with the least set of its component (itself left out). nodes: node, half, doc_id (of one text)."""
+    nodes: node (number), name, half (of the name), doc_id (of one text).
+    """
     spark = docs.sparkSession
     members = members_of_cells(docs, nodes.select("node", "half"), width, percent)
     folder = shared_folder(spark, "sets")
-    needed = nodes.join(members.select("node").distinct(), "node").select("doc_id", "node")
+    needed = nodes.join(members.select("node").distinct(), "node").select("doc_id", "name", "node")
     full_sets(docs, needed, width).write.parquet(folder)
-    sets = spark.read.schema("node binary, n long, point binary, shingles binary").parquet(folder)
-
-    links = spark.createDataFrame([], "u binary, v binary")
-    apart = members.withColumn("root", F.col("node"))
-    for nth in range(rounds):
-        order = F.struct(F.xxhash64(F.lit(nth), "node") if nth else F.lit(0), "node")
-        leaders = apart.groupBy("cell").agg(F.min(F.struct(order.alias("o"), F.col("root"))).alias("l")).select(
-            "cell", F.col("l.o.node").alias("v"), F.col("l.root").alias("leading"))
-        stars = apart.join(leaders, "cell").where("root != leading").select(F.col("node").alias("u"), "v").distinct()
-        near = verified(bounded_pairs(stars, sets, percent), sets, percent)
-        links = components(links.unionByName(near))
+    sets = spark.read.schema("node long, n long, point binary, shingles binary").parquet(folder)
+
+    leaders = members.groupBy("cell").agg(F.min("node").alias("v"))
+    stars = members.join(leaders, "cell").where("node != v").select(F.col("node").alias("u"), "v").distinct()
+    links = components(verified(bounded_pairs(stars, sets, percent), sets, percent))
+    apart = of_different_members(cut_lineage(with_company(placed(members, links), sets, percent)), "node")
+    for spanning in (True, False):
         apart = cut_lineage(placed(apart, links))
         if apart.isEmpty():
-            return links
-    rest = cut_lineage(placed(with_company(apart, sets, percent), links))
-    return components(links.unionByName(verified(tree_pairs(rest, sets, percent), sets, percent)))
+            break
+        pairs = cut_lineage(tree_pairs(apart, sets, percent, spanning=spanning))
+        links = components(links.unionByName(verified(pairs, sets, percent)))
+    return links
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, links of every row of (doc_id, text); links: whether the set is linked with another one."""
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     known = cut_lineage(named_sets(docs, width))
-    nodes = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("half").alias("half"), F.count(F.lit(1)).alias("c"))
-    nodes = cut_lineage(nodes)
-    roots = linked(docs, nodes, width, percent, rounds).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = nodes.join(roots, "node", "left").select("node", "doc_id", "c", F.coalesce("root", "node").alias("root"))
+    nodes = cut_lineage(known.where("n > 0").groupBy("name").agg(
+        F.min("doc_id").alias("doc_id"), F.min("half").alias("half"), F.count(F.lit(1)).alias("c"))).withColumn(
+        "node", F.monotonically_increasing_id())  # numbers of checkpointed rows
+    roots = linked(docs, nodes, width, percent).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rooted = nodes.join(roots, "node", "left").select("name", "doc_id", "c", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
-    found = cut_lineage(hot_join(rooted.select("node", "c", "root"), ids, "root", "size").select("node", "component_id", "c"))
-    full = hot_join(known.where("n > 0"), found, "node", "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = cut_lineage(hot_join(rooted.select("name", "c", "root"), ids, "root", "size").select("name", "component_id", "c"))
+    full = hot_join(known.where("n > 0"), found, "name", "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(known.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 

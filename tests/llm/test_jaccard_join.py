@@ -79,7 +79,6 @@ def test_group_around_the_threshold_needs_the_tree(docs_of):
     rows = [(n, " ".join(edited(rng, base, 6))) for n in range(160)]
     want = brute(rows)
     assert 1 < len({r[3] for r in want}) < 160
-    assert rows_of(J.jaccard_components(docs_of(rows), rounds=1)) == want
     assert rows_of(J.jaccard_components(docs_of(rows))) == want
 
 
@@ -108,6 +107,15 @@ def test_families_of_cells_are_complete(monkeypatch):
     assert len(set(cell.tolist())) < len(cell)  # the last cell of a class takes all that is left
 
 
+def brute_parts(pairs, root):
+    part = {int(r): {int(r)} for r in root}
+    for i, j, _ in pairs:
+        whole = part[int(root[i])] | part[int(root[j])]
+        for r in whole:
+            part[r] = whole
+    return part
+
+
 @pytest.mark.parametrize("count", [2, 40, 700])
 def test_tree_join_equals_all_pairs_of_points(count):
     rng = np.random.default_rng(count)
@@ -118,11 +126,15 @@ def test_tree_join_equals_all_pairs_of_points(count):
     want = {(i, j) for i in range(count) for j in range(i) if root[i] != root[j] and 185 * np.minimum(points[i], points[j]).sum() >= 85 * (
         size[i] + size[j])}
     tree = J.Tree(points, size, root)
-    assert {(max(p), min(p)) for p in J.tree_join(tree, tree)} == want
+    found = J.tree_join(tree, tree)
+    assert {(max(p[:2]), min(p[:2])) for p in found} == want and all(s == np.minimum(points[i], points[j]).sum() for i, j, s in found)
+    if found:
+        spanning = J.forest(found, (size, size), (root, root))
+        assert brute_parts(spanning, root) == brute_parts(found, root) and len(spanning) < len(set(root.tolist()))
     half = np.arange(count) % 2 == 0
     a, b = (J.Tree(points[s], size[s], root[s]) for s in (half, ~half))
     to = [np.nonzero(s)[0] for s in (half, ~half)]
-    assert {(max(p), min(p)) for i, j in J.tree_join(a, b) for p in [(int(to[0][i]), int(to[1][j]))]} == {
+    assert {(max(p), min(p)) for i, j, _ in J.tree_join(a, b) for p in [(int(to[0][i]), int(to[1][j]))]} == {
         p for p in want if p[0] % 2 != p[1] % 2}
 
 
@@ -139,11 +151,13 @@ def test_parts_of_large_cells_change_nothing(docs_of, spark):
     base = [rng.choice(VOCABULARY) for _ in range(100)]
     texts = [" ".join(edited(rng, base, 8)) for _ in range(90)]
     named = J.named_sets(docs_of(list(enumerate(texts)))).collect()
-    nodes = {r.doc_id: bytes(r.node) for r in named}
-    sets = J.full_sets(docs_of(list(enumerate(texts))), spark.createDataFrame([(d, n) for d, n in nodes.items()], "doc_id long, node binary")).cache()
-    assert sets.count() == len(set(nodes.values()))
-    apart = spark.createDataFrame([(1, n, nodes[0] if d % 2 else n) for d, n in nodes.items()], "cell long, node binary, root binary").distinct()
-    whole, cut = ({(bytes(r.u), bytes(r.v)) for r in J.tree_pairs(apart, sets, part=p).collect()} for p in (1000, 7))
+    names = list({bytes(r.name) for r in named})
+    nodes = {r.doc_id: names.index(bytes(r.name)) for r in named}
+    needed = spark.createDataFrame([(r.doc_id, bytearray(r.name), nodes[r.doc_id]) for r in named], "doc_id long, name binary, node long")
+    sets = J.full_sets(docs_of(list(enumerate(texts))), needed).cache()
+    assert sets.count() == len(names)
+    apart = spark.createDataFrame([(1, n, nodes[0] if d % 2 else n) for d, n in nodes.items()], "cell long, node long, root long").distinct()
+    whole, cut = ({(r.u, r.v) for r in J.tree_pairs(apart, sets, part=p).collect()} for p in (1000, 7))
     assert whole == cut and len(whole) > 20
 
 
