@@ -21,6 +21,7 @@ seed is a parameter).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import islice
 
@@ -36,7 +37,7 @@ from scholarmesh.llm.common import cut_lineage, table, whole_text
 LEAST, DEPTH, BEST = 10, 3, 2000
 SCALE, WITHIN = 1_000_000, 50
 NAMING_BYTES = 256 << 10  # text that is named at once
-BLOCK_WORDS = 1_000_000  # suffixes that a task sorts at once
+BLOCK_WORDS = 1_500_000  # suffixes that a task sorts at once
 BUCKET_WORDS = 2_000_000  # suffixes of all documents that one bucket gets on average
 SAMPLE, SHARE = 0.01, 512  # rows looked at for very common leading pairs, and the share (1 in so many) that is common
 CUTOFF = 1 << 14  # so few pointers are sorted outright
@@ -81,16 +82,22 @@ def named(data: np.ndarray, offsets: np.ndarray, salt: np.ndarray) -> tuple[np.n
     return name, start, size, row, np.cumsum(PIECE_ENDS[data])[start]
 
 
-def suffixes(name: np.ndarray, row: np.ndarray, piece: np.ndarray, depth: int = DEPTH) -> list[np.ndarray]:
+def followed(row: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """Whether the next word belongs to the same piece."""
+    out = np.zeros(len(row), dtype=bool)
+    out[:-1] = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
+    return out
+
+
+def suffixes(word: np.ndarray, goes_on: np.ndarray, depth: int = DEPTH) -> list[np.ndarray]:
     """Columns of the words at 0, 1, ... behind every position; 0 beyond the end of the piece."""
-    out = [name]
-    for k in range(1, depth):
-        column = np.zeros(len(name), dtype=np.uint64)
-        if len(name) > k:
-            same = (row[k:] == row[:-k]) & (piece[k:] == piece[:-k])
-            column[:-k] = np.where(same, name[k:], np.uint64(0))
+    out, inside = [word], np.ones(len(word), dtype=bool)
+    for k in range(1, min(depth, len(word))):
+        inside = inside[:-1] & goes_on[k - 1:-1]
+        column = np.zeros_like(word)
+        column[:-k] = np.where(inside, word[k:], word.dtype.type(0))
         out.append(column)
-    return out
+    return out + [np.zeros_like(word) for _ in range(depth - len(out))]
 
 
 def multikey_sort(columns: list[np.ndarray], weight: np.ndarray, least: int = 1) -> tuple[list[list[tuple]], list[tuple]]:
@@ -100,7 +107,7 @@ def multikey_sort(columns: list[np.ndarray], weight: np.ndarray, least: int = 1)
     """
     found: list[list[tuple]] = [[] for _ in columns]
     whole: list[tuple] = []
-    todo = [(np.arange(len(weight)), 0)]
+    todo = [(np.arange(len(weight), dtype=np.int32), 0)]
     while todo:
         at, depth = todo.pop()
         if not len(at):
@@ -175,6 +182,21 @@ def packed_suffixes(columns: list[np.ndarray], count: np.ndarray) -> bytes:
     return packed([names, *[_narrow(p) for p in np.split(place, len(columns))], _narrow(count)])
 
 
+def packed_words(names: np.ndarray, count: np.ndarray, texts: list[bytes], langs: list[str]) -> bytes:
+    known = {lang: n for n, lang in enumerate(dict.fromkeys(langs))}
+    data, list_of = b"".join(texts), "\n".join(json.dumps(x) for x in known).encode()
+    return packed([names, _narrow(count), _narrow(np.array([len(t) for t in texts])), np.frombuffer(data, np.uint8), _narrow(
+        np.array([known[x] for x in langs])), np.frombuffer(list_of, np.uint8)])
+
+
+def unpacked_words(data: bytes) -> Iterator[tuple[int, int, bytes, str]]:
+    """(name, count, text, language) of every word."""
+    names, count, sizes, text, lang, list_of = unpacked(data)
+    langs, raw, ends = [json.loads(x) for x in list_of.tobytes().decode().split("\n")], text.tobytes(), np.cumsum(sizes.astype(np.int64)).tolist()
+    for name, n, lo, hi, of in zip(names.tolist(), count.tolist(), [0, *ends[:-1]], ends, lang.tolist()):
+        yield name, n, raw[lo:hi], langs[of]
+
+
 def unpacked_suffixes(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     names, *places, count = unpacked(data)
     return [names[p] for p in places], count.astype(np.int64)
@@ -219,7 +241,7 @@ def _route(columns: list[np.ndarray], hot: np.ndarray, buckets: int) -> np.ndarr
     return (route % np.uint64(buckets)).astype(np.int64)
 
 
-ROUTED = "kind int, bucket long, part binary, words array<binary>, langs array<string>"
+ROUTED = "kind int, bucket long, part binary"
 COUNTED = "kind int, lang string, word string, h array<bigint>, count long"
 
 
@@ -232,29 +254,28 @@ def routed(docs: DataFrame, buckets: int, hot: np.ndarray, depth: int = DEPTH, s
         for lo, hi in zip(firsts, np.append(firsts[1:], len(order))):
             yield int(route[order[lo]]), order[lo:hi]
 
-    def parts(columns: list[np.ndarray], words: _Words) -> Iterator[tuple]:
-        found, whole = multikey_sort(columns, np.ones(len(columns[0]), dtype=np.int64))
+    def parts(name: np.ndarray, goes_on: np.ndarray, words: _Words) -> Iterator[tuple]:
+        names = np.concatenate([np.zeros(1, np.uint64), words.names])  # sorted; a word's place stands for it
+        columns = suffixes(np.searchsorted(names, name).astype(np.int32), goes_on, depth)
+        found, whole = multikey_sort(columns, np.ones(len(name), dtype=np.int32))
         at, count = joined(whole)
         own = [c[at] for c in columns]
-        for bucket, part in dealt(_route(own, hot, buckets)):
-            yield 1, bucket, packed_suffixes([c[part] for c in own], count[part]), None, None
+        for bucket, part in dealt(_route([names[c] for c in own[:3]], hot, buckets)):
+            yield 1, bucket, packed_suffixes([names[c[part]] for c in own], count[part])
         at, count = joined(found[0])
-        name, texts, langs = words.columns()
-        by_name = np.argsort(name)
-        place = by_name[np.searchsorted(name[by_name], columns[0][at])]
-        for bucket, part in dealt((S.mix(columns[0][at]) % np.uint64(buckets)).astype(np.int64)):
-            yield (0, bucket, packed([columns[0][at[part]], _narrow(count[part])]), [texts[p] for p in place[part]],
-                   [langs[p] for p in place[part]])
+        learnt, texts, langs = words.columns()
+        own, place = names[columns[0][at]], np.argsort(learnt)[columns[0][at] - 1]
+        for bucket, part in dealt((S.mix(own) % np.uint64(buckets)).astype(np.int64)):
+            yield 0, bucket, packed_words(own[part], count[part], [texts[p] for p in place[part]], [langs[p] for p in place[part]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words, size = [], _Words(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = parts([np.concatenate(c) for c in zip(*held)], words)
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.string())]
-            while some := list(islice(rows, 64)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)],
-                                                 names=["kind", "bucket", "part", "words", "langs"])
+            rows = parts(*[np.concatenate(c) for c in zip(*held)], words)
+            while some := list(islice(rows, 16)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), (pa.int32(), pa.int64(), pa.binary()))],
+                                                 names=["kind", "bucket", "part"])
 
         for batch in batches:
             for lo, hi, data, offsets in S.blocks(batch.column(1), NAMING_BYTES):
@@ -263,7 +284,7 @@ def routed(docs: DataFrame, buckets: int, hot: np.ndarray, depth: int = DEPTH, s
                 name, start, length, row, piece = named(data, offsets, language_names(langs, seed))
                 if not len(name):
                     continue
-                held.append(suffixes(name, row, piece, depth))
+                held.append((name, followed(row, piece)))
                 words.add(data, name, start, length, row, langs)
                 size += len(name)
                 if size >= block_words:
@@ -275,7 +296,7 @@ def routed(docs: DataFrame, buckets: int, hot: np.ndarray, depth: int = DEPTH, s
     return docs.select("lang", whole_text().alias("text")).mapInArrow(run, ROUTED)
 
 
-def merged(parts: DataFrame, least: int = LEAST, hot: np.ndarray | None = None, pending: int = 2 * BUCKET_WORDS) -> DataFrame:
+def merged(parts: DataFrame, least: int = LEAST, hot: np.ndarray | None = None, pending: int = BUCKET_WORDS) -> DataFrame:
     """COUNTED rows: kind 0 words with at least `least` occurrences, 1 phrases (names h), 2 occurrences of a language (a part).
 
     Counts of two leading words that are dealt out by the third are parts too; they are added up later.
@@ -325,9 +346,8 @@ def merged(parts: DataFrame, least: int = LEAST, hot: np.ndarray | None = None,
                 [t.decode() for t in texts]), count=pa.array(count), h=pa.array([[n] for n in np.array(name, np.uint64).view(
                     np.int64).tolist()], pa.list_(pa.int64())))
 
-    def learn(known: dict[int, list], part: bytes, texts: list[bytes], langs: list[str]) -> None:
-        names, count = unpacked(part)
-        for name, n, text, lang in zip(names.tolist(), count.tolist(), texts, langs):
+    def learn(known: dict[int, list], part: bytes) -> None:
+        for name, n, text, lang in unpacked_words(part):
             of = known.setdefault(name, [0, text, lang])
             if of[1] != text or of[2] != lang:
                 raise ValueError(f"{of[1]!r} and {text!r} have one name; choose another seed")
@@ -336,13 +356,14 @@ def merged(parts: DataFrame, least: int = LEAST, hot: np.ndarray | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, known, size, bound = None, [], {}, 0, pending
         for batch in batches:
-            for kind, bucket, part, words, langs in zip(*[c.to_pylist() for c in batch.columns]):
+            for n in range(len(batch)):  # one part at a time
+                kind, bucket, part = (c[n].as_py() for c in batch.columns)
                 if at is not None and at != (kind, bucket):
                     yield from phrases(held) if at[0] else dictionary(known)
                     held, known, size, bound = [], {}, 0, pending
                 at = (kind, bucket)
                 if not kind:
-                    learn(known, part, words, langs)
+                    learn(known, part)
                     continue
                 held.append(unpacked_suffixes(part))
                 size += len(held[-1][1])
@@ -368,7 +389,7 @@ def common_pairs(docs: DataFrame, depth: int = DEPTH, seed: int = 0, sample: flo
                 langs = batch.column(0).slice(lo, hi - lo).to_pylist()
                 name, _, _, row, piece = named(LOWER[data], offsets, language_names(langs, seed))
                 total += len(name)
-                a, b = suffixes(name, row, piece, 2)
+                a, b = suffixes(name, followed(row, piece), 2)
                 pairs.append(S.mix(a + S.mix(b))[b > 0])
         value, count = np.unique(np.concatenate(pairs), return_counts=True)
         keep = count * 2 * share > total

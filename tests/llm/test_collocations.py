@@ -123,12 +123,19 @@ def test_exact_beyond_64_bits(spark):
 
 
 def test_equal_names_stop_the_job(spark, monkeypatch):
-    part = C.packed([np.array([5], np.uint64), np.array([3], np.uint8)])
-    df = spark.createDataFrame([(0, 0, bytearray(part), [bytearray(b"one")], ["en"]), (0, 0, bytearray(part), [bytearray(b"two")], ["en"])], C.ROUTED)
+    parts = [C.packed_words(np.array([5], np.uint64), np.array([3]), [word], ["en"]) for word in (b"one", b"two")]
+    df = spark.createDataFrame([(0, 0, bytearray(part)) for part in parts], C.ROUTED)
     with pytest.raises(Exception, match="one name"):
         C.merged(df.coalesce(1)).collect()
 
 
+def test_suffixes_end_with_their_piece():
+    word = np.array([1, 2, 3, 4, 5])
+    assert [c.tolist() for c in C.suffixes(word, np.array([True, True, False, True, False]))] == [
+        [1, 2, 3, 4, 5], [2, 3, 0, 5, 0], [3, 0, 0, 0, 0]]
+    assert [c.tolist() for c in C.suffixes(word[:1], np.array([False]))] == [[1], [0], [0]]
+
+
 def test_nothing(spark):
     assert rows_of(C.collocations(frame(spark, []))) == []
     assert rows_of(C.collocations(frame(spark, [("en", None), ("en", ". .")]))) == []
