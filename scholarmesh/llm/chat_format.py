@@ -6,7 +6,9 @@ the marks' characters inside texts escaped reversibly, and a loss mask that cove
 
 Layouts: prompt and completion (or response, answer), instruction with optional input, system text, lists of messages
 under several names and key styles; a layout is declared in LAYOUTS, nothing else changes. A record whose fingerprint is
-unknown has layout null and no turns (empty output); malformed JSON likewise. Null texts and roles are empty. An empty
+unknown has layout null and no turns (empty output); malformed JSON likewise. A record longer than the JSON parser reads stops
+the job: it is never taken for an empty one. Turn rows need no such limit: what is parsed of them is a small record with the
+places of the texts, and the mapping's turns then get the texts themselves. Null texts and roles are empty. An empty
 optional part (system, input) gives no turn of its own. Ties in the turn order are broken by role, then text.
 """
 
@@ -39,6 +41,7 @@ FLAT = {
 OPTIONAL = {"system", "input"}
 #: Other spellings of the canonical roles; a role that is not listed stays as it is.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+PARSED = 10_000_000  # code points that the parser certainly reads
 EXTRAS = ["id", "source"]  # scalar fields that any layout may carry beside its own
 
 
@@ -74,9 +77,16 @@ def known_shapes() -> dict[str, str]:
     return out
 
 
+def parsed(record: Column) -> Column:
+    """The record as a variant, null if it is no JSON; fails on what may be too long for the parser."""
+    value = F.try_parse_json(record)
+    return F.when(value.isNull() & (F.length(record) > PARSED), F.raise_error(F.lit(
+        "a record is too long for the JSON parser; give its turns as rows"))).otherwise(value)
+
+
 def shape_of(record: Column) -> Column:
     """Nested field paths of a JSON record, sorted, without scalar types; null if it is no JSON."""
-    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)),
+    return F.regexp_replace(F.schema_of_variant(parsed(record)),
                             r"(?<=: )(STRING|VOID|BIGINT|DOUBLE|FLOAT|BOOLEAN|DATE|TIMESTAMP(_NTZ)?|DECIMAL\(\d+,\d+\))(?=[,>])", "_")
 
 
@@ -104,7 +114,7 @@ def _turn(role: str, text: str):
 
 def canonical_turns(record: Column, layout: Column) -> Column:
     """array<struct<role,text>> read through the layout's mapping."""
-    value = F.try_parse_json(record)
+    value = parsed(record)
     out = F.lit(None).cast(TURNS)
     for name, (where, role, text) in LISTS.items():
         turns = F.try_variant_get(value, f"$.{where}", f"array<struct<{role}:string,{text}:string>>")
@@ -185,25 +195,36 @@ def read_loss(chat: Column, runs: Column) -> Column:
 
 
 def from_turn_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, record: one JSON record per conversation from rows (conv_id, turn, role, text).
+    """conv_id, record, texts: per conversation a JSON record of (conv_id, turn, role, text) whose texts are places in `texts`.
 
-    A lone exchange becomes a prompt layout, one with a leading system turn an instruction layout, all else messages.
+    A lone exchange becomes a prompt layout, one with a leading system turn an instruction layout, all else messages. An empty
+    text has an empty place.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), whole_text().alias("text"))
     t = F.col("t")
 
     def text(n: int) -> Column:
-        return F.get(t, F.lit(n))["text"]
+        return F.when(F.get(t, F.lit(n))["text"] == "", "").otherwise(F.lit(str(n)))
 
-    roles = F.array_join(F.transform(t, lambda x: x["role"]), ",")
-    messages = F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    roles = F.array_join(F.slice(F.transform(t, lambda x: x["role"]), 1, 4), ",")
+    messages = F.transform(t, lambda x, n: F.struct(x["role"].alias("role"), F.when(x["text"] == "", "").otherwise(n.cast("string")).alias(
+        "content")))
     record = F.when((F.size(t) == 2) & (roles == "user,assistant"), F.to_json(F.struct(
         text(0).alias("prompt"), text(1).alias("completion")))).when(
         (F.size(t) == 3) & (roles == "system,user,assistant") & (text(0) != ""), F.to_json(F.struct(
             text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output")))).otherwise(
         F.to_json(F.struct(messages.alias("messages"))))
-    return rows.select("conv_id", turn.alias("x")).groupBy("conv_id").agg(
-        F.sort_array(F.collect_list("x")).alias("t")).select("conv_id", record.alias("record"))
+    return rows.select("conv_id", turn.alias("x")).groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("t")).select(
+        "conv_id", record.alias("record"), F.transform("t", lambda x: x["text"]).alias("texts"))
+
+
+def format_turn_rows(rows: DataFrame) -> DataFrame:
+    """conv_id, fingerprint, layout, formatted, loss_runs of (conv_id, turn, role, text); texts never pass the JSON parser."""
+    read = with_layout(from_turn_rows(rows)).withColumn("turns", canonical_turns(F.col("record"), F.col("layout")))
+    turns = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), F.coalesce(
+        F.get("texts", F.nullif(x["text"], F.lit("")).cast("int")), F.lit("")).alias("text")))
+    return read.withColumn("turns", turns).select("conv_id", "fingerprint", "layout", formatted(F.col("turns")).alias("formatted"), loss_runs(
+        F.col("turns")).alias("loss_runs"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +232,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(
         F.lit(EXTRA).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text"))
-    chats = chat_format(from_turn_rows(rows.unionByName(extra)))
+    chats = format_turn_rows(rows.unionByName(extra))
     read = chats.select("conv_id", "layout", "formatted", read_turns(F.col("formatted")).alias("turns"),
                         read_loss(F.col("formatted"), F.col("loss_runs")).alias("loss"))
     digest = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")

@@ -2,9 +2,10 @@
 
 A signature is the least value of each of PERMUTATIONS universal hash functions (multiply and add, high bits) over the
 distinct shingles of a text, kept to 16 bits each. The likeness of two fingerprints is the share of equal places, set
-right for chance agreement: (equal - 2^-16) / (1 - 2^-16), at least 0. `near_pairs` joins signatures by bands and
+right for chance agreement: (equal - 2^-16) / (1 - 2^-16), at least 0. `near_links` joins signatures by bands and
 verifies the Jaccard similarity of the shingle sets; op9 carries the least doc_id of the class that such links make.
-Equal texts (first 64 bits of the MD5) meet once.
+Equal texts (first 64 bits of the MD5) meet once. A pair of similarity 0.8 shares one of the BANDS with a probability of
+0.992; within a band nothing is lost, and no group is compared pair by pair (`jaccard_join.linked_in_cells`).
 
 Defined cases: null texts are empty; a text without words has the fingerprint of zeros, is fully like another such text
 and not like any other; texts of one to four words have one shingle; repeated rows are ordered by text and each get their
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholarmesh.llm import shingles as S
-from scholarmesh.llm.common import cut_lineage, documents, whole_text
-from scholarmesh.llm.components import components
+from scholarmesh.llm.common import cut_lineage, documents, hot_join, whole_text
+from scholarmesh.llm.jaccard_join import BLOCK_BYTES, SETS, distinct_sets, linked_in_cells, of_different_members, set_rows
+from scholarmesh.llm.token_files import shared_folder
 from scholarmesh.llm.toxicity import maybe, sieve
 
 PERMUTATIONS, BITS = 64, 16
-BANDS, ROWS = 16, 4
-LEAST = 0.8
+BANDS, ROWS = 12, 5
+BYTES = np.arange(256, dtype=np.uint8)  # texts as they are
+PERCENT = 80  # least Jaccard similarity
 
 
 def factors(permutations: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,73 +175,53 @@ def banded(prints: DataFrame) -> DataFrame:
         F.xxhash64(F.lit(n), F.substring(digits, n * width + 1, width)) for n in range(BANDS)])).alias("band"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """u, v, jaccard of the pairs (u, v) whose shingle sets are similar enough. docs: doc_id (unique), text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            value = []
-            for n in range(len(batch)):  # the sets of one pair at a time are held
-                a, b = (np.unique(S.shingles(*S.words(*S.text_bytes(batch.column(c).slice(n, 1))))[0]) for c in (2, 3))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                value.append(both / max(1, len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value, pa.float64())],
-                                             names=["u", "v", "jaccard"])
-
-    text = docs.select(F.col("doc_id").alias("u"), whole_text().alias("text"))
-    found = pairs.join(text, "u").join(text.select(F.col("u").alias("v"), F.col("text").alias("other")), "v")
-    return found.select("u", "v", "text", "other").mapInArrow(run, "u long, v long, jaccard double").where(
-        F.col("jaccard") >= least)
-
-
-def near_pairs(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, leader, jaccard: verified pairs (leader < doc_id) that link all that shares a band and is similar enough.
-
-    Per band value every document meets the least one in it. What that links is contracted; documents of a band value
-    outside its largest component then meet the documents of the other components. Every pair that shares a band and is
-    similar enough is thus in one component of the result; pairs inside a component need not all be listed.
-    Documents without words are left out. docs: doc_id (unique), text.
+def band_members(prints: DataFrame) -> DataFrame:
+    """cell, node of (doc_id, fingerprint): bands with several documents; of bands with the same documents one stays."""
+    bands = banded(prints)
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
+    inside = cut_lineage(bands.join(shared, "band").select(F.col("band").alias("cell"), F.col("doc_id").alias("node")))
+    return cut_lineage(of_different_members(inside, "node"))
+
+
+def near_links(members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """u, v: documents and the least one of their class, the least left out: all similar enough that share a band are linked.
+
+    members: cell, node; docs: doc_id, text, of which equal ids have equal texts.
     """
-    return links(fingerprints(docs), docs, least).select(F.col("u").alias("doc_id"), F.col("v").alias("leader"), "jaccard")
-
-
-def links(prints: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """u, v, jaccard of near_pairs, for given (doc_id, fingerprint)."""
-    bands = cut_lineage(banded(prints))
-    leaders = bands.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = bands.join(leaders.drop("c"), "band")
-    stars = members.where("doc_id != leader").select(F.col("doc_id").alias("u"), F.col("leader").alias("v")).distinct()
-    first = cut_lineage(verified(stars, docs, least))
-    placed = members.join(components(first).select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left").select(
-        "band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-    split = parts.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where(
-        "parts > 1")
-    apart = cut_lineage(placed.join(split, "band"))
-    minor = apart.where("root != main").select("band", F.col("doc_id").alias("a"), F.col("root").alias("root_a"))
-    crossing = minor.join(apart, "band").where("root_a != root").select(
-        F.greatest("a", "doc_id").alias("u"), F.least("a", "doc_id").alias("v")).distinct()
-    second = verified(crossing.join(stars, ["u", "v"], "left_anti"), docs, least)
-    return first.unionByName(second)
-
-
-def with_class(done: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """Results of with_next with near_class: the least doc_id of the texts that links of near_pairs join; docs: doc_id, text."""
-    key = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 16), 16, -10).cast("long")
-    prints = cut_lineage(done.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("fingerprint").alias("fingerprint")))
-    bands = banded(prints.select(F.col("key").alias("doc_id"), "fingerprint"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    bits = sieve(bands.join(shared, "band").select(F.col("doc_id").alias("key")).distinct())
+    bits = sieve(members.select(F.col("node").alias("key")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(maybe(bits, batch.column(0).to_numpy().view(np.uint64))))
-
-    texts = docs.select(key.alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string").dropDuplicates(["doc_id"])
-    roots = components(links(prints.select(F.col("key").alias("doc_id"), "fingerprint"), texts, least).select("u", "v"))
-    placed = prints.select("key", "least_id").join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")
-    placed = placed.select("key", "least_id", F.coalesce("root", "key").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("least_id").alias("near_class"))
-    return done.join(placed.join(ids, "root").select("key", "near_class"), "key").drop("key")
+            near = batch.filter(pa.array(maybe(bits, batch.column(0).to_numpy().view(np.uint64))))
+            for lo, hi, data, offsets in S.blocks(near.column(1), BLOCK_BYTES):
+                yield pa.RecordBatch.from_arrays([near.column(0).slice(lo, hi - lo), *set_rows(*distinct_sets(
+                    data, offsets, S.WIDTH, BYTES))], names=[c.split()[0] for c in SETS.split(", ")])
+
+    folder = shared_folder(docs.sparkSession, "sets")
+    sets = docs.where(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text")).mapInArrow(run, SETS)
+    sets.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).write.parquet(folder)
+    return linked_in_cells(members, docs.sparkSession.read.schema(SETS).parquet(folder), percent)
+
+
+def near_pairs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, leader of (doc_id, text): every document with the least doc_id of its class; lone documents are left out."""
+    docs = docs.select("doc_id", "text")
+    members = band_members(cut_lineage(fingerprints(docs)))
+    return near_links(members, docs, percent).select(F.col("u").alias("doc_id"), F.col("v").alias("leader"))
+
+
+def with_class(done: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Results of with_next with near_class: the least doc_id of the texts that near_links joins; docs: doc_id, text."""
+    key = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 16), 16, -10).cast("long")
+    prints = cut_lineage(done.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("fingerprint").alias("fingerprint"), F.count(
+        F.lit(1)).alias("c")))
+    members = band_members(prints.select(F.col("key").alias("doc_id"), "fingerprint"))
+    roots = near_links(members, docs.select(key.alias("doc_id"), "text"), percent)
+    placed = prints.select("key", "least_id", "c").join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")
+    placed = placed.select("key", "least_id", "c", F.coalesce("root", "key").alias("root"))
+    ids = placed.groupBy("root").agg(F.min("least_id").alias("near_class"), F.count(F.lit(1)).alias("size"))
+    found = cut_lineage(hot_join(placed.select("key", "c", "root"), ids, "root", "size").select("key", "near_class", "c"))
+    return hot_join(done, found, "key", "c").drop("key", "c")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,9 +45,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def distinct_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingles, sorted in each row; set size per row)."""
-    shingle, sizes = S.shingles(*S.words(LOWER[data], offsets), width)
+def distinct_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, letters: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingles, sorted in each row; set size per row); `letters` maps bytes."""
+    shingle, sizes = S.shingles(*S.words(letters[data], offsets), width)
     row = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((shingle, row))
     shingle, row = shingle[order], row[order]
@@ -266,18 +266,25 @@ def cell_entries(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     return docs.select(whole_text().alias("text")).mapInArrow(run, "cell long, half long")
 
 
+SETS = "node long, n long, point binary, shingles binary"
+
+
+def set_rows(shingle: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
+    """Columns n, point, shingles of SETS."""
+    rows = [shingle[e - n:e] for e, n in zip(np.cumsum(sizes), sizes)]
+    return [pa.array(sizes.astype(np.int64)), pa.array([point(r).tobytes() for r in rows], pa.binary()), pa.array(
+        [r.tobytes() for r in rows], pa.binary())]
+
+
 def full_sets(docs: DataFrame, needed: DataFrame, width: int = WIDTH) -> DataFrame:
     """node, n, point (binary), shingles (binary) of the needed (doc_id, name, node); one row per node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in S.blocks(batch.column(2), BLOCK_BYTES):
                 shingle, sizes = distinct_sets(data, offsets, width)
-                name, ends = _name(*set_names(shingle, sizes)), np.cumsum(sizes)
-                rows = [shingle[e - n:e] for e, n in zip(ends, sizes)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), name, batch.column(1).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(
-                        [point(r).tobytes() for r in rows], pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())],
-                    names=["wanted", "name", "node", "n", "point", "shingles"])
+                    [batch.column(0).slice(lo, hi - lo), _name(*set_names(shingle, sizes)), batch.column(1).slice(lo, hi - lo),
+                     *set_rows(shingle, sizes)], names=["wanted", "name", "node", "n", "point", "shingles"])
 
     text = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("text"))
     found = text.join(needed, text["_id"].eqNullSafe(needed["doc_id"])).select("name", "node", "text").mapInArrow(
@@ -427,8 +434,14 @@ def linked(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, percent: int =
     folder = shared_folder(spark, "sets")
     needed = nodes.join(members.select("node").distinct(), "node").select("doc_id", "name", "node")
     full_sets(docs, needed, width).write.parquet(folder)
-    sets = spark.read.schema("node long, n long, point binary, shingles binary").parquet(folder)
+    return linked_in_cells(members, spark.read.schema(SETS).parquet(folder), percent)
 
+
+def linked_in_cells(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """u, v as in `linked`: components of all links between members of a cell.
+
+    members: cell, node (distinct); sets: node, n, point, shingles of every member.
+    """
     leaders = members.groupBy("cell").agg(F.min("node").alias("v"))
     stars = members.join(leaders, "cell").where("node != v").select(F.col("node").alias("u"), "v").distinct()
     links = components(verified(bounded_pairs(stars, sets, percent), sets, percent))

@@ -40,7 +40,8 @@ DISCOUNT = ((4.0, 0.25), (8.0, 3.0))  # Z and K of words and of pairs: a pair mu
 SCALE = 0.01  # the curve is fitted on asinh(mean / SCALE), as toxic texts differ in how dense they are
 FOLDS = 5
 SIEVE_BITS, PROBES = 26, 4
-HELD = 2_000_000  # expressions of texts that a task holds before it passes on their counts
+BLOCK_BYTES = 256 << 10  # text looked at at once
+HELD = 500_000  # expressions of texts that a task holds before it passes on their counts
 UNIT = 2.0**-28  # weights are whole multiples, so that sums do not depend on the order of rows
 BINS, LOW, HIGH = 4000, -6.0, 6.0  # of the scaled mean
 GAPS = np.ones(256, dtype=bool)  # words are runs of letters and digits; other alphabets count as letters
@@ -121,7 +122,7 @@ def counted(texts: DataFrame) -> DataFrame:
         held = [([], [], 0), ([], [], 0)]
         for batch in batches:
             toxic = batch.column(0).to_numpy(zero_copy_only=False) > 0
-            for lo, hi, data, offsets in S.blocks(batch.column(1)):
+            for lo, hi, data, offsets in S.blocks(batch.column(1), BLOCK_BYTES):
                 word, pair, row = expressions(data, offsets)
                 for level, value in enumerate((word, pair)):
                     at, _ = once(row, value)
@@ -181,7 +182,7 @@ def means(docs: DataFrame, model: DataFrame) -> DataFrame:
                  for c, k in zip(names, kinds)], names=list(names))
 
         for batch in batches:
-            for lo, hi, data, offsets in S.blocks(batch.column(2)):
+            for lo, hi, data, offsets in S.blocks(batch.column(2), BLOCK_BYTES):
                 word, pair, row = expressions(data, offsets)
                 first, nth = part + nth, nth + hi - lo
                 yield rows(hi - lo, id=pa.array(first + np.arange(hi - lo)), doc_id=batch.column(0).slice(lo, hi - lo),

