@@ -88,8 +88,14 @@ def source_facet(calls: DataFrame, today: Column) -> DataFrame:
             .orderBy(F.desc("n_calls"), "source"))
 
 
-def run_status(runs: DataFrame) -> DataFrame:
-    """One row about a run log (run_id, kind, status, finished_at): latest, oldest active, last successes."""
+def run_status(runs: DataFrame, persons: DataFrame | None = None) -> DataFrame:
+    """One row about a run log (run_id, kind, status, finished_at): latest, oldest active, last finished, last successes.
+
+    A run is finished when it succeeded or failed. With `persons` (active) also how many are active.
+    """
+    ended = F.col("status").isin("bitti", "hata")
+    active_persons = [] if persons is None else [
+        persons.agg(F.count_if(F.coalesce("active", F.lit(False)))).scalar().alias("n_active_persons")]
     done = F.col("status") == "bitti"
     active = F.col("status").isin("bekliyor", "calisiyor")
     return runs.agg(
@@ -97,7 +103,9 @@ def run_status(runs: DataFrame) -> DataFrame:
         F.max_by("status", "run_id").alias("last_status"),
         F.max(F.when(done, F.col("finished_at"))).alias("last_success"),
         F.min(F.when(active, F.col("run_id"))).alias("oldest_active_id"),
-        F.max(F.when(done & (F.col("kind") == "tam"), F.col("finished_at"))).alias("last_full_success"))
+        F.max(F.when(done & (F.col("kind") == "tam"), F.col("finished_at"))).alias("last_full_success"),
+        F.max(F.when(ended, F.col("run_id"))).alias("last_ended_id"),
+        F.max_by(F.when(ended, F.col("status")), F.when(ended, F.col("run_id"))).alias("last_ended_status")).select("*", *active_persons)
 
 
 def run_counters(outcomes: DataFrame) -> DataFrame:

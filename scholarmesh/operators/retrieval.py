@@ -111,18 +111,21 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return _unit(np.stack(column.to_numpy()).astype(np.float64))
 
 
+def _first(column: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best entries of each column number, ties by id; best first."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], -sims, column))
+    starts = np.searchsorted(column[order], column[order])
+    return order[np.arange(len(order)) - starts < k]
+
+
 def _best(query_ids: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> pd.DataFrame:
     """Per query (column of sims) the k best rows, ties at the k-th place by id."""
-    frames = []
-    for j, q in enumerate(query_ids):
-        col = sims[:, j]
-        keep = np.arange(len(col))
-        if len(col) > k:
-            kth = np.partition(col, len(col) - k)[len(col) - k]
-            keep = np.flatnonzero(col >= kth)
-        frame = pd.DataFrame({"query_id": q, "id": ids[keep], "similarity": col[keep]})
-        frames.append(frame.sort_values(["similarity", "id"], ascending=[False, True]).head(k))
-    return pd.concat(frames, ignore_index=True)
+    keep = np.ones(sims.shape, dtype=bool)
+    if len(sims) > k:
+        keep = sims >= np.partition(sims, len(sims) - k, axis=0)[len(sims) - k]
+    row, column = np.nonzero(keep)
+    at = _first(column, ids[row], sims[row, column], k)
+    return pd.DataFrame({"query_id": query_ids[column[at]], "id": ids[row[at]], "similarity": sims[row[at], column[at]]})
 
 
 def knn_exact(vectors: DataFrame, queries: DataFrame, k: int = SEMANTIC_TOP_K, id_col: str = "chunk_id",
@@ -154,9 +157,9 @@ def knn_exact(vectors: DataFrame, queries: DataFrame, k: int = SEMANTIC_TOP_K, i
                     sims = np.round(_matrix(batch["_v"]) @ matrix.T, 12)
                     found = _best(query_ids, batch["id"].to_numpy(), sims, k)
                     if best is not None:
-                        found = pd.concat([best, found], ignore_index=True).sort_values(
-                            ["query_id", "similarity", "id"], ascending=[True, False, True])
-                        found = found.groupby("query_id", sort=False).head(k)
+                        found = pd.concat([best, found], ignore_index=True)
+                        at = _first(pd.factorize(found["query_id"])[0], found["id"].to_numpy(), found["similarity"].to_numpy(), k)
+                        found = found.iloc[at]
                     best = found
                 if best is not None:
                     yield best
@@ -249,40 +252,71 @@ def profile_ranking(profiles: DataFrame, queries: DataFrame, limit: int | None,
     return best.unionByName(exact_ranks(profiles, queries, rest))
 
 
+def _before(code: np.ndarray, own: np.ndarray, person: np.ndarray, matrix: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """How many of the profiles (ids, vectors) come before each pair (query row `code` of the matrix, own similarity, person).
+
+    Pairs are the edges of a histogram per query; a profile falls between two edges once, only equal similarities are
+    looked at one by one.
+    """
+    out, sims = np.zeros(len(code), dtype=np.int64), np.round(vectors @ matrix.T, 12)
+    order = np.lexsort((own, code))
+    edges = np.searchsorted(code[order], np.arange(len(matrix) + 1))
+    for q in range(len(matrix)):
+        at = order[edges[q]:edges[q + 1]]
+        if not len(at):
+            continue
+        low, high = (np.searchsorted(own[at], sims[:, q], side) for side in ("left", "right"))
+        out[at] += np.cumsum(np.bincount(low, minlength=len(at) + 1)[::-1])[::-1][1:]  # edges below a profile
+        for row in np.flatnonzero(high > low):
+            equal = at[low[row]:high[row]]
+            out[equal] += ids[row] < person[equal]
+    return out
+
+
 def exact_ranks(profiles: DataFrame, queries: DataFrame, pairs: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     """Ranks of chosen (query_id, person_id) pairs among all profiles: (query_id, person_id, similarity, profile_rank).
 
-    Profiles stay where they are: each task multiplies its Arrow batches by the vectors of a block of pairs' queries and
-    counts the profiles before each pair, so that one count per task and pair is shuffled. One pass per block of pairs.
+    One pass: profiles fall into a histogram per query whose edges are the pairs' own similarities. Few pairs (counted) are
+    shipped to the profiles, which stay where they are; beyond that blocks of pairs meet blocks of profiles in a cogroup.
+    One count per block, or task, and pair is shuffled.
     """
     vector = profiles.select("person_id", F.col("embedding").alias("_v"))
     asked = cut_lineage(pairs.join(queries.select("query_id", F.col("vector").alias("_q")), "query_id").join(
         vector, "person_id").select("query_id", "person_id", "_q", F.round(cosine(F.col("_v"), F.col("_q")), 12).alias("similarity")))
-    blocks = max(1, -(-asked.count() // block))
-    numbered = asked.withColumn("_b", F.pmod(F.xxhash64("query_id", "person_id"), F.lit(blocks)))
-    counted = None
-    for n in range(blocks):
-        rows = numbered.where(F.col("_b") == n).toPandas()  # about one block of pairs
-        if rows.empty:
-            continue
-        matrix, own, ids = _matrix(rows["_q"]), rows["similarity"].to_numpy(), rows["person_id"].to_numpy()
+    numbered = asked.withColumn("_n", F.monotonically_increasing_id())  # of checkpointed rows
+    schema, total = "_n long, _before long", numbered.count()
+    if total <= 8 * block and is_small(asked.select("query_id").distinct(), block):
+        rows, vectors = numbered.drop("_q").toPandas(), numbered.groupBy("query_id").agg(F.first("_q").alias("_q")).toPandas()
+        matrix = _matrix(vectors["_q"]) if len(vectors) else np.zeros((0, 1))
+        code = vectors.reset_index().set_index("query_id")["index"].reindex(rows["query_id"]).to_numpy()
+        own, person, n = rows["similarity"].to_numpy(), rows["person_id"].to_numpy(), rows["_n"].to_numpy()
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             before = np.zeros(len(own), dtype=np.int64)
             for batch in batches:
-                if not batch.empty:
-                    sims = np.round(_matrix(batch["_v"]) @ matrix.T, 12)
-                    tie = (sims == own) & (batch["person_id"].to_numpy()[:, None] < ids)
-                    before += ((sims > own) | tie).sum(axis=0)
-            yield pd.DataFrame({"_n": np.arange(len(own)), "_before": before})
-
-        keys = asked.sparkSession.createDataFrame(rows[["query_id", "person_id", "similarity"]].assign(_n=range(len(rows))))
-        part = vector.mapInPandas(count, "_n long, _before long").groupBy("_n").agg(F.sum("_before").alias("_before")).join(
-            F.broadcast(keys), "_n")
-        counted = part if counted is None else counted.unionByName(part)
-    if counted is None:
-        counted = asked.withColumn("_before", F.lit(0).cast("long"))
-    return counted.select("query_id", "person_id", "similarity", F.col("_before").cast("int").alias("profile_rank"))
+                if len(batch) and len(own):
+                    before += _before(code, own, person, matrix, batch["person_id"].to_numpy(), _matrix(batch["_v"]))
+            yield pd.DataFrame({"_n": n, "_before": before})
+
+        counted = vector.mapInPandas(count, schema)
+    else:
+        n_p, n_v = max(1, -(-total // block)), max(1, -(-vector.count() // VECTOR_BLOCK))
+        left = numbered.withColumn("pb", F.pmod(F.xxhash64("query_id", "person_id"), F.lit(n_p))).withColumn(
+            "vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)).cast("array<bigint>")))
+        right = vector.withColumn("vb", F.pmod(F.xxhash64("person_id"), F.lit(n_v))).withColumn(
+            "pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1)).cast("array<bigint>")))
+
+        def meet(some: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            if some.empty or known.empty:
+                return pd.DataFrame({"_n": [], "_before": []})
+            code, first = pd.factorize(some["query_id"])[0], ~some["query_id"].duplicated()
+            return pd.DataFrame({"_n": some["_n"], "_before": _before(
+                code, some["similarity"].to_numpy(), some["person_id"].to_numpy(), _matrix(some["_q"][first]),
+                known["person_id"].to_numpy(), _matrix(known["_v"]))})
+
+        counted = left.groupBy("pb", "vb").cogroup(right.groupBy("pb", "vb")).applyInPandas(meet, schema)
+    sums = counted.groupBy("_n").agg(F.sum("_before").alias("_before"))
+    return numbered.join(sums, "_n").select("query_id", "person_id", "similarity", F.col("_before").cast("int").alias("profile_rank"))
 
 
 # --- fusion -----------------------------------------------------------------------------------

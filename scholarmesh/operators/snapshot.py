@@ -119,6 +119,30 @@ def diff_report(field_changes: DataFrame, item_changes: DataFrame, key: str = "a
         F.sum("f").alias("n_fields"), F.sum("a").alias("n_added"), F.sum("r").alias("n_removed"))
 
 
+def change_report(persons: DataFrame, field_changes: DataFrame, item_changes: DataFrame, summary: list[str] = ("ad_soyad", "unvan", "bolum"),
+                  fields: list[str] = LIST_FIELDS, key: str = "author_id") -> DataFrame:
+    """The merged report, one row per changed person: key, summary columns, fields [(field, old, new)], sections
+    [(section, added, removed)].
+
+    Fields come in the order of `fields`, sections and their texts in text order; equal texts are listed as often as they
+    changed. Persons without a change are absent, those that only joined or left too. Both inputs are grouped before they
+    meet, so the join has one row per person; `persons` is the new snapshot.
+    """
+    order = F.array_position(F.array(*map(F.lit, fields)), F.col("field"))
+    changed = field_changes.where(F.col("change") == "changed").groupBy(key).agg(F.array_sort(F.collect_list(
+        F.struct(order.alias("place"), "field", "old", "new"))).alias("_f")).select(
+        key, F.transform("_f", lambda x: F.struct(x["field"].alias("field"), x["old"].alias("old"), x["new"].alias("new"))).alias("fields"))
+
+    def texts(change: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("change") == change, F.col("text")))).alias(change)
+
+    sections = item_changes.groupBy(key, "section").agg(texts("added"), texts("removed")).groupBy(key).agg(F.array_sort(F.collect_list(
+        F.struct("section", "added", "removed"))).alias("sections"))
+    both = changed.join(sections, key, "full_outer")
+    empty = {c: F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("fields", "sections")}
+    return both.join(persons.select(key, *summary), key, "left").select(key, *summary, empty["fields"], empty["sections"])
+
+
 def diff_summary(field_changes: DataFrame, report: DataFrame) -> DataFrame:
     """One row (n_added, n_left, n_changed) of persons."""
     counts = field_changes.agg(F.count_if(F.col("change") == "added").alias("n_added"),

@@ -85,7 +85,8 @@ def _runs(s: SparkSession, f: str) -> DataFrame:
 
 
 def run_status(s: SparkSession, f: str) -> DataFrame:
-    return C.run_status(_runs(s, f)).withColumns({
+    persons = B.table(s, f, "customer").select((F.col("c_acctbal") > 0).alias("active"))
+    return C.run_status(_runs(s, f), persons).withColumns({
         c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("last_success", "last_full_success")})
 
 
@@ -313,7 +314,9 @@ ENTRIES = {
           CASE event_type WHEN 'error' THEN 'hata' WHEN 'click' THEN 'bekliyor' WHEN 'signup' THEN 'calisiyor' ELSE 'bitti' END AS status FROM events)
         SELECT max(run_id) AS last_run_id, arg_max(status, run_id) AS last_status, strftime(max(finished_at) FILTER (status = 'bitti'), '%Y-%m-%d %H:%M:%S') AS last_success,
           min(run_id) FILTER (status IN ('bekliyor', 'calisiyor')) AS oldest_active_id,
-          strftime(max(finished_at) FILTER (status = 'bitti' AND kind = 'tam'), '%Y-%m-%d %H:%M:%S') AS last_full_success FROM r"""),
+          strftime(max(finished_at) FILTER (status = 'bitti' AND kind = 'tam'), '%Y-%m-%d %H:%M:%S') AS last_full_success,
+          max(run_id) FILTER (status IN ('bitti', 'hata')) AS last_ended_id, arg_max(status, run_id) FILTER (status IN ('bitti', 'hata')) AS last_ended_status,
+          (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS n_active_persons FROM r"""),
     "run_counters": (run_counters, "SELECT user_id AS run_id, event_type AS outcome, count(*) AS n FROM events GROUP BY ALL"),
     "latest_per_label": (latest_per_label, """SELECT l_orderkey AS call_id, 'ilan ' || lower(l_returnflag) AS label_key, 'İlan ' || l_returnflag AS label,
         max(l_shipdate)::DATE::VARCHAR AS date FROM lineitem GROUP BY ALL"""),

@@ -67,6 +67,16 @@ def diff_report(s: SparkSession, f: str) -> DataFrame:
     return _report(s, f)[1]
 
 
+def change_report(s: SparkSession, f: str) -> DataFrame:
+    """The merged report, its nested fields and sections written out."""
+    changes = N.snapshot_diff(_snapshot(s, f, False), _snapshot(s, f, True), FIELDS)
+    report = N.change_report(_snapshot(s, f, True), changes, N.multiset_diff(_items(s, f, False), _items(s, f, True)), fields=FIELDS)
+    return report.select("author_id", "ad_soyad", "unvan", "bolum", F.transform("fields", lambda x: F.concat_ws(
+        ": ", x["field"], F.coalesce(x["old"], F.lit("-")), F.coalesce(x["new"], F.lit("-")))).alias("fields"), F.transform(
+        "sections", lambda x: F.concat(x["section"], F.lit(" +"), F.array_join(x["added"], ","), F.lit(" -"), F.array_join(
+            x["removed"], ","))).alias("sections"))
+
+
 def diff_summary(s: SparkSession, f: str) -> DataFrame:
     return N.diff_summary(*_report(s, f))
 
@@ -174,6 +184,16 @@ def _publications(s: SparkSession, f: str) -> DataFrame:
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("pos"))
 
 
+def publications_by_year(s: SparkSession, f: str) -> DataFrame:
+    """Publications of a supplier as a list, newest year first; order lines of even orders have no year."""
+    rows = _publications(s, f).withColumn("year", F.when(F.col("pos.l_orderkey") % 2 == 1, F.col("year")))
+    lists = rows.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("pos", "year", "title"))).alias("p"))
+    ordered = lists.select("person_id", P.publications_by_year(F.col("p")).alias("p"))
+    line = F.transform("p", lambda x: F.concat_ws(" ", x["year"].cast("string"), x["title"]))
+    return ordered.select("person_id", F.size("p").alias("n"), F.element_at("p", 1)["year"].alias("newest"), F.md5(
+        F.array_join(line, "\n")).alias("list_md5"))
+
+
 def publication_counts(s: SparkSession, f: str) -> DataFrame:
     return P.publication_counts(_publications(s, f), ["A", "N", "R"])
 
@@ -318,6 +338,15 @@ ENTRIES = {
     "snapshot_diff": (snapshot_diff, f"{O_} SELECT * FROM changes"),
     "multiset_diff": (multiset_diff, f"{O_} SELECT author_id, section, CASE WHEN n > 0 THEN 'added' ELSE 'removed' END AS change, 'Öncelik: ' || p || CASE WHEN n > 0 THEN '!' ELSE '' END AS text, abs(n) AS n FROM net"),
     "diff_report": (diff_report, f"{O_} SELECT * FROM report"),
+    "change_report": (change_report, f"""{O_}, fs AS (
+          SELECT author_id, string_agg(field || ': ' || coalesce(old, '-') || ': ' || coalesce(new, '-'), '|' ORDER BY list_position({FIELDS}, field)) AS fields
+          FROM changes WHERE change = 'changed' GROUP BY ALL),
+        texts AS (SELECT author_id, section, n > 0 AS gain, unnest(list_transform(range(abs(n)), lambda i: 'Öncelik: ' || p || CASE WHEN n > 0 THEN '!' ELSE '' END)) AS text FROM net),
+        ss AS (SELECT author_id, section, coalesce(string_agg(text, ',' ORDER BY text) FILTER (gain), '') AS a, coalesce(string_agg(text, ',' ORDER BY text) FILTER (NOT gain), '') AS r
+          FROM texts GROUP BY ALL),
+        sections AS (SELECT author_id, string_agg(section || ' +' || a || ' -' || r, '|' ORDER BY section) AS sections FROM ss GROUP BY ALL)
+        SELECT author_id, ad_soyad, unvan, bolum, coalesce(fields, '') AS fields, coalesce(sections, '') AS sections
+        FROM fs FULL JOIN sections USING (author_id) LEFT JOIN snap_new USING (author_id)"""),
     "diff_summary": (diff_summary, f"{O_} SELECT count(*) FILTER (change = 'added') AS n_added, count(*) FILTER (change = 'left') AS n_left, (SELECT count(*) FROM report) AS n_changed FROM changes"),
     "load_snapshot": (load_snapshot, "SELECT c_custkey::VARCHAR AS author_id, c_name AS ad_soyad, c_mktsegment AS articles, c_mktsegment = 'BUILDING' AS has_details FROM customer"),
     "apply_snapshot": (apply_snapshot, f"""{O_}, {STORED} SELECT author_id, coalesce(n.ad_soyad, s.ad_soyad) AS ad_soyad, coalesce(n.unvan, s.unvan) AS unvan, detail, coalesce(has_details, false) AS has_details,
@@ -335,6 +364,9 @@ ENTRIES = {
     "project_person_summary": (project_person_summary, f"WITH {PERSONS} SELECT person_id, title, name, university, faculty, NULL::VARCHAR AS department, CASE WHEN faculty <> 'BUILDING' THEN faculty || '|' || university ELSE '' END AS areas FROM persons"),
     "facet_values": (facet_values, f"""WITH {PERSONS} SELECT DISTINCT 'area' AS facet, unnest([faculty, university]) AS value, 0::BIGINT AS _rank FROM persons UNION ALL SELECT DISTINCT 'university', university, 0 FROM persons
         UNION ALL SELECT DISTINCT 'title', title, coalesce(list_position(['Prof. Dr.', 'Doç. Dr.', 'Dr. Öğr. Üyesi', 'Öğr. Gör. Dr.', 'Arş. Gör. Dr.'], title), 99) FROM persons"""),
+    "publications_by_year": (publications_by_year, f"""WITH {PUBS}, y AS (SELECT person_id, title, pos, CASE WHEN l_orderkey % 2 = 1 THEN year END AS year FROM pubs)
+        SELECT person_id, count(*) AS n, max(year)::BIGINT AS newest, md5(string_agg(concat_ws(' ', year::VARCHAR, title), chr(10) ORDER BY coalesce(year, 0) DESC, pos)) AS list_md5
+        FROM y GROUP BY ALL"""),
     "publication_counts": (publication_counts, 'SELECT l_suppkey AS person_id, count(*) FILTER (l_returnflag = \'A\') AS "A", count(*) FILTER (l_returnflag = \'N\') AS "N", count(*) FILTER (l_returnflag = \'R\') AS "R" FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL'),
     "dedupe_publications": (dedupe_publications, f"WITH {PUBS} SELECT person_id, lower(title) AS title_key, year, type, arg_max(title, pos) AS title, min(pos)[1] AS first_order FROM pubs GROUP BY person_id, lower(pubs.title), year, type"),
     "group_courses": (group_courses, f"""WITH {PUBS}, t AS (SELECT person_id, level, lower(name) AS name_key, year::VARCHAR AS term, min(pos) AS p FROM pubs GROUP BY ALL)
