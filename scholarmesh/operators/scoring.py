@@ -50,16 +50,17 @@ def with_percent(scored: DataFrame, key: str = "query_id", value: str = "score",
 
 
 def calls_for_profile(calls: DataFrame, call_vectors: DataFrame, profiles: DataFrame,
-                      limit: int = CALLS_PER_PROFILE, semantic_limit: int = 1000) -> DataFrame:
+                      semantic_limit: int | None, limit: int = CALLS_PER_PROFILE) -> DataFrame:
     """Calls per profile: (query_id, call_id, score, rank, percent).
 
     `calls` are the candidates (call_id, text), already open, academic and one per title; `profiles` are
     (query_id, keywords, vector). Both lists rank candidates only; the semantic one has the best `semantic_limit` of
-    those with a vector. The lexical one goes on with the candidates that share no term, in the order of their (whole
+    those with a vector (None: all of them). The lexical one goes on with the candidates that share no term, in the order of their (whole
     number) ids.
     """
     own = call_vectors.join(calls.select("call_id"), "call_id", "left_semi")
-    semantic = R.knn_exact(own, profiles, semantic_limit, id_col="call_id").select(
+    most = max(1, own.count()) if semantic_limit is None else semantic_limit
+    semantic = R.knn_exact(own, profiles, most, id_col="call_id").select(
         "query_id", "call_id", (F.col("rank") - 1).alias("rank0"))
     scores = R.bm25_scores(calls, R.query_terms(profiles), id_col="call_id", content="text")
     lexical = R.running_total(scores, ["query_id"], [F.desc("bm25"), F.asc("call_id")],

@@ -242,7 +242,7 @@ def to_common_cv() -> dict[str, Column]:
             p["baslik"], p["basvuru_no"], F.lit("diger"), F.trim(F.concat(F.lit("Patent "), p["basvuru_no"])))))
     education = F.transform("ogrenim", lambda o: F.struct(
         F.when(finished(o), o["derece"]).otherwise(F.concat(o["derece"], F.lit(" (devam ediyor)"))).alias("degree"),
-        F.coalesce(none(o["kurum"]), F.lit("—")).alias("university"),
+        F.coalesce(none(o["kurum"]), F.lit("—")).alias("university"), none(o["birim"]).alias("unit"),
         F.when(finished(o), X.last_year(o["yil"])).alias("year"), none(o["tez_adi"]).alias("thesis_title")))
     projects = F.transform("projeler", lambda p: F.struct(
         p["baslik"].alias("name"), none(X.tr_title_case(F.coalesce(p["tur"], F.lit("")))).alias("program"),
@@ -250,16 +250,21 @@ def to_common_cv() -> dict[str, Column]:
         none(F.concat_ws(" – ", none(p["baslangic"]), none(p["bitis"]))).alias("period")))
     theses = F.transform("yonetilen_tezler", lambda t: F.struct(
         t["tez_adi"].alias("title"), F.when(t["duzey"].rlike(DOCTORAL_LEVEL), F.lit("doktora"))
-        .otherwise(F.lit("yuksek_lisans")).alias("level"), none(t["yil"]).alias("year")))
+        .otherwise(F.lit("yuksek_lisans")).alias("level"),
+        none(X.tr_title_case(F.coalesce(t["hazirlayan"], F.lit("")))).alias("student"), none(t["yil"]).alias("year")))
+    posts = F.transform("akademik_gorevler", lambda g: F.struct(
+        X.tr_title_case(g["unvan"]).alias("post"),
+        F.concat_ws(" · ", none(g["kurum"]), none(X.tr_title_case(F.coalesce(g["birim"], F.lit(""))))).alias("institution"),
+        none(g["yil"]).alias("period")))
     return {
         "title": X.registry_title(c("unvan"), has_doctorate(c("ogrenim"))),
         "name": X.tr_title_case(c("ad_soyad")),
         "university": X.tr_title_case(F.coalesce(c("universite"), F.lit(""))),
         "faculty": none(X.tr_title_case(F.coalesce(c("fakulte"), F.lit("")))),
         "department": none(X.tr_title_case(F.coalesce(c("bolum"), F.lit("")))),
-        "email": none(c("eposta")), "orcid": none(c("orcid")),
+        "email": none(c("eposta")), "orcid": none(c("orcid")), "web": c("profil_url"), "registry_id": none(c("arastirmaci_id")),
         "areas": c("anahtar_kelimeler"), "education": education, "publications": publications,
-        "projects": projects, "theses": theses,
+        "posts": posts, "projects": projects, "theses": theses,
         "courses": F.array_distinct(F.transform("dersler", lambda d: d["ders_adi"])),
     }
 

@@ -248,10 +248,15 @@ def _records(s: SparkSession, f: str) -> DataFrame:
                          F.lit("ARAŞTIRMA PROJESİ").alias("tur"), F.lit("Yürütücü").alias("rol"), c("text").alias("proje_konusu"))).alias("projeler"),
         F.transform("l", lambda x: F.struct(F.left(x, F.lit(3)).alias("ders_adi"), F.lit("Lisans").alias("duzey"))).alias("dersler"),
         F.array(F.struct(c("source").alias("tez_adi"), F.when(c("lang") == "de", "Doktora").otherwise("Yüksek Lisans").alias("duzey"),
-                         F.lit("2020").alias("yil"))).alias("yonetilen_tezler"),
+                         F.when(c("lang") != "es", F.upper("source")).alias("hazirlayan"), F.lit("2020").alias("yil"))).alias("yonetilen_tezler"),
+        F.concat(F.lit("https://example.org/"), c("doc_id")).alias("profil_url"),
+        F.when(c("lang") != "fr", c("doc_id").cast("string")).otherwise("").alias("arastirmaci_id"),
+        F.transform(F.filter("l", lambda x: F.length(x) > 60), lambda x: F.struct(
+            F.upper("source").alias("unvan"), F.left(x, F.lit(12)).alias("kurum"), F.when(c("lang") == "de", "").otherwise(F.upper("lang")).alias(
+                "birim"), F.when(F.length(x) > 99, "2010-2014").otherwise("").alias("yil"))).alias("akademik_gorevler"),
         F.array(F.struct(c("lang").alias("baslik"), F.lit("2021/0042").alias("basvuru_no"), F.lit("").alias("ozet"))).alias("patentler"),
         F.array(F.struct(F.lit("Doktora").alias("derece"), F.when(c("lang") == "fr", "2014-2019").otherwise("2014").alias("yil"),
-                         c("source").alias("kurum"), F.lit("").alias("birim"), c("lang").alias("tez_adi"))).alias("ogrenim"))
+                         c("source").alias("kurum"), F.when(c("lang") == "en", "Deniz").otherwise("").alias("birim"), c("lang").alias("tez_adi"))).alias("ogrenim"))
 
 
 def registry_sections(s: SparkSession, f: str) -> DataFrame:
@@ -266,7 +271,9 @@ def common_cv(s: SparkSession, f: str) -> DataFrame:
     c = T.to_common_cv()
     rows = _records(s, f).select("author_id", *[v.alias(k) for k, v in c.items()])
     types = F.transform("publications", lambda p: F.concat_ws(":", p["type"], p["year"].cast("string"), p["venue"]))
-    return rows.select("author_id", "title", "name", "university", "faculty", "email", F.col("education.degree").alias("degrees"),
+    posts = F.transform("posts", lambda g: F.concat_ws(":", g["post"], g["institution"], g["period"]))
+    return rows.select("author_id", "title", "name", "university", "faculty", "email", "web", "registry_id", F.col("education.unit").alias(
+        "units"), F.col("theses.student").alias("students"), F.md5(F.array_join(posts, "|")).alias("posts_md5"), F.col("education.degree").alias("degrees"),
                        F.col("education.year").alias("years"), F.col("projects.program").alias("programs"),
                        F.col("projects.period").alias("periods"), F.col("theses.level").alias("levels"),
                        F.size("publications").alias("n_publications"), F.md5(F.array_join(types, "|")).alias("types_md5"))
@@ -384,6 +391,10 @@ ENTRIES = {
         FROM documents"""),
     "to_common_cv": (common_cv, rf"""SELECT doc_id AS author_id, CASE lang WHEN 'en' THEN 'Prof. Dr.' WHEN 'fr' THEN 'Arş. Gör. Dr.' ELSE 'Uzman' END AS title,
         'S' || substr(source, 2) AS name, 'Piri Üniversitesi' AS university, {TITLED} AS faculty, NULL::VARCHAR AS email,
+        'https://example.org/' || doc_id AS web, CASE WHEN lang <> 'fr' THEN doc_id::VARCHAR END AS registry_id, CASE WHEN lang = 'en' THEN 'Deniz' ELSE '' END AS units,
+        CASE WHEN lang <> 'es' THEN 'S' || substr(source, 2) ELSE '' END AS students,
+        md5(array_to_string(list_transform(list_filter({LINES}, lambda x: length(x) > 60), lambda x: 'S' || substr(source, 2) || ':' || left(x, 12) ||
+          CASE WHEN lang = 'de' THEN '' ELSE ' · ' || upper(left(lang, 1)) || substr(lang, 2) END || CASE WHEN length(x) > 99 THEN ':2010-2014' ELSE '' END), '|')) AS posts_md5,
         CASE WHEN lang = 'fr' THEN 'Doktora' ELSE 'Doktora (devam ediyor)' END AS degrees, CASE WHEN lang = 'fr' THEN '2019' ELSE '' END AS years, 'Araştırma Projesi' AS programs,
         '01.03.2022 – 01.03.2024' AS periods, CASE WHEN lang = 'de' THEN 'doktora' ELSE 'yuksek_lisans' END AS levels, len({LINES}) + len(list_filter({LINES}, lambda x: contains(x, 'a'))) + 1 AS n_publications,
         md5(array_to_string(list_concat(list_transform(list_filter({LINES}, lambda x: length(x) < 200), lambda x: concat_ws(':', 'makale', CASE WHEN length(x) > 99 THEN '2021' END, CASE WHEN length(x) > 49 THEN source END)),

@@ -219,6 +219,9 @@ def match_csv(s: SparkSession, f: str) -> DataFrame:
     return match_csv_rows(rows).select("query_id", "rank", "name", "score", F.md5("evidence").alias("evidence_md5"))
 
 
+SEMANTIC_CALLS = 1000  # fixed value: length of the semantic list of this query
+
+
 def calls_for_profile(s: SparkSession, f: str) -> DataFrame:
     from scholarmesh.operators import calls as C
 
@@ -234,7 +237,7 @@ def calls_for_profile(s: SparkSession, f: str) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "p_name", "p_type"))), " ").alias("keywords"))
     profiles = vecs.join(keywords, "person_id").select(
         F.col("person_id").alias("query_id"), "keywords", F.col("embedding").alias("vector"))
-    return S.calls_for_profile(candidates, B.call_vectors(s, f), profiles).select(
+    return S.calls_for_profile(candidates, B.call_vectors(s, f), profiles, SEMANTIC_CALLS).select(
         F.col("query_id").alias("person_id"), "call_id", "score", "rank", "percent")
 
 
