@@ -112,9 +112,9 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redacted(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
     """The documents with every reported span (overlaps merged) replaced by the mask; other columns stay."""
-    keyed = docs.withColumn("_key", F.md5(F.concat_ws("\x00", F.col("doc_id").cast("string"), whole_text()).cast("binary")))
-    one = keyed.where(F.col("text").rlike(HINT)).select(F.col("_key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    hits = secret_scans(one).where(F.size("spans") > 0).select(F.col("doc_id").alias("_key"), "spans")
+    keyed = docs.withColumn("_redacted_key", F.md5(F.concat_ws("\x00", F.col("doc_id").cast("string"), whole_text()).cast("binary")))
+    one = keyed.where(F.col("text").rlike(HINT)).select(F.col("_redacted_key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    hits = secret_scans(one).where(F.size("spans") > 0).select(F.col("doc_id").alias("_redacted_key"), F.col("spans").alias("_redacted_spans"))
     text = F.col("text")
 
     def cut(acc: Column, x: Column) -> Column:
@@ -124,7 +124,7 @@ def redacted(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
                 "int")), F.lit(mask))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], x["end"]).alias("at"))
 
-    clean = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), cut, lambda acc: F.concat(
+    clean = F.aggregate("_redacted_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), cut, lambda acc: F.concat(
         acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return keyed.join(hits, "_key", "left").withColumn(
-        "text", F.when(F.col("spans").isNotNull(), clean).otherwise(text)).drop("_key", "spans")
+    return keyed.join(hits, "_redacted_key", "left").withColumn(
+        "text", F.when(F.col("_redacted_spans").isNotNull(), clean).otherwise(text)).drop("_redacted_key", "_redacted_spans")

@@ -173,3 +173,10 @@ def test_op3_reads_back_the_extra_conversation(spark, tmp_path):
     text = C.EXTRA_TEXT
     assert (r.conv_id, r.n_turns, r.loss_chars) == (-1, 2, len(text))
     assert r.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_redaction_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "password=abcdef123 x", "mine", "k"), (2, "plain", None, "k")], "doc_id long, text string, spans string, _key string")
+    out = {r.doc_id: r for r in X.redacted(df).collect()}
+    assert X.redacted(df).columns == df.columns and out[1].spans == "mine" and out[1]._key == "k"
+    assert "abcdef123" not in out[1].text and out[2].text == "plain"
