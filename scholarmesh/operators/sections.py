@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholarmesh.functions import extraction as E
 from scholarmesh.functions import text as X
@@ -144,6 +146,12 @@ def format_sections(sections: dict[str, Column], labels: dict[str, str] = SECTIO
 
 # --- section lists -------------------------------------------------------------------------------------
 
+def concat_sections(lists: list[Column], distinct: list[Column] = ()) -> Column:
+    """Lists of a record joined in order, those in `distinct` behind the others and without repeats; null lists are empty."""
+    empty = F.array().cast("array<string>")
+    return F.concat(*[F.coalesce(c, empty) for c in lists], *[F.array_distinct(F.coalesce(c, empty)) for c in distinct])
+
+
 def _filled(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
@@ -304,3 +312,97 @@ def ground_record(records: DataFrame, scalars: list[str] = (), lists: list[str]
     for f in counts:
         out[f] = F.when((F.col(f) != 0) & E.grounded(F.col(f).cast("string"), words, numbers), F.col(f))
     return rows.withColumns(out).drop("source_words", "source_numbers")
+
+
+# A rule turns (value, the record around it, the source) into the verified value; the source has `words`, `numbers`, `text`.
+Rule = Callable[[Column, Column, "Source"], Column]
+
+
+@dataclass(frozen=True)
+class Source:
+    words: Column
+    numbers: Column
+    text: Column
+
+    def has(self, value: Column) -> Column:
+        return E.grounded(value, self.words, self.numbers)
+
+
+@dataclass(frozen=True)
+class Elements:
+    """Of a list, the elements that the source has: the elements themselves, or their field `by`."""
+    by: str | None = None
+
+
+def when_grounded(then: Callable[[Column, Column], Column] = lambda value, record: value) -> Rule:
+    """The value as `then` rewrites it where the source has the value as given, else null."""
+    return lambda value, record, source: F.when(source.has(value), then(value, record))
+
+
+def verbatim(value: Column, record: Column, source: Source) -> Column:
+    return X.verbatim_in(value, source.text)
+
+
+def counted(value: Column, record: Column, source: Source) -> Column:
+    """Zero says nothing."""
+    return F.when((value != 0) & source.has(value.cast("string")), value)
+
+
+# Which fields of an extracted CV must be in its text, and how; paths run through lists. `.*` is every field of a record.
+CV_POLICY: dict[str, Rule | Elements] = {
+    "identity.title": lambda value, record, source: X.short_title(value),
+    "contact.*": verbatim,
+    "areas": Elements(), "courses": Elements(), "awards": Elements(), "memberships": Elements(),
+    "reviewing": Elements(), "languages": Elements(),
+    "education": Elements("university"),
+    "education.thesis": when_grounded(lambda value, record: X.strip_advisor(value)),
+    "posts": Elements("role"), "management": Elements("role"), "projects": Elements("name"), "theses": Elements("title"),
+    "publications": Elements("title"),
+    "publications.title": lambda value, record, source: X.strip_title_tail(value, record["venue"]),
+    "metrics.*": counted,
+}
+
+
+def compile_policy(schema: T.DataType, value: Column, policy: dict[str, Rule | Elements], source: Source, path: str = "",
+                   record: Column | None = None) -> Column:
+    """One expression that applies a policy to a nested value: records field by field, lists element by element.
+
+    Elements are chosen by their values as given, before their fields are rewritten. Null records and lists stay null.
+    """
+    rule = policy.get(path, policy.get(f"{path.rpartition('.')[0]}.*"))
+    if isinstance(schema, T.StructType):
+        fields = [compile_policy(f.dataType, value[f.name], policy, source, f"{path}.{f.name}".lstrip("."), value).alias(f.name)
+                  for f in schema]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(schema, T.ArrayType):
+        if isinstance(rule, Elements):
+            value = F.filter(value, lambda v: source.has(v if rule.by is None else v[rule.by]))
+        if isinstance(schema.elementType, T.StructType):
+            return F.transform(value, lambda v: compile_policy(schema.elementType, v, policy, source, path))
+        return value
+    return value if rule is None else rule(value, record, source)
+
+
+def paths_of(schema: T.DataType, path: str = "") -> set[str]:
+    """All field paths of a nested type, `.*` for every record."""
+    if isinstance(schema, T.ArrayType):
+        return paths_of(schema.elementType, path) | {path}
+    if not isinstance(schema, T.StructType):
+        return {path}
+    inner = [paths_of(f.dataType, f"{path}.{f.name}".lstrip(".")) for f in schema]
+    return {path, f"{path}.*".lstrip(".")}.union(*inner)
+
+
+def ground_nested(records: DataFrame, column: str, policy: dict[str, Rule | Elements] = CV_POLICY, source: str = "text",
+                  strict: bool = False) -> DataFrame:
+    """Records whose nested `column` keeps only what the source text bears out, as the policy says per field path.
+
+    Paths without a policy stay as they are; `strict` refuses policy paths that the column does not have.
+    """
+    schema = records.schema[column].dataType
+    unknown = set(policy) - paths_of(schema)
+    if strict and unknown:
+        raise ValueError(f"no such fields: {sorted(unknown)}")
+    rows = with_source_profile(records, source)
+    facts = Source(F.col("source_words"), F.col("source_numbers"), F.col(source))
+    return rows.withColumn(column, compile_policy(schema, F.col(column), policy, facts)).drop("source_words", "source_numbers")

@@ -14,8 +14,8 @@ from scholarmesh.operators import retrieval as R
 from scholarmesh.operators import scoring as S
 from scholarmesh.plans import bindings as B
 from scholarmesh.plans import sql as Q
-from scholarmesh.session import cut_lineage
-from scholarmesh.sources.sinks import match_csv_rows
+from scholarmesh.session import cut_lineage, shared_folder
+from scholarmesh.sources.sinks import match_csv_rows, read_match_csv, write_match_csv
 
 
 def _parts(s: SparkSession, f: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -206,7 +206,7 @@ def match(s: SparkSession, f: str) -> DataFrame:
 
 
 def match_csv(s: SparkSession, f: str) -> DataFrame:
-    """Export rows: matches with the shown evidence of each section as label and items."""
+    """The export, written and read back: matches with the shown evidence of each section as label and items."""
     scored = _scored(s, f)
     lines = _lines(s, f, scored)
     matched = M.match(scored, lines, _cited(lines))
@@ -216,7 +216,9 @@ def match_csv(s: SparkSession, f: str) -> DataFrame:
     rows = matched.select("query_id", "rank", none.alias("title"), F.col("person_id").alias("name"),
                           none.alias("university"), none.alias("department"), "percent", none.alias("rationale"),
                           shown.alias("evidence"))
-    return match_csv_rows(rows).select("query_id", "rank", "name", "score", F.md5("evidence").alias("evidence_md5"))
+    folder = shared_folder(s, "matches")
+    write_match_csv(match_csv_rows(rows), folder)
+    return read_match_csv(s, folder).select("query_id", "rank", "name", "score", F.md5("evidence").alias("evidence_md5"))
 
 
 SEMANTIC_CALLS = 1000  # fixed value: length of the semantic list of this query
@@ -266,7 +268,7 @@ def _baseline(s: SparkSession, f: str) -> tuple[DataFrame, DataFrame]:
     items = B.chunks(s, f).select(F.col("chunk_id").alias("item_id"), "person_id", "section", F.col("content").alias("text"))
     queries = B.table(s, f, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     wanted = queries.select("query_id", F.explode(F.split("text", r"\s+")).alias("term")).where(F.length("term") >= 9)
-    expertise = items.select("person_id", F.element_at(F.split("text", r"\s+"), 1).alias("term"))
+    expertise = items.select("person_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("term")).distinct()
     return P.overlap_rank(queries, wanted, expertise, items), P.item_overlaps(items, queries)
 
 
@@ -294,7 +296,7 @@ ov AS MATERIALIZED (SELECT query_id, item_id, person_id, section, round(n / sqrt
       JOIN (SELECT query_id, unnest(t) AS s FROM bq) q ON q.s = i.s GROUP BY ALL)),
 wt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(string_split_regex(text, '\s+')) AS term FROM bq)
     WHERE length(term) >= 9),
-ex AS (SELECT DISTINCT person_id, string_split_regex(text, '\s+')[1] AS term FROM bt),
+ex AS MATERIALIZED (SELECT DISTINCT person_id, unnest(string_split_regex(text, '\s+')) AS term FROM bt),
 exact AS (SELECT DISTINCT query_id, person_id, wt.term FROM wt JOIN ex ON {Q.tr_lower('wt.term')} = {Q.tr_lower('ex.term')}),
 part_ AS (SELECT DISTINCT query_id, person_id, w.term FROM
     (SELECT query_id, term, unnest({_stems('term')}) AS s FROM wt) w

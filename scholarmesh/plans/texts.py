@@ -13,10 +13,14 @@ from scholarmesh.operators import announcements as A
 from scholarmesh.operators import budget as G
 from scholarmesh.operators import evidence as D
 from scholarmesh.operators import sections as T
+from scholarmesh.operators import snapshot as N
 from scholarmesh.plans import bindings as B
 from scholarmesh.plans import sql as Q
+from scholarmesh.session import shared_folder
 from scholarmesh.sources import html as W
 from scholarmesh.sources import readers as S
+from scholarmesh.sources.sinks import read_buckets, write_buckets, write_json_dump
+from scholarmesh.sources.sinks import replace_buckets as replace_buckets_of
 
 
 def _docs(s: SparkSession, f: str) -> DataFrame:
@@ -242,8 +246,7 @@ def apply_model(s: SparkSession, f: str) -> DataFrame:
 
 def union_sections(s: SparkSession, f: str) -> DataFrame:
     """Lists of a record joined in order, one of them without repeats."""
-    words = F.split("text", r"\s+")
-    both = F.concat(F.array("lang", "source"), F.array_distinct(words))
+    both = T.concat_sections([F.array("lang", "source")], [F.split("text", r"\s+")])
     return _docs(s, f).select("doc_id", F.size(both).alias("n"), F.md5(F.array_join(both, " ")).alias("v_md5"))
 
 
@@ -294,22 +297,73 @@ def extract_records(s: SparkSession, f: str) -> DataFrame:
         "url": r'href="([^"]*)"', "title": r"(?s)<a [^>]*>(.*?)</a>"})
 
 
+ATTACHED = [("Başvuru Kılavuzu", "cagri_rehberi.pdf"), ("Uluslararası Çağrı Metni", "Call_Text.pdf"),
+            ("Ulusal Kurallar", "Ulusal_Kurallar.PDF"), ("Çağrı duyurusu", "duyuru.pdf")]
+
+
 def attach_documents(s: SparkSession, f: str) -> DataFrame:
-    """Every page links four documents; the first two fitting ones are attached, national before international."""
-    pages = B.table(s, f, "pages").select("page_id", F.md5("html").alias("text"))
-    base = F.concat(F.lit("https://files.example.org/p"), F.col("page_id").cast("string"))
-    links = pages.select("page_id", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(label).alias("label"), F.concat(base, F.lit(name)).alias("url"))
-        for i, (label, name) in enumerate([("Başvuru Kılavuzu", "/cagri_rehberi.pdf"), ("Uluslararası Çağrı Metni", "/Call_Text.pdf"),
-                                           ("Ulusal Kurallar", "/Ulusal_Kurallar.PDF"), ("Çağrı duyurusu", "/duyuru.pdf")])])).alias("l")).select("page_id", "l.*")
-    texts = links.join(B.table(s, f, "documents").select(F.col("doc_id").alias("page_id"), "text"), "page_id").select("url", "text")
-    out = S.attach_documents(pages, S.select_attachments(links, "example.org"), texts)
+    """Every document is linked by one page, as one of four kinds; of a page's fitting ones two are attached to its HTML."""
+    pages = B.table(s, f, "pages").select("page_id", F.col("html").alias("text"))
+    n = pages.agg(F.max("page_id") + 1).first()[0]
+    docs = B.table(s, f, "documents")
+    if not n:
+        docs, n = docs.limit(0), 1
+    kind = F.pmod(F.col("doc_id") + F.floor(F.col("doc_id") / n), F.lit(len(ATTACHED))).cast("int")
+    label, name = (F.element_at(F.array(*[F.lit(x[i]) for x in ATTACHED]), kind + 1) for i in (0, 1))
+    linked = docs.select((F.col("doc_id") % n).alias("page_id"), F.col("doc_id").alias("pos"), label.alias("label"), F.concat(
+        F.lit("https://files.example.org/"), F.col("doc_id").cast("string"), F.lit("/"), name).alias("url"), "text")
+    out = S.attach_documents(pages, S.select_attachments(linked.drop("text"), "example.org"), linked.select("url", "text"))
     return out.select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def json_dump(s: SparkSession, f: str) -> DataFrame:
-    """Rows of the JSON dump: every document with its lines, as JSON text."""
-    return _docs(s, f).select("doc_id", F.md5(F.to_json(F.struct("doc_id", "lang", "source", F.split("text", "\n").alias("lines")))).alias("json_md5"))
+    """The JSON dump, written and read back: every document with its lines, as JSON text."""
+    folder = shared_folder(s, "dump")
+    write_json_dump(_docs(s, f).select("doc_id", "lang", "source", F.split("text", "\n").alias("lines")), folder, "lang")
+    rows = s.read.schema("doc_id long, source string, lines array<string>, lang string").json(folder)
+    return rows.select("doc_id", F.md5(F.to_json(F.struct("doc_id", "lang", "source", "lines"))).alias("json_md5"))
+
+
+def replace_buckets(s: SparkSession, f: str) -> DataFrame:
+    """A bucketed table after one update: toxic documents are deleted, texts that are not English get their source behind."""
+    docs = _docs(s, f).select("doc_id", "lang", "source", "text")
+    before = docs.select("doc_id", "text", F.md5("text").alias("hash"))
+    toxic = B.table(s, f, "labels").where("toxic = 1").select("doc_id").distinct()
+    after = docs.join(toxic, "doc_id", "left_anti").select("doc_id", F.when(F.col("lang") == "en", F.col("text")).otherwise(
+        F.concat("text", "source")).alias("text")).withColumn("hash", F.md5("text"))
+    folder = shared_folder(s, "buckets")
+    write_buckets(before, folder, "doc_id")
+    actions = N.sync_actions(after, read_buckets(s, folder, "doc_id"), "doc_id")
+    replace_buckets_of(s, folder, after, actions, "doc_id")
+    return read_buckets(s, folder, "doc_id").select("doc_id", "hash", F.length("text").alias("n_chars"))
+
+
+def format_sections(s: SparkSession, f: str) -> DataFrame:
+    lists = {"yayinlar": F.split("text", "\n"), "projeler": F.array().cast("array<string>"), "dil": F.array("lang", "source")}
+    block = T.format_sections(lists)
+    return _docs(s, f).select("doc_id", F.length(block).alias("n_chars"), F.md5(block).alias("v_md5"))
+
+
+def ground_nested(s: SparkSession, f: str) -> DataFrame:
+    """A nested CV record partly taken from the document's text, under the policy of CVs."""
+    def text(c: str) -> Column:
+        return F.lit(c)
+
+    head, short = F.left(F.regexp_replace("text", r"[.\n]", " "), F.lit(25)), F.left("text", F.lit(12))
+    cv = F.struct(
+        F.struct(text("doçent").alias("title")).alias("identity"),
+        F.struct(F.col("source").alias("email"), text("0532 Qwxyz").alias("phone")).alias("contact"),
+        F.array(short, text("Qwxyz")).alias("areas"),
+        F.array(F.struct(head.alias("university"), F.concat(short, text(" — Prof. Dr. Ad Soyad")).alias("thesis")),
+                F.struct(text("Zzyzx Qwxyz").alias("university"), short.alias("thesis"))).alias("education"),
+        F.array(F.struct(F.concat(head, text(", Zq Dergisi")).alias("title"), text("Zq Dergisi").alias("venue")),
+                F.struct(text("Qwxyz").alias("title"), text("Zq Dergisi").alias("venue"))).alias("publications"),
+        F.struct(F.lit(0).alias("citations"), (F.length("text") % 50).alias("h_index")).alias("metrics")).alias("cv")
+    out = T.ground_nested(_docs(s, f).select("doc_id", "text", cv), "cv")
+    return out.select(
+        "doc_id", "cv.identity.title", "cv.contact.email", "cv.contact.phone", "cv.areas",
+        F.col("cv.education.university").alias("universities"), F.coalesce(F.try_element_at("cv.education.thesis", F.lit(1)), F.lit("")).alias("thesis"),
+        F.col("cv.publications.title").alias("publications"), "cv.metrics.citations", "cv.metrics.h_index")
 
 
 NK = Q.norm_key("text")
@@ -317,6 +371,20 @@ ISO = "o_orderdate::DATE::VARCHAR"
 TITLE_SQL = ", ".join(f"'{t}'" for t in TITLE_WORDS)
 LABEL_SQL = ", ".join(f"'{x}'" for x in LABELS)
 CLEAN_STEPS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+def _has(x: str) -> str:
+    w, n = Q.words(x), Q.numbers(x)
+    return (f"list_has_all(sn, {n}) AND CASE WHEN len({w}) = 0 THEN len({n}) > 0 "
+            f"ELSE len(list_intersect({w}, sw)) >= 0.5 * len({w}) END")
+
+
+NESTED = rf"""WITH d AS (SELECT *, {Q.words('text')} AS sw, {Q.numbers('text')} AS sn, left(text, 12) AS a, left(regexp_replace(text, '[.\n]', ' ', 'g'), 25) AS u FROM documents),
+  x AS (SELECT *, a || ' — Prof. Dr. Ad Soyad' AS th, u || ', Zq Dergisi' AS p FROM d),
+  g AS (SELECT *, {_has('a')} AS a_ok, {_has('u')} AS u_ok, {_has('th')} AS th_ok, {_has('p')} AS p_ok FROM x)
+SELECT doc_id, 'Doç. Dr.' AS title, CASE WHEN contains(lower(regexp_replace(text, '[\s()+\-]', '', 'g')), source) THEN source END AS email, NULL::VARCHAR AS phone,
+  CASE WHEN a_ok THEN a ELSE '' END AS areas, CASE WHEN u_ok THEN u ELSE '' END AS universities,
+  CASE WHEN u_ok AND th_ok THEN trim(regexp_replace(th, '\s+— Prof\. Dr\. Ad Soyad$', ''), ' ') ELSE '' END AS thesis,
+  CASE WHEN p_ok THEN trim(CASE WHEN length(u) > 8 THEN u ELSE p END, ' .,;') ELSE '' END AS publications,
+  NULL::BIGINT AS citations, CASE WHEN length(text) % 50 <> 0 AND list_contains(sn, (length(text) % 50)::VARCHAR) THEN length(text) % 50 END AS h_index FROM g"""
 HEAD = r"regexp_replace(text, '[.\n]', ' ', 'g')"
 ALIGNED = f"translate(lower(text), '{Q.ACCENTED}', '{Q.PLAIN}')"
 VALUE = f"translate(lower(substr(text, 11, 40)), '{Q.ACCENTED}', '{Q.PLAIN}')"
@@ -396,7 +464,15 @@ ENTRIES = {
     "extract_links": (extract_links, None),
     "extract_records": (extract_records, r"""SELECT page_id, i - 1 AS pos, regexp_extract(r, 'href="([^"]*)"', 1) AS url, trim(regexp_replace(regexp_extract(r, '(?s)<a [^>]*>(.*?)</a>', 1), '\s+', ' ', 'g')) AS title
         FROM (SELECT page_id, unnest(x) AS r, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li>.*?</li>') AS x FROM pages)) WHERE regexp_extract(r, 'href="([^"]*)"', 1) <> '' AND trim(regexp_extract(r, '(?s)<a [^>]*>(.*?)</a>', 1)) <> ''"""),
-    "attach_documents": (attach_documents, """SELECT page_id, length(v) AS n_chars, md5(v) AS text_md5 FROM (SELECT page_id, md5(html) || coalesce(chr(10) || chr(10) || '## Ek: Ulusal_Kurallar.PDF' || chr(10) || left(text, 20000) || chr(10) || chr(10) || '## Ek: duyuru.pdf' || chr(10) || left(text, 20000), '') AS v
-        FROM pages LEFT JOIN documents ON doc_id = page_id)"""),
+    "attach_documents": (attach_documents, """WITH n AS (SELECT max(page_id) + 1 AS n FROM pages),
+        e AS (SELECT doc_id % n AS page_id, text, ['', 'Call_Text.pdf', 'Ulusal_Kurallar.PDF', 'duyuru.pdf'][1 + (doc_id + doc_id // n) % 4] AS name,
+          row_number() OVER (PARTITION BY doc_id % n ORDER BY (doc_id + doc_id // n) % 4 = 1, doc_id) AS r FROM documents, n WHERE (doc_id + doc_id // n) % 4 <> 0),
+        a AS (SELECT page_id, string_agg(chr(10) || chr(10) || '## Ek: ' || name || chr(10) || left(text, 20000), '' ORDER BY r) AS v FROM e WHERE r <= 2 GROUP BY page_id)
+        SELECT page_id, length(x) AS n_chars, md5(x) AS text_md5 FROM (SELECT page_id, html || coalesce(v, '') AS x FROM pages LEFT JOIN a USING (page_id))"""),
+    "replace_buckets": (replace_buckets, """SELECT doc_id, md5(t) AS hash, length(t) AS n_chars FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE text || source END AS t FROM documents
+        WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""),
+    "format_sections": (format_sections, """SELECT doc_id, length(v) AS n_chars, md5(v) AS v_md5 FROM (SELECT doc_id, '## Yayınlar' || chr(10) || '- ' || array_to_string(string_split(text, chr(10)), chr(10) || '- ')
+        || chr(10) || chr(10) || '## dil' || chr(10) || '- ' || lang || chr(10) || '- ' || source AS v FROM documents)"""),
+    "ground_nested": (ground_nested, NESTED),
     "write_json_dump": (json_dump, """SELECT doc_id, md5('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","lines":' || to_json(string_split(text, chr(10))) || '}') AS json_md5 FROM documents"""),
 }
