@@ -28,10 +28,20 @@ def shingle_counts(text):
     return Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
-def similarity(a, b):
-    """Weighted Jaccard of two shingle counts."""
-    both = sum((a & b).values())
-    return both / max(1, sum(a.values()) + sum(b.values()) - both)
+def alignment(a, b):
+    """common / (words of both - common) of the longest common subsequence, by the full table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1] / max(1, len(a) + len(b) - row[-1])
+
+
+def sketch_of(text):
+    shingle, sizes = S.shingles(*S.words(*S.text_bytes(pa.array([text]))))
+    return set(enumerate(N.order_minhash(S.numbered(shingle, sizes), sizes)[0].tolist())) if sizes[0] else set()
 
 
 def near_rows(seed=1, groups=12):
@@ -57,10 +67,10 @@ def brute_classes(rows, least=0.8):
         return x
 
     texts = list(dict.fromkeys(t or "" for _, t in rows))
-    counts = [shingle_counts(t) for t in texts]
-    for i, a in enumerate(counts):
+    words, sketches = [words_of(t) for t in texts], [sketch_of(t) for t in texts]
+    for i in range(len(texts)):
         for j in range(i):
-            if a and counts[j] and similarity(a, counts[j]) >= least:
+            if sketches[i] & sketches[j] and alignment(words[i], words[j]) >= least:
                 parent[root(texts[i])] = root(texts[j])
     members = {}
     for d, t in rows:
@@ -82,7 +92,7 @@ def test_near_group_around_the_threshold(docs_of):
     rows = []
     for n in range(150):
         w = list(base)
-        for _ in range(rng.randint(0, 7)):
+        for _ in range(rng.randint(4, 24)):
             w[rng.randrange(150)] = rng.choice(VOCABULARY)
         rows.append((n, " ".join(w)))
     got = {r.doc_id: r.class_id for r in N.classes(docs_of(rows)).collect()}
@@ -95,24 +105,49 @@ def test_classes_of_nothing_and_of_blank_texts(docs_of):
     assert {r.class_id for r in N.classes(docs_of([(1, ""), (2, None), (3, " ")])).collect()} == {1, 3}
 
 
-def test_alignment_is_the_longest_forward_chain():
+def as_words(x):
+    return S.words(*S.text_bytes(pa.array([" ".join(x)])))[0]
+
+
+def test_alignment_is_the_longest_common_subsequence():
     rng = random.Random(2)
-    for _ in range(200):
-        a = [rng.choice(VOCABULARY[:40]) for _ in range(rng.randint(1, 40))]
+    for n in range(300):
+        a = [rng.choice(VOCABULARY[:40 if n % 2 else 3]) for _ in range(rng.randint(1, 80))]
         b = list(a)
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(rng.randint(0, len(a) // 4 + 1)):
             b.insert(rng.randrange(len(b)), rng.choice(VOCABULARY)) if rng.random() < 0.5 else b.pop(rng.randrange(len(b)))
             b = b or ["z"]
-        keys = [S.numbered(*S.shingles(*S.words(*S.text_bytes(pa.array([" ".join(x)]))))) for x in (a, b)]
-        table = np.zeros((len(keys[0]) + 1, len(keys[1]) + 1), int)
-        for i, x in enumerate(keys[0]):
-            for j, y in enumerate(keys[1]):
-                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
-        want = table[-1, -1] / (len(keys[0]) + len(keys[1]) - table[-1, -1])
-        got = N.chain(*keys)
+        want, got = alignment(a, b), N.aligned(as_words(a), as_words(b))
         assert got == pytest.approx(want) if want >= 0.8 else got < 0.8
 
 
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8, 0.95])
+def test_alignment_over_many_windows(least):
+    rng = random.Random(5)
+    a = [rng.choice(VOCABULARY[:200]) for _ in range(4000)]
+    for moved in (0, 60, 300):
+        b = a[moved:] + a[:moved]
+        for _ in range(120):
+            b[rng.randrange(len(b))] = rng.choice(VOCABULARY)
+        want, got = alignment(a, b), N.aligned(as_words(a), as_words(b), least)
+        assert got == pytest.approx(want) if want >= least else got == 0
+
+
+@pytest.mark.parametrize("edits, recall", [(0.01, 1.0), (0.03, 1.0), (0.05, 0.95)])
+def test_near_copies_are_found_by_edit_rate(docs_of, edits, recall):
+    rng = random.Random(11)
+    rows = []
+    for n in range(100):
+        w = [rng.choice(VOCABULARY) for _ in range(300)]
+        rows.append((2 * n, " ".join(w)))
+        for i in rng.sample(range(300), int(300 * edits)):
+            w[i] = rng.choice(VOCABULARY)
+        rows.append((2 * n + 1, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in N.classes(docs_of(rows)).collect()}
+    assert sum(got[2 * n + 1] == 2 * n for n in range(100)) >= 100 * recall
+    assert all(got[2 * n] == 2 * n for n in range(100))
+
+
 def test_first_of_each_keeps_columns_and_one_row(docs_of, odd_rows):
     df = docs_of(near_rows(4, 3) + odd_rows)
     out = N.first_of_each(df)
