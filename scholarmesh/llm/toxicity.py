@@ -1,6 +1,7 @@
-"""Toxicity from class-conditional Kneser-Ney models over words and word pairs.
+"""Toxicity from class-conditional counts of words and word pairs with a shared backoff, after Kneser-Ney.
 
-Counts are Kneser-Ney's: of types, not tokens, here the distinct training texts that hold an expression, so that copies
+It is not the named model itself, which ranks held-out rows much worse (README, departures): no continuation counts per
+context and no absolute discount. Counts are of types, not tokens, here the distinct training texts that hold an expression, so that copies
 and repetition do not count. Every class count loses a discount, and the discounted mass goes to a backoff distribution
 that both classes share, n(w) + K. As the classes differ in size, the discount depends on the shared count: what an
 expression of n texts would get by its shared rate plus Z standard deviations (Z and K differ for words and pairs). Rare and neutral expressions therefore
