@@ -61,6 +61,15 @@ def bm25_scores(chunks: DataFrame, terms: DataFrame, scope: tuple[str, ...] = ()
                 .groupBy(id_col, *scope, "_len", "term").agg(F.count("*").alias("_tf")))
 
     by_term = postings.groupBy(*scope, "term").agg(F.count("*").alias("_df"), F.sum("_len").alias("_total"))
+    return score_postings(postings, by_term, terms, tuple(scope), id_col, small)
+
+
+def score_postings(postings: DataFrame, by_term: DataFrame, terms: DataFrame, scope: tuple[str, ...], id_col: str,
+                   small: bool) -> DataFrame:
+    """BM25 of postings (chunk, *scope, term, _tf, _len) with counts by term (*scope, term, _df, _total).
+
+    The pseudo term's counts are the number of chunks and their total length.
+    """
     corpus = F.col("term") == CORPUS
     totals = [F.max(F.when(corpus, F.col("_df"))).alias("_n"), F.max(F.when(corpus, F.col("_total"))).alias("_sum")]
     if scope:
@@ -425,11 +434,16 @@ def index_signature(chunks: DataFrame, id_col: str = "chunk_id", content: str =
 
     The 128-bit md5 of each (id, content) is added up in two halves, which no order can change.
     """
-    digest = F.md5(F.concat_ws("\x1f", F.col(id_col).cast("string"), F.md5(content)))
+    return signature_of(chunks.select(id_col, F.md5(content).alias("hash")), id_col)
+
+
+def signature_of(hashes: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """The signature of rows (id, hash)."""
+    digest = F.md5(F.concat_ws("\x1f", F.col(id_col).cast("string"), "hash"))
 
     def half(start: int) -> Column:
         return F.sum(F.conv(F.substring(digest, start, 12), 16, 10).cast("decimal(20,0)"))
 
-    return chunks.agg(F.count("*").alias("n_chunks"), F.concat_ws(
+    return hashes.agg(F.count("*").alias("n_chunks"), F.concat_ws(
         ":", F.count("*").cast("string"), F.coalesce(half(1), F.lit(0)).cast("string"),
         F.coalesce(half(13), F.lit(0)).cast("string")).alias("signature"))

@@ -12,6 +12,7 @@ from scholarmesh.operators import matching as M
 from scholarmesh.operators import people as P
 from scholarmesh.operators import retrieval as R
 from scholarmesh.operators import scoring as S
+from scholarmesh.operators import search_index as IX
 from scholarmesh.plans import bindings as B
 from scholarmesh.plans import sql as Q
 from scholarmesh.session import cut_lineage, shared_folder
@@ -82,6 +83,28 @@ def bm25_topk(s: SparkSession, f: str) -> DataFrame:
     return R.bm25_topk(c, q)
 
 
+def index_search(s: SparkSession, f: str) -> DataFrame:
+    """BM25 read from a stored index of all documents."""
+    path = shared_folder(s, "index")
+    IX.build_index(B.chunks(s, f), path)
+    return IX.search_index(s, path, B.queries(s, f))
+
+
+def index_search_after_changes(s: SparkSession, f: str) -> DataFrame:
+    """The index of an earlier state, brought to the present documents and searched.
+
+    In the earlier state German and Spanish texts are missing, texts with a digit are reversed, and every French or English
+    text exists under one more number that is gone today, so chunks are added, changed and deleted.
+    """
+    now, path = B.chunks(s, f), shared_folder(s, "index")
+    text = F.when(F.col("content").rlike("[0-9]"), F.reverse("content")).otherwise(F.col("content"))
+    here = F.col("section").isin("en", "fr")
+    gone = now.where(here).withColumn("chunk_id", -1 - F.col("chunk_id"))
+    IX.build_index(now.where(here | F.col("section").isNull()).withColumn("content", text).unionByName(gone), path)
+    IX.refresh_index(now, path)
+    return IX.search_index(s, path, B.queries(s, f))
+
+
 def bm25_topk_with_zero(s: SparkSession, f: str) -> DataFrame:
     """Queries of the last word only have few matches, so the rest of the list is filled."""
     c, _, q = _parts(s, f)
@@ -357,6 +380,9 @@ ENTRIES = {
     "tokenize": (tokenize, f"SELECT doc_id AS chunk_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 "
                            f"FROM (SELECT doc_id, {Q.tokens('text')} AS t FROM documents)"),
     "bm25_topk": (bm25_topk, f"{W}{BASE} SELECT query_id, chunk_id, round(bm25, 6) AS bm25, rank FROM lex"),
+    "index_search": (index_search, f"{W}{BASE} SELECT query_id, chunk_id, round(bm25, 6) AS bm25, rank FROM lex"),
+    "index_search_after_changes": (
+        index_search_after_changes, f"{W}{BASE} SELECT query_id, chunk_id, round(bm25, 6) AS bm25, rank FROM lex"),
     "bm25_topk_with_zero": (bm25_topk_with_zero, f"""WITH q AS (SELECT item_id AS query_id, string_split(b.text, ' ')[-1] AS keywords
         FROM benchmark b JOIN embeddings ON item_id = vec_id), {Q.QUERY_TERMS}, {Q.bm25('documents', 'doc_id', 'text')},
         al AS (SELECT q.query_id, d.doc_id, coalesce(bm25, 0) AS bm25 FROM q CROSS JOIN documents d LEFT JOIN bm USING (query_id, doc_id))
