@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from scholarmesh.llm import shingles as S
 from scholarmesh.llm.common import cut_lineage, documents, hot_join, whole_text
-from scholarmesh.llm.jaccard_join import BLOCK_BYTES, SETS, distinct_sets, linked_in_cells, of_different_members, set_rows
+from scholarmesh.llm.jaccard_join import SEEN, BLOCK_BYTES, SETS, distinct_sets, linked_in_cells, of_different_members, set_rows
 from scholarmesh.llm.token_files import shared_folder
 from scholarmesh.llm.toxicity import maybe, sieve
 
@@ -191,8 +191,13 @@ def near_links(members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> D
     bits = sieve(members.select(F.col("node").alias("key")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # a task sends the set of equal texts once
         for batch in batches:
             near = batch.filter(pa.array(maybe(bits, batch.column(0).to_numpy().view(np.uint64))))
+            ids = near.column(0).to_pylist()
+            if len(sent) > SEEN:
+                sent.clear()
+            near = near.filter(pa.array([not (i in sent or sent.add(i)) for i in ids], pa.bool_()))
             for lo, hi, data, offsets in S.blocks(near.column(1), BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([near.column(0).slice(lo, hi - lo), *set_rows(*distinct_sets(
                     data, offsets, S.WIDTH, BYTES))], names=[c.split()[0] for c in SETS.split(", ")])

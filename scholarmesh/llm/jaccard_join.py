@@ -43,6 +43,7 @@ SEEN = 1_000_000  # sets a task remembers to enter equal ones once
 FAMILIES = 6
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+BROADCAST_SHINGLES = 1 << 20  # 8 MiB
 
 
 def distinct_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, letters: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +310,10 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """u, v of the pairs whose sets are similar enough. sets: node, shingles."""
+    """u, v of the pairs (a checkpointed table) whose sets are similar enough. sets: node, n, shingles.
+
+    Where the second sets together have few shingles (counted), they are broadcast and no set is sent to them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -321,6 +325,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
+    seconds = pairs.select("v").distinct()
+    if (sets.select(F.col("node").alias("v"), "n").join(seconds, "v").agg(F.sum("n")).first()[0] or 0) <= BROADCAST_SHINGLES:
+        right = F.broadcast(right.join(seconds, "v", "left_semi"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
@@ -444,7 +451,7 @@ def linked_in_cells(members: DataFrame, sets: DataFrame, percent: int = PERCENT)
     """
     leaders = members.groupBy("cell").agg(F.min("node").alias("v"))
     stars = members.join(leaders, "cell").where("node != v").select(F.col("node").alias("u"), "v").distinct()
-    links = components(verified(bounded_pairs(stars, sets, percent), sets, percent))
+    links = components(verified(cut_lineage(bounded_pairs(stars, sets, percent)), sets, percent))
     apart = of_different_members(cut_lineage(with_company(placed(members, links), sets, percent)), "node")
     for spanning in (True, False):
         apart = cut_lineage(placed(apart, links))
