@@ -8,11 +8,12 @@ common / (words of both - common), at least 0.8. An edit costs the words it touc
 
 Equal texts are one node from the start. Per band value all members are first aligned with two leaders (the member that
 shares most band values, and one by hash); what this links is contracted by connected components. Left are band values
-with several components. A word (with the number of its occurrence) that only one of their members has can meet no other,
-and a word of the band value's hub that one of two texts lacks is none of their shared ones; pairs that these bounds keep
-below the least similarity are out, and all remaining pairs of different components are aligned too. Thus no link between
-different texts that share a band value is lost, while a group of copies costs a few alignments per member. Band groups
-are joined and aggregated, never collected. What the bands miss: a pair whose five-word shingles have similarity J shares
+with several components. A word (with the number of its occurrence) that only one of their members has can meet no other;
+the others' words are sets of the R-tree join (`jaccard_join.tree_pairs`), whose bound of what two sets share is also one of
+what can be aligned, so that pairs below the least similarity are never rows of a table. Of the pairs above it a first pass
+aligns those that would connect the components; when that is contracted, a second pass aligns all that still lie between
+different components. Thus no link between different texts that share a band value is lost, while a group of copies costs
+a few alignments per member. Band groups are joined and aggregated, never collected. What the bands miss: a pair whose five-word shingles have similarity J shares
 none with a probability of about (1 - J^3)^16; texts with 5 % of the words of one replaced have J = 0.63 and miss 1 in 80.
 
 Defined cases: null texts are empty; texts without words are equal only to the same text; texts of one to four words
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from scholarmesh.llm import shingles as S
 from scholarmesh.llm.common import cut_lineage, documents, whole_text
 from scholarmesh.llm.components import components
+from scholarmesh.llm.jaccard_join import SETS, of_different_members, placed, set_rows, tree_pairs, with_company
 
 BANDS, SAMPLE, LEAST = 16, 3, 0.8
 
@@ -154,44 +156,16 @@ def verified(pairs: DataFrame, keys: DataFrame, least: float = LEAST) -> DataFra
     return pairs.join(left, "u").join(right, "v").select("u", "v", "ku", "kv").mapInArrow(run, "u binary, v binary")
 
 
-def alone(nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """node, alone: how many of its labelled words no other of the nodes has (nodes with none left out)."""
+def labelled_sets(keys: DataFrame) -> DataFrame:
+    """node (number), n, point, shingles of (number, keys): the labelled words of a text as a set of the R-tree join."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                word = labelled(key).view(np.int64)
-                half = np.frombuffer(node, ">i8").astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(word), half[0])), pa.array(np.full(len(word), half[1])), pa.array(word)],
-                    names=["a", "b", "word"])
-
-    rows = keys.join(nodes, "node").select("node", "keys").mapInArrow(run, "a long, b long, word long")
-    single = rows.groupBy("word").agg(F.count(F.lit(1)).alias("c"), F.min("a").alias("a"), F.min("b").alias("b")).where(
-        "c = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("alone"))
-    halves = [F.conv(F.hex(F.substring("node", n, 8)), 16, -10).cast("long") for n in (1, 9)]
-    return nodes.select("node", halves[0].alias("a"), halves[1].alias("b")).join(single, ["a", "b"]).select("node", "alone")
-
+            for n in range(len(batch)):  # one text's words at a time
+                word = labelled(batch.column(1)[n].as_buffer())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(n, 1), *set_rows(word, np.array([len(word)]))],
+                                                 names=[c.split()[0] for c in SETS.split(", ")])
 
-def lacking(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """For (node, hub): hub_size, lacks (bits of the hub's labelled words that the node lacks), inside (how many it has)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits, size, inside = [], [], []
-            for own, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                hub = labelled(other)
-                lacks = ~np.isin(hub, labelled(own))
-                padded = np.zeros(-(-len(hub) // 64) * 64, dtype=bool)
-                padded[:len(hub)] = lacks
-                bits.append(np.packbits(padded).view(np.int64).tolist())
-                size.append(len(hub))
-                inside.append(int((~lacks).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(bits, pa.list_(pa.int64())),
-                 pa.array(inside, pa.int64())], names=["node", "hub", "hub_size", "lacks", "inside"])
-
-    return pairs.join(keys, "node").join(keys.select(F.col("node").alias("hub"), F.col("keys").alias("other")), "hub").select(
-        "node", "hub", "keys", "other").mapInArrow(
-        run, "node binary, hub binary, hub_size long, lacks array<bigint>, inside long")
+    return keys.select("number", "keys").mapInArrow(run, SETS)
 
 
 def _ratio(a: Column, b: Column, least: float) -> Column:
@@ -217,7 +191,8 @@ def classes(docs: DataFrame, bands: int = BANDS, sample: int = SAMPLE, least: fl
     needed = members.select("node", F.col("doc_id").alias("d")).distinct()
     texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["d"])).where(
         F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("node")).select("node", "text")
-    keys = cut_lineage(worded(texts).dropDuplicates(["node"]))
+    keys = cut_lineage(worded(texts).dropDuplicates(["node"])).withColumn(
+        "number", F.monotonically_increasing_id())  # numbers of checkpointed rows
 
     size = members.select("node", "n").distinct()
     stars = members.join(leaders, ["band", "value"]).select(
@@ -228,32 +203,31 @@ def classes(docs: DataFrame, bands: int = BANDS, sample: int = SAMPLE, least: fl
         _ratio(F.col("nu"), F.col("nv"), least)).select("u", "v"))
     first = components(verified(stars, keys, least))
 
-    placed = members.select("band", "value", "node", "n").join(
-        first.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
-    parts = placed.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("c"))
-    split = parts.groupBy("band", "value").agg(F.max(F.struct("c", "root"))["root"].alias("main"),
-                                               F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    apart = cut_lineage(placed.join(split, ["band", "value"]).join(leaders.drop("other"), ["band", "value"]).select(
-        "band", "value", "node", "n", "root", "main", "hub"))
-    known_apart = apart.select("node").union(apart.select("hub")).distinct()
-    own = F.coalesce("alone", F.lit(0))
-    apart = apart.join(alone(known_apart, keys), "node", "left").where(own <= F.col("n") * (1 - least) + 1e-9).withColumn(
-        "shared", F.col("n") - own).drop("alone")
-    apart = cut_lineage(apart.join(lacking(apart.select("node", "hub").distinct(), keys), ["node", "hub"]).withColumn(
-        "beside", F.col("shared") - F.col("inside")))
-    minor = apart.where("root != main").select("band", "value", *[
-        F.col(c).alias(f"{c}_a") for c in ("node", "n", "root", "shared", "lacks", "beside")])
-    both = F.col("n_a") + F.col("n")
-    common = F.col("hub_size") - F.aggregate(F.zip_with("lacks_a", "lacks", lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(
-        0), lambda x, y: x + y) + F.least("beside_a", "beside")
-    crossing = minor.join(apart, ["band", "value"]).where(
-        (F.col("root_a") != F.col("root")) & (F.least("shared_a", "shared") >= both * (least / (1 + least)) - 1e-9)
-        & (common >= both * (least / (1 + least)) - 1e-9)).withColumnRenamed("node_a", "a").select(
-        F.greatest("a", "node").alias("u"), F.least("a", "node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    second = components(first.unionByName(verified(crossing, keys, least)))
-
-    rooted = known.select("doc_id", "node").join(second.select(F.col("u").alias("node"), F.col("v").alias("root")), "node",
+    names = keys.select("node", "number")
+    u, v = (names.select(F.col("node").alias(c), F.col("number").alias(f"n{c}")) for c in "uv")
+    percent = int(100 * least + 1e-9)
+
+    def by_number(links: DataFrame) -> DataFrame:
+        return links.join(u, "u").join(v, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+
+    cells = members.select(F.xxhash64("band", "value").alias("cell"), "node").join(names, "node").select(
+        "cell", F.col("number").alias("node"))
+    apart = cut_lineage(placed(cells, by_number(first)))
+    inside = keys.join(apart.select(F.col("node").alias("number")).distinct(), "number")
+    apart = of_different_members(cut_lineage(with_company(apart, labelled_sets(inside), percent)), "node")
+    left = keys.join(apart.select(F.col("node").alias("number")).distinct(), "number")
+    points = cut_lineage(labelled_sets(left).select("node", "n", "point"))
+    links, tried = first, stars
+    for spanning in (True, False):
+        apart = cut_lineage(placed(apart, by_number(links)))
+        if apart.isEmpty():
+            break
+        near = tree_pairs(apart, points, percent, spanning=spanning).select(F.col("u").alias("nu"), F.col("v").alias("nv"))
+        pairs = cut_lineage(near.join(u, "nu").join(v, "nv").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias(
+            "v")).join(tried, ["u", "v"], "left_anti"))
+        links, tried = components(links.unionByName(verified(pairs, keys, least))), tried.unionByName(pairs)
+
+    rooted = known.select("doc_id", "node").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node",
                                                  "left").withColumn("root", F.coalesce("root", "node"))
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rooted.join(ids, "root").select("doc_id", "node", "root", "class_id", "class_size")
