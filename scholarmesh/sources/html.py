@@ -6,14 +6,18 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scholarmesh.functions.text import collapse_spaces, let
 
 MIN_MAIN_TEXT = 100
+BLOCK_BYTES = 1 << 20
 
 # Elements outside of the main text; elements that start and end a line; elements without content.
 SCAFFOLD = {"nav", "header", "footer", "aside", "script", "style", "noscript", "form"}
@@ -86,17 +90,32 @@ def _absolute(page: str | None, href: str) -> str | None:
         return None
 
 
-@F.pandas_udf(RAW)
-def _segments(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def _blocks(html: pa.Array) -> Iterator[slice]:
+    """Rows of about BLOCK_BYTES of markup at a time, one at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(html), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+@F.arrow_udf(RAW)
+def _segments(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """A block's pages at a time: results go back by the block, only the batch that came in stays as Arrow memory."""
+    kind = to_arrow_type(RAW)
     for htmls, urls in batches:
-        rows = []
-        for html, url in zip(htmls, urls):
-            page = _Segments()
-            page.feed(html or "")
-            page.close()
-            rows.append({"text": "".join(page.parts["text"]), "heading": "".join(page.parts["heading"]),
-                         "links": [{"label": "".join(label), "url": _absolute(url, href)} for href, label in page.links]})
-        yield pd.DataFrame(rows, columns=["text", "heading", "links"])
+        for block in _blocks(htmls):
+            rows = []
+            for html, url in zip(htmls[block], urls[block]):
+                url = url.as_py()
+                page = _Segments()
+                page.feed(html.as_py() or "")
+                page.close()
+                rows.append({"text": "".join(page.parts["text"]), "heading": "".join(page.parts["heading"]),
+                             "links": [{"label": "".join(label), "url": _absolute(url, href)} for href, label in page.links]})
+            yield pa.array(rows, kind)
 
 
 def _tidy(raw: Column) -> Column:
