@@ -11,6 +11,7 @@ from scholarmesh import session
 from scholarmesh.functions.text import let
 
 GAP = r"[\x20\x09-\x0D]+"  # what separates words
+PART_ROWS = 100_000  # narrow rows that a partition of a counted table holds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return session.cut_lineage(df)
 
 
+def parts_for(df: DataFrame) -> int:
+    """How many partitions the rows (counted) of a checkpointed table need; not fewer than there are cores."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """A checkpoint of narrow rows that is read in no more tasks than its rows need."""
+    out = cut_lineage(df)
+    return out.coalesce(parts_for(out))
+
+
 def hot_join(big: DataFrame, small: DataFrame, key: str, size: str, most: int = 1000) -> DataFrame:
     """Inner join with unique keys of which `size` tells the rows in `big`; both are read twice.
 
@@ -49,4 +61,4 @@ def hot_join(big: DataFrame, small: DataFrame, key: str, size: str, most: int =
     return big.join(F.broadcast(hot), key).unionByName(others)
 
 
-__all__ = ["GAP", "cut_lineage", "documents", "hot_join", "let", "table", "whole_text"]
+__all__ = ["GAP", "compact", "cut_lineage", "documents", "hot_join", "let", "parts_for", "table", "whole_text"]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholarmesh.llm import shingles as S
-from scholarmesh.llm.common import cut_lineage, documents, hot_join, whole_text
+from scholarmesh.llm.common import compact, cut_lineage, documents, hot_join, whole_text
 from scholarmesh.llm.jaccard_join import SEEN, BLOCK_BYTES, SETS, distinct_sets, linked_in_cells, of_different_members, set_rows
 from scholarmesh.llm.token_files import shared_folder
 from scholarmesh.llm.toxicity import maybe, sieve
@@ -60,7 +60,7 @@ def signatures(shingle: np.ndarray, sizes: np.ndarray, permutations: int = PERMU
 
 def text_signatures(texts: list[str], permutations: int = PERMUTATIONS) -> np.ndarray:
     out = [np.zeros((0, permutations), np.uint16)]
-    for _, _, data, offsets in S.blocks(pa.array(texts, pa.large_string())):
+    for _, _, data, offsets in S.blocks(pa.array(texts, pa.large_string()), BLOCK_BYTES):
         out.append(signatures(*S.shingles(*S.words(data, offsets)), permutations))
     return np.concatenate(out)
 
@@ -159,7 +159,7 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame
     """doc_id, fingerprint (binary, 16 bits a place), shingle set size of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in S.blocks(batch.column(1)):
+            for lo, hi, data, offsets in S.blocks(batch.column(1), BLOCK_BYTES):
                 signature = signatures(*S.shingles(*S.words(data, offsets)), permutations)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(
                     [s.astype(">u2").tobytes() for s in signature], pa.binary())], names=["doc_id", "fingerprint"])
@@ -179,8 +179,8 @@ def band_members(prints: DataFrame) -> DataFrame:
     """cell, node of (doc_id, fingerprint): bands with several documents; of bands with the same documents one stays."""
     bands = banded(prints)
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    inside = cut_lineage(bands.join(shared, "band").select(F.col("band").alias("cell"), F.col("doc_id").alias("node")))
-    return cut_lineage(of_different_members(inside, "node"))
+    inside = compact(bands.join(shared, "band").select(F.col("band").alias("cell"), F.col("doc_id").alias("node")))
+    return compact(of_different_members(inside, "node"))
 
 
 def near_links(members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -218,14 +218,14 @@ def near_pairs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def with_class(done: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Results of with_next with near_class: the least doc_id of the texts that near_links joins; docs: doc_id, text."""
     key = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 16), 16, -10).cast("long")
-    prints = cut_lineage(done.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("fingerprint").alias("fingerprint"), F.count(
+    prints = compact(done.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("fingerprint").alias("fingerprint"), F.count(
         F.lit(1)).alias("c")))
     members = band_members(prints.select(F.col("key").alias("doc_id"), "fingerprint"))
     roots = near_links(members, docs.select(key.alias("doc_id"), "text"), percent)
     placed = prints.select("key", "least_id", "c").join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")
     placed = placed.select("key", "least_id", "c", F.coalesce("root", "key").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least_id").alias("near_class"), F.count(F.lit(1)).alias("size"))
-    found = cut_lineage(hot_join(placed.select("key", "c", "root"), ids, "root", "size").select("key", "near_class", "c"))
+    found = compact(hot_join(placed.select("key", "c", "root"), ids, "root", "size").select("key", "near_class", "c"))
     return hot_join(done, found, "key", "c").drop("key", "c")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarmesh.llm import shingles as S
-from scholarmesh.llm.common import cut_lineage, documents, hot_join, whole_text
+from scholarmesh.llm.common import compact, cut_lineage, documents, hot_join, whole_text
 from scholarmesh.llm.components import components
 from scholarmesh.llm.token_files import shared_folder
 
@@ -428,7 +428,7 @@ def members_of_cells(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, perc
     shared = cut_lineage(cell_entries(docs, width, percent).groupBy("cell").agg(
         F.min("half").alias("low"), F.max("half").alias("high")).where("low != high").select("cell"))
     inside = cut_lineage(cell_entries(docs, width, percent).join(shared, "cell").distinct())
-    return cut_lineage(of_different_members(inside, "half").join(nodes, "half").select("cell", "node"))
+    return compact(of_different_members(inside, "half").join(nodes, "half").select("cell", "node"))
 
 
 def linked(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -451,13 +451,13 @@ def linked_in_cells(members: DataFrame, sets: DataFrame, percent: int = PERCENT)
     """
     leaders = members.groupBy("cell").agg(F.min("node").alias("v"))
     stars = members.join(leaders, "cell").where("node != v").select(F.col("node").alias("u"), "v").distinct()
-    links = components(verified(cut_lineage(bounded_pairs(stars, sets, percent)), sets, percent))
-    apart = of_different_members(cut_lineage(with_company(placed(members, links), sets, percent)), "node")
+    links = components(verified(compact(bounded_pairs(stars, sets, percent)), sets, percent))
+    apart = of_different_members(compact(with_company(compact(placed(members, links)), sets, percent)), "node")
     for spanning in (True, False):
-        apart = cut_lineage(placed(apart, links))
+        apart = compact(placed(apart, links))
         if apart.isEmpty():
             break
-        pairs = cut_lineage(tree_pairs(apart, sets, percent, spanning=spanning))
+        pairs = compact(tree_pairs(apart, sets, percent, spanning=spanning))
         links = components(links.unionByName(verified(pairs, sets, percent)))
     return links
 

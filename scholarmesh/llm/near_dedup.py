@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarmesh.llm import shingles as S
-from scholarmesh.llm.common import cut_lineage, documents, whole_text
+from scholarmesh.llm.common import compact, cut_lineage, documents, whole_text
 from scholarmesh.llm.components import components
-from scholarmesh.llm.jaccard_join import SETS, of_different_members, placed, set_rows, tree_pairs, with_company
+from scholarmesh.llm.jaccard_join import BLOCK_BYTES, SETS, of_different_members, placed, set_rows, tree_pairs, with_company
 
 BANDS, SAMPLE, LEAST = 16, 3, 0.8
 
@@ -65,7 +65,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, sample: int = SAMPLE) -> DataF
     """doc_id, node (digest of the whole text), n (words), sketch (empty without words) for (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in S.blocks(batch.column(2)):
+            for lo, hi, data, offsets in S.blocks(batch.column(2), BLOCK_BYTES):
                 word, counts = S.words(data, offsets)
                 shingle, sizes = S.shingles(word, counts)
                 has = np.nonzero(sizes > 0)[0]
@@ -127,7 +127,7 @@ def worded(texts: DataFrame) -> DataFrame:
     """node, keys (binary: words in text order) of (node, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in S.blocks(batch.column(1)):
+            for lo, hi, data, offsets in S.blocks(batch.column(1), BLOCK_BYTES):
                 word, sizes = S.words(data, offsets)
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
@@ -147,8 +147,10 @@ def verified(pairs: DataFrame, keys: DataFrame, least: float = LEAST) -> DataFra
     """u, v of the pairs whose alignment reaches the least similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(n).to_pylist() for n in (2, 3))
-            keep = [aligned(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) >= least for x, y in zip(a, b)]
+            keep = []
+            for n in range(len(batch)):  # one pair's words at a time
+                a, b = (np.frombuffer(batch.column(c)[n].as_buffer(), np.uint64) for c in (2, 3))
+                keep.append(aligned(a, b, least) >= least)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
     left = keys.select(F.col("node").alias("u"), F.col("keys").alias("ku"))
@@ -181,7 +183,7 @@ def classes(docs: DataFrame, bands: int = BANDS, sample: int = SAMPLE, least: fl
                                       F.first("sketch").alias("sketch"))
     entries = nodes.select("node", "doc_id", "n", F.posexplode("sketch").alias("band", "value"))
     groups = entries.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = cut_lineage(entries.join(groups, ["band", "value"]))
+    members = compact(entries.join(groups, ["band", "value"]))
     central = members.groupBy("node").agg(F.sum("c").alias("weight"))
     weighed = members.join(central, "node")
     leaders = weighed.groupBy("band", "value").agg(
@@ -198,7 +200,7 @@ def classes(docs: DataFrame, bands: int = BANDS, sample: int = SAMPLE, least: fl
     stars = members.join(leaders, ["band", "value"]).select(
         F.col("node").alias("u"), F.explode(F.array("hub", "other")).alias("v")).where(
         "u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    stars = cut_lineage(stars.join(size.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(
+    stars = compact(stars.join(size.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(
         size.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v").where(
         _ratio(F.col("nu"), F.col("nv"), least)).select("u", "v"))
     first = components(verified(stars, keys, least))
@@ -212,18 +214,18 @@ def classes(docs: DataFrame, bands: int = BANDS, sample: int = SAMPLE, least: fl
 
     cells = members.select(F.xxhash64("band", "value").alias("cell"), "node").join(names, "node").select(
         "cell", F.col("number").alias("node"))
-    apart = cut_lineage(placed(cells, by_number(first)))
+    apart = compact(placed(cells, by_number(first)))
     inside = keys.join(apart.select(F.col("node").alias("number")).distinct(), "number")
-    apart = of_different_members(cut_lineage(with_company(apart, labelled_sets(inside), percent)), "node")
+    apart = of_different_members(compact(with_company(apart, labelled_sets(inside), percent)), "node")
     left = keys.join(apart.select(F.col("node").alias("number")).distinct(), "number")
     points = cut_lineage(labelled_sets(left).select("node", "n", "point"))
     links, tried = first, stars
     for spanning in (True, False):
-        apart = cut_lineage(placed(apart, by_number(links)))
+        apart = compact(placed(apart, by_number(links)))
         if apart.isEmpty():
             break
         near = tree_pairs(apart, points, percent, spanning=spanning).select(F.col("u").alias("nu"), F.col("v").alias("nv"))
-        pairs = cut_lineage(near.join(u, "nu").join(v, "nv").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias(
+        pairs = compact(near.join(u, "nu").join(v, "nv").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias(
             "v")).join(tried, ["u", "v"], "left_anti"))
         links, tried = components(links.unionByName(verified(pairs, keys, least))), tried.unionByName(pairs)
 
