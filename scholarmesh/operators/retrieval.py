@@ -93,25 +93,30 @@ def score_postings(postings: DataFrame, by_term: DataFrame, terms: DataFrame, sc
             .where(F.col("bm25") > 0))
 
 
+def term_counts(tokens: pa.ListArray, known: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Per text, as int32, the places in `known` and the counts of its terms."""
+    n_terms, sizes = max(1, len(known)), tokens.value_lengths().fill_null(0).to_numpy()
+    code = pc.index_in(tokens.flatten(), value_set=known).fill_null(-1).to_numpy()
+    place = (np.repeat(np.arange(len(tokens)), sizes) * n_terms + code)[code >= 0]
+    place, count = np.unique(place, return_counts=True)
+    ends = pa.py_buffer((4 * np.searchsorted(place, np.arange(len(tokens) + 1) * n_terms)).astype(np.int32))
+    return tuple(pa.Array.from_buffers(pa.binary(), len(tokens), [None, ends, pa.py_buffer(x.astype(np.int32))])
+                 for x in (place % n_terms, count))
+
+
 def packed_postings(chunks: DataFrame, vocabulary: list[str], id_col: str, content: str,
                     tokenizer: Callable[[Column], Column]) -> DataFrame:
     """One row (id, parts) per chunk; a part has the length and, as int32, the places in `vocabulary` and the counts of the terms.
 
     Terms are counted in the task that reads the text, so no occurrence is shuffled. Rows of one id come together.
     """
-    known, n_terms = pa.array(vocabulary, pa.string()), max(1, len(vocabulary))
+    known = pa.array(vocabulary, pa.string())
     tokens = chunks.select(F.col(id_col).alias("id"), tokenizer(F.col(content)).alias("t")).where("t is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy()
-            code = pc.index_in(batch.column(1).flatten(), value_set=known).fill_null(-1).to_numpy()
-            place = (np.repeat(np.arange(len(batch)), sizes) * n_terms + code)[code >= 0]
-            place, count = np.unique(place, return_counts=True)
-            ends = pa.py_buffer((4 * np.searchsorted(place, np.arange(len(batch) + 1) * n_terms)).astype(np.int32))
-            terms, counts = (pa.Array.from_buffers(pa.binary(), len(batch), [None, ends, pa.py_buffer(x.astype(np.int32))])
-                             for x in (place % n_terms, count))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), terms, counts],
+            lengths = pc.cast(batch.column(1).value_lengths(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lengths, *term_counts(batch.column(1), known)],
                                              names=["id", "len", "terms", "counts"])
 
     id_type = tokens.schema["id"].dataType.simpleString()
@@ -515,10 +520,30 @@ def person_evidence(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, c
     """Own chunks of the chosen persons per query, best first, while their total length fits the budget.
 
     `chosen` is (query_id, person_id). Both rankings (cosine; BM25 with the person's own statistics) cover all
-    chunks of the person; those without a vector follow the others in the order of their ids and have similarity 0. Ranks come from bucketed running counts, so a person with very many chunks is not one task.
+    chunks of the person; those without a vector follow the others in the order of their ids and have similarity 0.
     The list stops at the first chunk that does not fit.
+
+    Few queries (counted) are ranked in blocks of a person's chunks (`own_evidence`), beyond that by joins.
+    """
+    from scholarmesh.operators import own_evidence as O
+
+    chosen = cut_lineage(chosen.select("query_id", "person_id").distinct().where("person_id is not null").join(
+        queries.select("query_id").distinct(), "query_id"))
+    wanted = queries.join(chosen.select("query_id").distinct(), "query_id", "left_semi")
+    terms = cut_lineage(query_terms(wanted, tokenizer=tokenizer))
+    if is_small(wanted, QUERY_BLOCK) and (asked := small_terms(terms)) is not None:
+        hits = cut_lineage(O.evidence_hits(chunks, vectors, wanted, chosen, *asked, budget, rrf_k, tokenizer))
+    else:
+        hits = evidence_by_joins(chunks, vectors, queries, chosen, budget, rrf_k, tokenizer)
+    return attach(chunks.select("chunk_id", "section", "content"), hits, "chunk_id")
+
+
+def evidence_by_joins(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, chosen: DataFrame, budget: int, rrf_k: int,
+                      tokenizer: Callable[[Column], Column]) -> DataFrame:
+    """(query_id, person_id, chunk_id, evidence_rank, rrf, similarity) of the listed chunks, by a row per pair and own chunk.
+
+    Ranks come from bucketed running counts, so a person with very many chunks is not one task.
     """
-    chosen = chosen.select("query_id", "person_id").distinct()
     small = is_small(chosen)
     q = queries.select("query_id", F.col("vector").alias("_q"))
     owned = chunks.select("chunk_id", "person_id", F.length("content").alias("_chars")).join(
@@ -550,9 +575,8 @@ def person_evidence(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, c
                                -F.floor(F.col("rrf") * (1 << 16)), name="_r")
     candidates = cut_lineage(candidates)
     listed = running_total(candidates, keys, [F.asc("_r")], F.floor(F.col("_r") / 1024), F.col("_chars"), "_used")
-    hits = cut_lineage(listed.where(F.col("_used") <= budget).select(
+    return cut_lineage(listed.where(F.col("_used") <= budget).select(
         *keys, "chunk_id", F.col("_r").alias("evidence_rank"), "rrf", "similarity"))
-    return attach(chunks.select("chunk_id", "section", "content"), hits, "chunk_id")
 
 
 def id_bucket(id_: Column, type_name: str, applies: Column) -> Column:
