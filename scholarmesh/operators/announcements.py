@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scholarmesh.functions import extraction as E
 from scholarmesh.functions.hashing import content_hash
-from scholarmesh.functions.ranking import bounded_join, top_k
+from scholarmesh.functions.ranking import bounded_join, is_small, top_k
 from scholarmesh.operators.calls import latest_per_label_array
 from scholarmesh.session import cut_lineage
 
@@ -21,6 +21,7 @@ MIN_OVERLAP_SAME_CODE = 0.5
 SAME_CODE_BONUS = 0.5
 MIN_TITLE_TOKENS = 3
 FOREVER = 2**30  # day number behind all dates
+HOT_ROWS = 1_000_000  # announcements of one title and day from which their step is broadcast
 
 
 # --- which announcements are new -----------------------------------------------------------
@@ -136,24 +137,42 @@ def match_update_to_call(announcements: DataFrame, calls: DataFrame) -> DataFram
     match itself, look at their pairs one by one.
     """
     days = _title_dates(calls)
-    ann = cut_lineage(_signed(announcements, "a_sig", "url").select(
-        "url", "a_sig", _code("program_code").alias("a_code"),
-        F.coalesce(_day(F.col("publish_date")), F.lit(FOREVER)).alias("bound")))
+    dates = cut_lineage(announcements.groupBy("title", "program_code", "publish_date").agg(F.count("*").alias("n")))
+    titles = cut_lineage(dates.select("title").distinct().withColumn("a_sig", _signature(F.col("title"))))
+    small = is_small(titles)
+
+    def placed(rows: DataFrame, column: str) -> DataFrame:
+        return bounded_join(rows, titles, ["title"], [column], small_enough=small).select(
+            column, "a_sig", _code("program_code").alias("a_code"), F.coalesce(_day(F.col("publish_date")), F.lit(FOREVER)).alias("bound"))
+
+    points = cut_lineage(placed(dates, "n").groupBy("a_sig", "a_code", "bound").agg(F.sum("n").alias("n")))
     call_sigs = days.select("sig", "code").distinct()
-    pairs = cut_lineage(_signature_pairs(ann.select("a_sig", "a_code").distinct(), call_sigs))
-    pairs = _undominated(pairs, days)
-    own = calls.select("url").distinct()
-    alone = _one_by_one(ann.join(own, "url", "left_semi"), pairs, days)
-    others = ann.join(own, "url", "left_anti")
-    steps = _steps(pairs, days, others.select("a_sig", "a_code", "bound").distinct())
-    return bounded_join(others, steps, ["a_sig", "a_code", "bound"], ["url"]).select(
-        "url", "call_id", "overlap", "score").unionByName(alone)
+    pairs = cut_lineage(_signature_pairs(points.select("a_sig", "a_code").distinct(), call_sigs))
+    pairs = cut_lineage(_undominated(pairs, days))
+    # the announcements are read anew, not checkpointed: there are far more of them than of titles and days
+    own = cut_lineage(announcements.join(calls.select("url").distinct(), "url", "left_semi"))
+    gone = own.select("url").distinct()
+    alone = _one_by_one(placed(own, "url"), pairs, days)
+    others = placed(announcements.join(F.broadcast(gone) if is_small(gone) else gone, "url", "left_anti"), "url")
+    keys = ["a_sig", "a_code", "bound"]
+    steps = cut_lineage(_steps(pairs, days, points.drop("n")).join(points, keys))
+    hot = cut_lineage(steps.where(F.col("n") > HOT_ROWS))
+    columns = ["url", "call_id", "overlap", "score"]
+    if is_small(steps):
+        found = others.join(F.broadcast(steps), keys).select(*columns)
+    elif hot.isEmpty():
+        found = others.join(steps, keys).select(*columns)
+    else:  # one title and day may hold a large share of the announcements
+        rest = others.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(steps, keys)
+        found = others.join(F.broadcast(hot), keys).select(*columns).unionByName(rest.select(*columns))
+    return found.unionByName(alone)
 
 
 def _steps(pairs: DataFrame, days: DataFrame, points: DataFrame) -> DataFrame:
     """(a_sig, a_code, bound, call_id, overlap, score): the best call not after each bound."""
     keys = ["a_sig", "a_code"]
-    each = pairs.join(days.select("sig", "code", "day", "a.call_id"), ["sig", "code"])
+    each = pairs.join(days.select("sig", "code", "day", "a.call_id"), ["sig", "code"]).where(
+        F.col("until").isNull() | (F.col("day") < F.col("until")))
     best = each.groupBy(*keys, "day").agg(F.min(F.struct((-F.col("score")).alias("s"), "call_id", "overlap")).alias("x"))
     steps = best.select(*keys, F.col("day").alias("_at"), F.lit(0).alias("_p"), F.struct(
         "x.s", (-F.col("day")).alias("d"), "x.call_id", "x.overlap").alias("_x"))
@@ -177,7 +196,8 @@ def _one_by_one(ann: DataFrame, pairs: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def _undominated(pairs: DataFrame, days: DataFrame) -> DataFrame:
-    """Pairs that can be the best one for some announcement date.
+    """Pairs that can be the best one for some announcement date, with `until`, the first day of a pair of a higher score: from
+    then on this one is the best of no announcement without an address of a call.
 
     A pair is dropped when a pair of the same announcement title with a higher score has two calls no later than this
     pair's first: whenever this one is possible, that one is too, even if one of its calls is the announcement's own.
@@ -189,7 +209,8 @@ def _undominated(pairs: DataFrame, days: DataFrame) -> DataFrame:
     higher = Window.partitionBy("a_sig", "a_code").orderBy(F.col("_order")).rangeBetween(Window.unboundedPreceding, -1)
     scored = pairs.join(spans, ["sig", "code"]).withColumn("_order", (-F.round(F.col("score") * 1_000_000)).cast("bigint"))
     bound = F.min("_second").over(higher)
-    return scored.withColumn("_b", bound).where(F.col("_b").isNull() | (F.col("_b") > F.col("_first"))).drop(
+    return scored.withColumns({"_b": bound, "until": F.min("_first").over(higher)}).where(
+        F.col("_b").isNull() | (F.col("_b") > F.col("_first"))).drop(
         "_first", "_second", "_order", "_b")
 
 
