@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,10 @@ ANNOUNCEMENT_PAGE = (
     "state BOOLEAN, status BOOLEAN, data ARRAY<STRUCT<redirect_url: STRING, name: STRING, date_to_show: STRING, "
     "publish_start_date: STRING>>")
 DOCUMENT_EXTENSIONS = ("pdf", "docx")
+WHOLE_BYTES = 16 << 20  # files up to this size are read as one value
+BLOCK_BYTES = 4096  # some thousands of blocks are in memory at once
+PACKED_FILES = r"\.(gz|bz2|deflate|snappy|lz4|zst|zstd)$"  # the line reader would unpack these
+BLOCK = pa.schema([("file", pa.string()), ("size", pa.int64()), ("start", pa.int64()), ("number", pa.int64()), ("goes_on", pa.bool_()), ("data", pa.binary())])
 
 
 def announcements_from_pages(pages: DataFrame) -> DataFrame:
@@ -64,9 +72,89 @@ def scan_documents(spark: SparkSession, folder: str, extensions: tuple[str, ...]
              .option("pathGlobFilter", pattern).load(folder))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     stem = F.regexp_replace(name, r"\.[^.]+$", "")
-    return files.where(~name.startswith("~$") & ~name.startswith(".")).select(
-        "path", name.alias("name"), X.id_from_filename(stem).alias("person_id"),
-        F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("content_hash"))
+    files = files.where(~name.startswith("~$") & ~name.startswith("."))
+    columns = ["path", name.alias("name"), X.id_from_filename(stem).alias("person_id"), F.col("length").alias("n_bytes")]
+    packed = F.lower("_metadata.file_name").rlike(PACKED_FILES)
+    over = F.col("length") > WHOLE_BYTES
+    large = over & ~packed
+    digest = F.sha2("content", 256).alias("content_hash")
+    whole = files.where(F.col("length") <= WHOLE_BYTES).select(*columns, digest)  # a bound that the reader keeps to
+    if not files.where(over & packed).select("path").isEmpty():
+        whole = whole.unionByName(files.where(over & packed).select(*columns, digest))
+    if files.where(large).select("path").isEmpty():
+        return whole
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(folder)
+             .where((F.col("_metadata.file_size") > WHOLE_BYTES) & ~F.lower("_metadata.file_name").rlike(PACKED_FILES)))
+    found = streamed_hashes(lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line")))
+    named = files.where(large).select(*columns, F.col("_metadata.file_path").alias("file"))
+    return whole.unionByName(named.join(found, "file", "left").select("path", "name", "person_id", "n_bytes", F.coalesce(
+        "content_hash", F.raise_error(F.concat(F.lit("file changed while it was read: "), "file"))).alias("content_hash")))
+
+
+def streamed_hashes(lines: DataFrame) -> DataFrame:
+    """(file, content_hash) of files given by their lines in order (file, size, start of the split, line).
+
+    Lines are put together, or cut, to blocks of at most BLOCK_BYTES, which reach one task a file in the order of the file and are
+    hashed one after the other, so memory holds some blocks (and the reader's batch of lines) whatever the size of the file. The reader
+    drops a byte order mark; whether there was one, and a line end at the end, is seen from the size.
+    """
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, n, number, out = None, [], 0, 0, []
+
+        def put() -> None:
+            nonlocal held, n, number
+            data = b"\n".join(held)
+            for at in range(0, max(1, len(data)), BLOCK_BYTES):
+                out.append({"file": key[0], "size": key[1], "start": key[2], "number": number, "goes_on": at > 0, "data": data[at:at + BLOCK_BYTES]})
+                number += 1
+            held, n = [], 0
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+                line = row[3].as_buffer().to_pybytes()
+                if held and (row[:3] != key or n + len(line) >= BLOCK_BYTES):
+                    put()
+                key = row[:3]
+                held.append(line)
+                n += len(line) + 1
+                if len(out) >= 256:
+                    yield pa.RecordBatch.from_pylist(out, BLOCK)
+                    out = []
+        if held:
+            put()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, BLOCK)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, states, n = None, [], 0
+
+        def result() -> pa.RecordBatch:
+            rest = key[1] - n  # 1: a line end at the end, 3: a byte order mark
+            if rest not in (0, 1, 3, 4):
+                raise ValueError(f"{key[0]}: {n} of {key[1]} bytes were read")
+            state = states[rest >= 3]
+            state.update(b"\n" * (rest % 3))
+            return pa.RecordBatch.from_pylist([{"file": key[0], "content_hash": state.hexdigest()}])
+
+        for batch in batches:
+            for i in range(len(batch)):
+                file, size, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(5)[i].as_buffer()
+                if key != (file, size):
+                    if key:
+                        yield result()
+                    key, states, n = (file, size), [hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf")], 0
+                elif not batch.column(4)[i].as_py():
+                    n += 1
+                    [s.update(b"\n") for s in states]
+                [s.update(data) for s in states]
+                n += len(data)
+        if key:
+            yield result()
+
+    put = lines.mapInArrow(blocks, "file string, size long, start long, number long, goes_on boolean, data binary")
+    return put.repartition("file").sortWithinPartitions("file", "start", "number").mapInArrow(hashes, "file string, content_hash string")
 
 
 def duplicate_ids(files: DataFrame, key: str = "person_id") -> DataFrame:
